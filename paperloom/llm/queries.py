@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packed_ids, shared
+from . import bpe, gif, packed_ids, shared
 
 #: Place of the public vocabulary files; a parameter of the operators.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = gif.store_samples(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return gif.read_samples(shared.write_table(stored, shared.run_folder(spark, "gif"), "media"))
+
+
 def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.run_folder(spark, "packed-ids")
     files = packed_ids.write_ids(table(spark, sf_dir, "documents"), folder, VOCABULARY, end_id=2)
@@ -24,5 +29,5 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, keep=["doc_id"])
 
 
-QUERIES = {"op2_packed_ids": op2_packed_ids, "op5_bpe": op5_bpe}
+QUERIES = {"op1_gif": op1_gif, "op2_packed_ids": op2_packed_ids, "op5_bpe": op5_bpe}
 ORACLES: dict[str, str] = {}
