@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, gif, packed_ids, shared
+from . import bpe, gif, packed_ids, pii, shared, urls
 
 #: Place of the public vocabulary files; a parameter of the operators.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -25,9 +26,23 @@ def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.read_ids(files, with_ids=False)
 
 
+#: Listed rules of the URL query (fixed values).
+LISTED = [urls.Listed("net", "/", "block"), urls.Listed("example.net", "/en/", "allow"), urls.Listed("example.com", "/de/", "block"), urls.Listed("org", "/fr/", "allow")]
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    labelled = pages.join(labels, pages.page_id == labels.doc_id).select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return urls.judge(pages, labelled, LISTED)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, keep=["doc_id"])
 
 
-QUERIES = {"op1_gif": op1_gif, "op2_packed_ids": op2_packed_ids, "op5_bpe": op5_bpe}
-ORACLES: dict[str, str] = {}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op4_url_rules": op4_url_rules, "op10_pii": op10_pii, "op1_gif": op1_gif, "op2_packed_ids": op2_packed_ids, "op5_bpe": op5_bpe}
+ORACLES = {"op10_pii": pii.ORACLE}
