@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, packed_ids, pii, shared, urls
+from . import bpe, gif, ngram, packed_ids, pii, shared, urls
 
 #: Place of the public vocabulary files; a parameter of the operators.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -26,6 +26,11 @@ def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.read_ids(files, with_ids=False)
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return ngram.score(table(spark, sf_dir, "documents"), held_out, shared.run_folder(spark, "ngram"))
+
+
 #: Listed rules of the URL query (fixed values).
 LISTED = [urls.Listed("net", "/", "block"), urls.Listed("example.net", "/en/", "allow"), urls.Listed("example.com", "/de/", "block"), urls.Listed("org", "/fr/", "allow")]
 
@@ -44,5 +49,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op4_url_rules": op4_url_rules, "op10_pii": op10_pii, "op1_gif": op1_gif, "op2_packed_ids": op2_packed_ids, "op5_bpe": op5_bpe}
+QUERIES = {"op3_kneser_ney": op3_kneser_ney, "op4_url_rules": op4_url_rules, "op10_pii": op10_pii, "op1_gif": op1_gif, "op2_packed_ids": op2_packed_ids, "op5_bpe": op5_bpe}
 ORACLES = {"op10_pii": pii.ORACLE}
