@@ -153,6 +153,12 @@ class Encoder:
         return first + b"".join(map(self.inner.__getitem__, cut))
 
 
+@lru_cache(maxsize=1)
+def own_encoder(path: str) -> Encoder:
+    """One for a worker: its memo serves all tasks that the worker runs."""
+    return Encoder(vocabulary(path).ids)
+
+
 def encode_text(df: DataFrame, path: str, column: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df with ``n_tokens`` long and ``token_ids`` binary (little-endian unsigned 32-bit ids).
 
@@ -162,8 +168,7 @@ def encode_text(df: DataFrame, path: str, column: str = "text", keep: list[str]
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())]
 
     def make():
-        v = vocabulary(path)
-        encode = Encoder(v.ids)
+        v, encode = vocabulary(path), own_encoder(path)
 
         def work(texts):
             ids = [encode(x) for x in texts]
@@ -195,8 +200,7 @@ def round_trip(df: DataFrame, path: str, column: str = "text", keep: list[str] |
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
     def make():
-        v = vocabulary(path)
-        encode = Encoder(v.ids)
+        v, encode = vocabulary(path), own_encoder(path)
 
         def work(texts):
             ids = [encode(x) for x in texts]

@@ -15,6 +15,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +125,12 @@ def library_encoder(path: str):
 _MADE = T.StructType([T.StructField(*x) for x in (("token", T.IntegerType()), ("n", T.LongType()), ("path", T.StringType()), ("first", T.LongType()), ("tokens", T.LongType()))])
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """One for a worker: its memo serves all tasks that the worker runs."""
+    return Encoder(library_encoder(path))
+
+
 def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = None, column: str = "text", key: str = "doc_id") -> DataFrame:
     """Writes the ids of all documents below folder, by ascending key; returns (path, start, tokens), a row for each file.
 
@@ -136,7 +143,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None
     stop = struct.pack("<I", end_id) if end_id is not None else b""
 
     def encode(batches):
-        encoder, counts, first, total = Encoder(library_encoder(vocabulary)), np.zeros(1 << 16, np.int64), None, 0
+        encoder, counts, first, total = worker_encoder(vocabulary), np.zeros(1 << 16, np.int64), None, 0
         path = f"{folder}/first/{shared.attempt_name()}"
 
         def made():
