@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, leaks, near, ngram, packed_ids, pii, shared, urls
+from . import bpe, gif, leaks, near, ngram, packed_ids, pii, shared, toxicity, urls
 
 #: Place of the public vocabulary files; a parameter of the operators.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -45,6 +45,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, keep=["doc_id"])
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(table(spark, sf_dir, "documents"), shared.run_folder(spark, "near"))
 
@@ -57,5 +62,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op8_leaks": op8_leaks, "op7_near": op7_near, "op3_kneser_ney": op3_kneser_ney, "op4_url_rules": op4_url_rules, "op10_pii": op10_pii, "op1_gif": op1_gif, "op2_packed_ids": op2_packed_ids, "op5_bpe": op5_bpe}
+QUERIES = {"op6_toxicity": op6_toxicity, "op8_leaks": op8_leaks, "op7_near": op7_near, "op3_kneser_ney": op3_kneser_ney, "op4_url_rules": op4_url_rules, "op10_pii": op10_pii, "op1_gif": op1_gif, "op2_packed_ids": op2_packed_ids, "op5_bpe": op5_bpe}
 ORACLES = {"op10_pii": pii.ORACLE}

@@ -18,6 +18,9 @@ _LOWER[65:91] += 32
 _LOWER += np.uint64(1)
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
+#: Bytes of words that are letters only: A-Z, a-z and all bytes of longer UTF-8 characters.
+LETTERS = np.zeros(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 _TABLE: dict[str, np.ndarray] = {}
 U = np.uint64
 
@@ -56,11 +59,11 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def _span(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word; no word crosses a cut."""
+def _span(data: np.ndarray, cuts: np.ndarray, kind: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word; no word crosses a cut.  With prefixes the hash has a column for each of them too, 0 for shorter words."""
     n = len(data)
     power, inverse = _powers(max(n, SPAN))
-    word = _WORD[data]
+    word = kind[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -72,10 +75,17 @@ def _span(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     with np.errstate(over="ignore"):
         np.cumsum(_LOWER[data] * power[:n], out=total[1:])
         h = (total[ends] - total[starts]) * inverse[starts]
-    return mix(h), starts, ends
+        if not prefixes:
+            return mix(h), starts, ends
+        cols = [mix(h)]
+        for p in prefixes:
+            long = ends - starts >= p
+            x = mix((total[np.minimum(starts + p, n)] - total[starts]) * inverse[starts] + U(p))
+            cols.append(np.where(long, x, U(0)))
+    return np.stack(cols, axis=1), starts, ends
 
 
-def word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(col: pa.Array, kind: np.ndarray = _WORD, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, at): words of row i are at[i]:at[i+1]; starts and ends are bytes of the column."""
     data, offs = column_bytes(col)
     hashes, starts, ends = [], [], []
@@ -87,27 +97,27 @@ def word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
             if offs[k] > lo:
                 hi = int(offs[k])
             else:
-                gaps = np.flatnonzero(~_WORD[data[lo:hi]])
+                gaps = np.flatnonzero(~kind[data[lo:hi]])
                 if len(gaps):
                     hi = lo + int(gaps[-1]) + 1
                 else:
                     step = SPAN
                     while True:
-                        gaps = np.flatnonzero(~_WORD[data[hi : hi + step]])
+                        gaps = np.flatnonzero(~kind[data[hi : hi + step]])
                         row = offs[np.searchsorted(offs, hi, "left") :]
                         stop = min(n, hi + int(gaps[0]) + 1 if len(gaps) else n, int(row[0]) if len(row) else n)
                         if len(gaps) or stop < n or hi + step >= n:
                             hi = stop
                             break
                         step *= 2
-        h, s, e = _span(data[lo:hi], offs[np.searchsorted(offs, lo) : np.searchsorted(offs, hi, "right")] - lo)
+        h, s, e = _span(data[lo:hi], offs[np.searchsorted(offs, lo) : np.searchsorted(offs, hi, "right")] - lo, kind, prefixes)
         hashes.append(h)
         starts.append(s + lo)
         ends.append(e + lo)
         lo = hi
     if not hashes:
         z = np.empty(0, np.int64)
-        return np.empty(0, U), z, z, np.zeros(len(offs), np.int64)
+        return np.empty((0, 1 + len(prefixes)) if prefixes else 0, U), z, z, np.zeros(len(offs), np.int64)
     starts = np.concatenate(starts)
     return np.concatenate(hashes), starts, np.concatenate(ends), np.searchsorted(starts, offs).astype(np.int64)
 
