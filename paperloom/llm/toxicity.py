@@ -74,7 +74,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit_ordinal(rows: int, row: np.ndarray, col: np.ndarray, grade: np.ndarray, size: int, grades: int, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: int, row: np.ndarray, col: np.ndarray, grade: np.ndarray, size: int, grades: int, penalty: float = 1e-5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by gradient steps with adaptive rates; thresholds rise by the exponential of free gaps."""
     share = np.clip(np.array([(grade <= k).mean() for k in range(grades - 1)]), 1e-4, 1 - 1e-4)
     start = np.log(share / (1 - share))
