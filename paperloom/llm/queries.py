@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, leaks, near, ngram, packed_ids, pii, shared, toxicity, urls
+from . import bpe, gif, leaks, near, ngram, packed_ids, passages, pii, shared, toxicity, urls
 
 #: Place of the public vocabulary files; a parameter of the operators.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -58,9 +58,13 @@ def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shared.run_folder(spark, "leaks"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"), shared.run_folder(spark, "passages"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op6_toxicity": op6_toxicity, "op8_leaks": op8_leaks, "op7_near": op7_near, "op3_kneser_ney": op3_kneser_ney, "op4_url_rules": op4_url_rules, "op10_pii": op10_pii, "op1_gif": op1_gif, "op2_packed_ids": op2_packed_ids, "op5_bpe": op5_bpe}
+QUERIES = {"op9_passages": op9_passages, "op6_toxicity": op6_toxicity, "op8_leaks": op8_leaks, "op7_near": op7_near, "op3_kneser_ney": op3_kneser_ney, "op4_url_rules": op4_url_rules, "op10_pii": op10_pii, "op1_gif": op1_gif, "op2_packed_ids": op2_packed_ids, "op5_bpe": op5_bpe}
 ORACLES = {"op10_pii": pii.ORACLE}
