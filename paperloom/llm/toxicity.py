@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import counts
+from . import counts, shared
 from .counts import U
 from .frames import slices
 from .tokens import LETTERS, word_hashes
@@ -98,7 +98,9 @@ def fit_ordinal(rows: int, row: np.ndarray, col: np.ndarray, grade: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, column: str = "text", key: str = "doc_id", label: str = "toxic") -> Model | None:
     """The model of labelled documents; None without both kinds of labels."""
     chosen = labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("toxic")).where("_id IS NOT NULL AND toxic IS NOT NULL").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    rows = docs.where(F.col(f"`{column}`").isNotNull()).join(chosen, F.col(f"`{key}`") == F.col("_id")).select(F.col("_id").alias("k"), "toxic", F.col(f"`{column}`").alias("t"))
+    # SAMPLE rows of two numbers at most: every worker can hold them, and no text is moved to find its label
+    rows = docs.where(F.col(f"`{column}`").isNotNull()).join(F.broadcast(chosen), F.col(f"`{key}`") == F.col("_id")).select(F.col("_id").alias("k"), "toxic", F.col(f"`{column}`").alias("t"))
+    rows = shared.write_table(rows, shared.run_folder(docs.sparkSession, "toxicity"), "sample")
 
     def tally(batches):
         held, size = [], 0
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "text", key: str = "do
     pos, neg = total.pos, total.n - total.pos
     if not pos or not neg:
         return None
-    table = rows.mapInArrow(tally, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).where(F.col("a") + F.col("b") >= LEAST_DF)
+    table = rows.mapInArrow(shared.tidy(tally), "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).where(F.col("a") + F.col("b") >= LEAST_DF)
     a, b = (F.col("a") + 0.5) / (pos + 1), (F.col("b") + 0.5) / (neg + 1)
     mean = (F.col("a") + F.col("b") + 1) / (pos + neg + 2)
     z = F.abs(a - b) / F.sqrt(mean * (1 - mean) * (1 / pos + 1 / neg))
@@ -141,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "text", key: str = "do
                 own = [x.astype(np.int32).tolist() for x in np.split(col, np.searchsorted(row, np.arange(1, len(b))))]
                 yield pa.RecordBatch.from_arrays([b.column("k"), b.column("toxic"), pa.array(own, pa.list_(pa.int32()))], names=["k", "toxic", "cols"])
 
-    sample = sorted(rows.mapInArrow(rows_of, "k long, toxic int, cols array<int>").collect(), key=lambda r: (r.k, r.cols))  # SAMPLE rows, FEATURES numbers each at most
+    sample = sorted(rows.mapInArrow(shared.tidy(rows_of), "k long, toxic int, cols array<int>").collect(), key=lambda r: (r.k, r.cols))  # SAMPLE rows, FEATURES numbers each at most
     size = np.array([len(r.cols) for r in sample])
     row, col = np.repeat(np.arange(len(sample)), size), np.array([c for r in sample for c in r.cols], np.int64)
     toxic = np.array([r.toxic > 0 for r in sample])
@@ -155,9 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "text", key: str = "do
 def grade(docs: DataFrame, model: Model | None, column: str = "text") -> DataFrame:
     """docs with severity (expected grade), p_toxic, grade (the likeliest) and rejected (p_toxic over a half)."""
     added = [T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("rejected", T.BooleanType())]
-    from .shared import fewer_rows_per_batch
-
-    fewer_rows_per_batch(docs.sparkSession)
+    shared.fewer_rows_per_batch(docs.sparkSession)
     kept = [c for c in docs.columns if c not in [a.name for a in added]]
     schema = T.StructType([docs.schema[c] for c in kept] + added)
 
@@ -173,4 +173,4 @@ def grade(docs: DataFrame, model: Model | None, column: str = "text") -> DataFra
                 cols = [pa.array(p @ np.arange(GRADES)), pa.array(toxic), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(toxic > 0.5)]
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + cols, names=schema.names)
 
-    return docs.select(*[docs[f"`{c}`"] for c in kept]).mapInArrow(run, schema)
+    return docs.select(*[docs[f"`{c}`"] for c in kept]).mapInArrow(shared.tidy(run), schema)
