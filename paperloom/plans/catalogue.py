@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import calculator, geometry, numbering, strings
 from paperloom.operators import checks, compare, edits, graphs, pages, records, search
-from paperloom.sources import html
+from paperloom.sources import html, pdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -467,3 +467,31 @@ def content_bounding_box(spark, d):
 @query("SELECT p_partkey, list_filter([CASE WHEN b & 4 <> 0 THEN 'print' END, CASE WHEN b & 8 <> 0 THEN 'modify' END, CASE WHEN b & 16 <> 0 THEN 'extract' END, CASE WHEN b & 32 <> 0 THEN 'annotate' END, CASE WHEN b & 256 <> 0 THEN 'fill' END, CASE WHEN b & 512 <> 0 THEN 'accessibility' END, CASE WHEN b & 1024 <> 0 THEN 'assemble' END, CASE WHEN b & 2048 <> 0 THEN 'quality_print' END], lambda x: x IS NOT NULL) AS names FROM (SELECT p_partkey, p_partkey * 37 % 4096 AS b FROM part)")
 def permission_flags(spark, d):
     return table(spark, d, "part").select("p_partkey", checks.permissions(F.col("p_partkey") * 37 % 4096).alias("names"))
+
+
+# --- page files: conversations are written as files, and the files are read ---------------------------
+
+
+def _files(spark, d) -> DataFrame:
+    return pdf.write_pages(_pages(spark, d)).withColumnRenamed("doc", "path")
+
+
+@query(f"SELECT CAST(doc AS VARCHAR) AS doc_id, page_no, string_agg(l, chr(13) || chr(10) ORDER BY i) AS text FROM (SELECT doc, page_no, i, s[i] AS l FROM (SELECT doc, page_no, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc, page_no, string_split(text, chr(10)) AS s FROM {_P}))) WHERE l <> '' GROUP BY doc, page_no")
+def pdf_text(spark, d):
+    return pdf.page_text(pdf.text_runs(_files(spark, d)))
+
+
+@query(f"SELECT CAST(doc AS VARCHAR) AS doc_id, '1.7' AS version, false AS recovered, CAST(count(*) AS INT) AS n_pages FROM {_P} GROUP BY doc")
+def pdf_files(spark, d):
+    return pdf.files(_files(spark, d)).select("doc_id", "version", "recovered", "n_pages")
+
+
+@query(f"SELECT CAST(doc AS VARCHAR) AS doc_id, count(*) * 2 + 3 AS objects, count(*) AS streams, CAST(3 * count(*) + 1 + count(*) AS BIGINT) AS refs FROM {_P} GROUP BY doc")
+def pdf_objects(spark, d):
+    o = pdf.objects(_files(spark, d))
+    return o.groupBy("doc_id").agg(F.count("*").alias("objects"), F.count(F.when(F.col("kind") == "stream", 1)).alias("streams"), F.sum(F.size("refs")).alias("refs"))
+
+
+@query(f"SELECT CAST(doc AS VARCHAR) AS doc_id, page_no, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS shows FROM {_P} GROUP BY doc, page_no")
+def pdf_content_ops(spark, d):
+    return pdf.content_ops(_files(spark, d)).where("op = 'Tj'").groupBy("doc_id", "page_no").agg(F.count("*").alias("shows"))
