@@ -51,13 +51,16 @@ def blobs(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> pa.Record
     k, c = [], []
     for x, n in zip(np.split(keys, cut), np.split(counts, cut)):
         if len(x):
-            k.append(pack_ints(np.diff(x, prepend=U(0))))
+            d = np.diff(x, prepend=U(0))
+            low = int(np.bitwise_or.reduce(d))
+            shift = max((low & -low).bit_length() - 1, 0)  # keys cut to fewer bits end in zeros
+            k.append(bytes([shift]) + pack_ints(d >> U(shift)))
             c.append(b"" if (n == 1).all() else pack_ints(n))
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["bucket", "keys", "counts"])
 
 
 def unblob(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = np.cumsum(unpack_ints(keys), dtype=U)
+    k = np.cumsum(unpack_ints(keys[1:]) << U(keys[0]), dtype=U)
     return k, unpack_ints(counts).astype(np.int64) if counts else np.ones(len(k), np.int64)
 
 
@@ -125,7 +128,7 @@ def count(rows: DataFrame, folder: str, bits: int, least: int = 1) -> list[dict]
             shared.put(path, [k.astype("<u8").tobytes(), np.minimum(n, 0xFFFFFFFF).astype("<u4").tobytes()])
             yield pa.RecordBatch.from_pylist([{"bucket": bucket, "path": path, "n": len(k), "total": total, "distinct": distinct}], schema=_MANIFEST)
 
-    made = shared.write_table(by_bucket(rows, 1 << bits).mapInArrow(write, schema), folder, "manifest")
+    made = shared.write_table(by_bucket(rows, 1 << bits).mapInArrow(shared.tidy(write), schema), folder, "manifest")
     return sorted((r.asDict() for r in made.collect()), key=lambda r: r["bucket"])  # a row for each file
 
 
@@ -186,7 +189,7 @@ def map_blobs(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits:
     def run(batches):
         yield from gathered((keys(b) for whole in batches for b in slices(whole, column, most)), bits)
 
-    return df.mapInArrow(run, BLOBS)
+    return df.mapInArrow(shared.tidy(run), BLOBS)
 
 
 def text_rows(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:

@@ -100,10 +100,22 @@ def weighted(col: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray,
     return g, times, np.searchsorted(row, np.arange(len(at)))
 
 
-def frequencies(rows: DataFrame, folder: str, words: int = WORDS) -> tuple[list[dict], int]:
+def kept_bits(documents: int) -> int:
+    """Bits of a shingle's hash that its frequency is kept under: so many that at any size about one in 40,000 meets another's.
+
+    One that does counts as shared, which costs a comparison and never a link.
+    """
+    return min(64, 24 + documents.bit_length())
+
+
+def cut(g: np.ndarray, kept: int) -> np.ndarray:
+    return g & ~U((1 << (64 - kept)) - 1)
+
+
+def frequencies(rows: DataFrame, folder: str, documents: int, words: int = WORDS) -> tuple[list[dict], int]:
     """The store of shingles of two documents or more, and its bits."""
-    bits = counts.bits_for(rows.sparkSession)
-    found = counts.map_blobs(rows, lambda b: weighted(b.column("t"), words)[0], bits, _PIECE)
+    bits, kept = counts.bits_for(rows.sparkSession), kept_bits(documents)
+    found = counts.map_blobs(rows, lambda b: cut(weighted(b.column("t"), words)[0], kept), bits, _PIECE)
     return counts.count(found, folder, bits, least=2), bits
 
 
@@ -114,7 +126,7 @@ def sign(rows: DataFrame, folder: str, files: list[dict], bits: int, documents:
     """A row for each of (k, t); text_hash is null where the text can have no partner."""
 
     def run(batches):
-        store = counts.Store(files, bits)
+        store, kept = counts.Store(files, bits), kept_bits(documents)
         path = f"{folder}/{shared.attempt_name()}"
         rows_out: list[pa.RecordBatch] = []
 
@@ -123,7 +135,7 @@ def sign(rows: DataFrame, folder: str, files: list[dict], bits: int, documents:
             for whole in batches:
                 for b in slices(whole, "t", _PIECE):
                     g, times, ptr = weighted(b.column("t"), words)
-                    df, _ = store.lookup(g)
+                    df, _ = store.lookup(cut(g, kept))
                     idf = documents / (documents + np.maximum(df, 1))
                     w = idf * times
                     total = np.concatenate([[0.0], np.cumsum(w)])
@@ -163,7 +175,7 @@ def sign(rows: DataFrame, folder: str, files: list[dict], bits: int, documents:
         shared.put(path, vectors())
         yield from rows_out
 
-    return rows.mapInArrow(run, _SIGNED)
+    return rows.mapInArrow(shared.tidy(run), _SIGNED)
 
 
 @lru_cache(maxsize=512)
@@ -265,14 +277,14 @@ def bucket_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if rows and (out := done(at, rows)):
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
 
-    return work.mapInArrow(run, "u long, v long")
+    return work.mapInArrow(shared.tidy(run), "u long, v long")
 
 
 def classes(docs: DataFrame, folder: str, column: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """(doc_id, class_id, class_size): a row for each row of docs."""
     rows = counts.text_rows(docs, column, key)
     documents = docs.count()
-    files, bits = frequencies(rows, f"{folder}/frequencies", words)
+    files, bits = frequencies(rows, f"{folder}/frequencies", documents, words)
     signed = shared.write_table(sign(rows, f"{folder}/vectors", files, bits, documents, threshold, words), folder, "signed")
     candidates = signed.where("text_hash IS NOT NULL")
     texts = candidates.groupBy("text_hash").agg(F.min("k").alias("first"), F.count("*").alias("copies"))

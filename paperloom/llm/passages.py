@@ -33,7 +33,7 @@ from . import counts, shared
 from .counts import U
 from .frames import slices
 from .graph import components
-from .near import WORDS, frequencies
+from .near import WORDS, cut, frequencies, kept_bits
 from .tokens import mix, shingles, word_hashes
 
 PASSAGE_WORDS, HASHES, HASHES_MEET, THRESHOLD = 50, 8, 3, 0.8
@@ -50,13 +50,14 @@ def compact_windows(v: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarr
     if not n or sizes.max(initial=0) < least:
         z = np.empty(0, np.int64)
         return z, z, z
-    levels = int(sizes.max()).bit_length()
+    levels = max(least.bit_length() + 1, 7)
     tables = [v]
     for k in range(levels):
         t, step = tables[-1], 1 << k
-        x = t.copy()
+        x = np.empty_like(t)
         if n > step:
-            x[: n - step] = np.minimum(t[: n - step], t[step:])
+            np.minimum(t[:-step], t[step:], out=x[:-step])
+        x[max(n - step, 0) :] = t[max(n - step, 0) :]
         tables.append(x)  # x[i]: least of v[i : i + 2 * step], cut at the end
     # the least value of each stretch of `least` values within a row, and its leftmost place
     k = least.bit_length() - 1
@@ -79,29 +80,57 @@ def compact_windows(v: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarr
         some = after[after < right[run[some]]]
     c = np.flatnonzero(owner)
     x, lo, hi = v[c], np.repeat(at[:-1], sizes)[c], row_end[c]
-    right = c + 1
-    for j in range(levels, -1, -1):
-        step = 1 << j
-        ok = (right + step <= hi) & (tables[j][np.minimum(right, n - 1)] >= x)
-        right = np.where(ok, right + step, right)
-    left = c.copy()
-    for j in range(levels, -1, -1):
+    right, left, step = c + 1, c.copy(), 1 << levels
+    some = np.arange(len(c))
+    while len(some):  # whole steps first
+        ok = (right[some] + step <= hi[some]) & (tables[levels][np.minimum(right[some], n - 1)] >= x[some])
+        some = some[ok]
+        right[some] += step
+    some = np.arange(len(c))
+    while len(some):
+        ok = (left[some] - step >= lo[some]) & (tables[levels][np.maximum(left[some] - step, 0)] > x[some])
+        some = some[ok]
+        left[some] -= step
+    for j in range(levels - 1, -1, -1):
         step = 1 << j
-        ok = (left - step >= lo) & (tables[j][np.maximum(left - step, 0)] > x)
-        left = np.where(ok, left - step, left)
+        right = np.where((right + step <= hi) & (tables[j][np.minimum(right, n - 1)] >= x), right + step, right)
+        left = np.where((left - step >= lo) & (tables[j][np.maximum(left - step, 0)] > x), left - step, left)
     keep = right - left >= least
     return left[keep], c[keep], right[keep] - 1
 
 
+def covered(common: np.ndarray, at: np.ndarray, least: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, cuts): the places in some stretch of ``least`` with ``need`` shared tokens, and where their runs begin; no run crosses rows."""
+    total = np.concatenate([[0], np.cumsum(common)])
+    row_end = np.repeat(at[1:], np.diff(at))
+    start = np.flatnonzero(np.arange(len(common)) + least <= row_end)
+    start = start[total[start + least] - total[start] >= need]
+    change = np.zeros(len(common) + 1, np.int64)
+    np.add.at(change, start, 1)
+    np.add.at(change, start + least, -1)
+    places = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+    first = np.concatenate([[True], (np.diff(places) > 1) | np.isin(places[1:], at)]) if len(places) else np.zeros(0, bool)
+    return places, np.concatenate([np.flatnonzero(first), [len(places)]]).astype(np.int64)
+
+
+def joined(sig: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: E741
+    """(l, c, r) with overlapping windows of one least value as one: a repeated line would give one for each repeat."""
+    order = np.lexsort((l, sig))
+    sig, l, c, r = sig[order], l[order], c[order], r[order]  # noqa: E741
+    new = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (l[1:] > r[:-1])])) if len(l) else np.empty(0, np.int64)
+    return l[new], c[new], np.maximum.reduceat(r, new) if len(new) else r
+
+
 _WINDOWS = "sig long, fn int, k long, l int, c int, r int, file string, at long, n int"
+_REGION = "k1 long, l1 int, r1 int, k2 long, l2 int, r2 int"
 
 
-def windows(rows: DataFrame, folder: str, files: list[dict], bits: int) -> DataFrame:
+def windows(rows: DataFrame, folder: str, files: list[dict], bits: int, documents: int) -> DataFrame:
     """Compact windows around shared shingles; the shared shingles of their documents are written below folder."""
-    need = int(np.ceil(THRESHOLD * LEAST))
+    need = int(THRESHOLD * LEAST * 0.95)
 
     def run(batches):
-        store, name = counts.Store(files, bits), shared.attempt_name()
+        store, kept, name = counts.Store(files, bits), kept_bits(documents), shared.attempt_name()
         out: list[pa.RecordBatch] = []
 
         def body():
@@ -110,18 +139,22 @@ def windows(rows: DataFrame, folder: str, files: list[dict], bits: int) -> DataF
                 for b in slices(whole.filter(pa.compute.is_valid(whole.column("k"))), "t", _PIECE):
                     h, _, _, ptr = word_hashes(b.column("t"))
                     g, ptr = shingles(h, ptr, WORDS)
-                    df, _ = store.lookup(g)
+                    df, _ = store.lookup(cut(g, kept))
                     common = df > 1
+                    place, cuts = covered(common, ptr, LEAST, need)
+                    common[np.setdiff1d(np.flatnonzero(common), place, assume_unique=True)] = False
                     total = np.concatenate([[0], np.cumsum(common)])
                     row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
                     cols = []
                     for i in range(HASHES):
                         with np.errstate(over="ignore"):
-                            v = mix(g * U((2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1) + U(i))
-                        l, c, r = compact_windows(v, ptr, LEAST)
+                            v = mix(g[place] * U((2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1) + U(i))
+                        l, c, r = compact_windows((v >> U(32)).astype(np.uint32), cuts, LEAST)  # noqa: E741
+                        l, c, r = joined(v[c], place[l], place[c], place[r])  # noqa: E741
                         keep = common[c] & (total[r + 1] - total[l] >= need)
-                        cols.append((v[c[keep]], np.full(keep.sum(), i), l[keep], c[keep], r[keep]))
-                    sig, fn, l, c, r = (np.concatenate(x) for x in zip(*cols))
+                        l, c, r = l[keep], c[keep], r[keep]  # noqa: E741
+                        cols.append((v[np.searchsorted(place, c)], np.full(len(c), i), l, c, r))
+                    sig, fn, l, c, r = (np.concatenate(x) for x in zip(*cols))  # noqa: E741
                     if not len(sig):
                         continue
                     doc = row[c]
@@ -130,8 +163,8 @@ def windows(rows: DataFrame, folder: str, files: list[dict], bits: int) -> DataF
                     for d in used.tolist():
                         start[d] = at
                         where = np.flatnonzero(common[ptr[d] : ptr[d + 1]])
-                        at += 12 * len(where)
-                        yield g[ptr[d] + where].astype("<u8").tobytes() + where.astype("<u4").tobytes()
+                        at += 8 * len(where)
+                        yield (g[ptr[d] + where] >> U(32)).astype("<u4").tobytes() + where.astype("<u4").tobytes()
                     base = ptr[doc]
                     keys = np.array(b.column("k").to_numpy(zero_copy_only=False), np.int64)
                     as_int = lambda x: pa.array(x.astype(np.int32))
@@ -140,7 +173,7 @@ def windows(rows: DataFrame, folder: str, files: list[dict], bits: int) -> DataF
         shared.put(f"{folder}/{name}", body())
         yield from out
 
-    return rows.mapInArrow(run, _WINDOWS)
+    return rows.mapInArrow(shared.tidy(run), _WINDOWS)
 
 
 @lru_cache(maxsize=512)
@@ -149,12 +182,12 @@ def _mapped(path: str):
 
 
 def _tokens(folder: str, side: tuple, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, places) of a document's shared shingles from lo to hi inclusive."""
+    """(32 bits of the shingles, places) of a document's shared shingles from lo to hi inclusive."""
     name, at, n = side
     view = _mapped(f"{folder}/{name}")
-    places = shared.array_at(view, "<u4", at + 8 * n, n)
+    places = shared.array_at(view, "<u4", at + 4 * n, n)
     a, b = np.searchsorted(places, [lo, hi + 1])
-    return shared.array_at(view, "<u8", at, n)[a:b], places[a:b].astype(np.int64)
+    return shared.array_at(view, "<u4", at, n)[a:b], places[a:b].astype(np.int64)
 
 
 def _best(places: np.ndarray, other: int) -> tuple[int, int]:
@@ -229,42 +262,62 @@ def repeated(docs: DataFrame, folder: str, column: str = "text", key: str = "doc
     class_id is the least doc_id of the passage's class and class_docs the number of its documents.
     """
     rows = counts.text_rows(docs, column, key)
-    files, bits = frequencies(rows, f"{folder}/frequencies")
+    documents = docs.count()
+    files, bits = frequencies(rows, f"{folder}/frequencies", documents)
     store = f"{folder}/tokens"
-    found = shared.write_table(windows(rows, store, files, bits), folder, "windows")
-    sides = F.struct("k", "l", "c", "r", "file", "at", "n")
-    meet = found.groupBy("sig").agg(F.min(sides).alias("first"), F.max(sides).alias("last")).where("first.k <> last.k")
-    pairs = found.join(meet, "sig").select("fn", *found.columns[2:], F.explode(F.array("first", "last")).alias("o")).where("k <> o.k")
-    flat = pairs.select(*["fn"], *[F.when(F.col("k") < F.col("o.k"), F.col(c)).otherwise(F.col(f"o.{c}")).alias(f"{c}1") for c in found.columns[2:]], *[F.when(F.col("k") < F.col("o.k"), F.col(f"o.{c}")).otherwise(F.col(c)).alias(f"{c}2") for c in found.columns[2:]])
-    work = flat.select("k1", "k2", "file1", "at1", "n1", "file2", "at2", "n2", "fn", "l1", "c1", "r1", "l2", "c2", "r2").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "file1", "at1", "file2", "at2")
-
-    def match(batches):
-        def done(key, rows):
+    found = shared.write_table(windows(rows, store, files, bits, documents), folder, "windows")
+    docs_at = shared.write_table(found.groupBy("k", "file", "at", "n").agg(F.count("*").alias("_")).drop("_"), folder, "places")
+    side = F.struct("k", "l", "c", "r")
+    meet = found.groupBy("sig").agg(F.min(side).alias("a"), F.max(side).alias("z")).where("a.k <> z.k")
+    met = found.select("sig", "fn", "k", "l", "c", "r").join(meet, "sig").where("k <> a.k")
+    # with the first document of the group and, but for the last itself, with the last
+    other = F.explode(F.when(F.col("k") == F.col("z.k"), F.array("a")).otherwise(F.array("a", "z")))
+    pairs = met.select("fn", "k", "l", "c", "r", other.alias("o"))
+    low = F.col("k") < F.col("o.k")
+    pick = lambda c, first: F.when(low, F.col(c) if first else F.col(f"o.{c}")).otherwise(F.col(f"o.{c}") if first else F.col(c))
+    pack = lambda a, b: (a.cast("long") * (1 << 32) + b.cast("long"))
+    rows_of = pairs.select(
+        pick("k", True).alias("k1"), pick("k", False).alias("k2"), pack(F.col("fn"), pick("c", True) - pick("c", False) + (1 << 30)).alias("m"), pack(pick("l", True), pick("r", True)).alias("x"), pack(pick("l", False), pick("r", False)).alias("y")
+    )
+    work = rows_of.repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+
+    def join_up(batches):
+        at, held, low = None, [], (1 << 32) - 1
+        for b in batches:
             out = []
-            for l1, r1, l2, r2 in regions(list(set(rows))):
-                for got in verify(_tokens(store, key[2:5], l1, r1), _tokens(store, key[5:8], l2, r2)):
-                    out.append((key[0], got[0], got[1] + WORDS, key[1], got[2], got[3] + WORDS))
-            return out
+            for k1, k2, m, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                if (k1, k2) != at:
+                    if held:
+                        out += [(at[0], *r[:2], at[1], *r[2:]) for r in regions(held)]
+                    at, held = (k1, k2), []
+                held.append((m >> 32, x >> 32, (m & low) - (1 << 30), x & low, y >> 32, 0, y & low))
+            if out:
+                yield _rows(out)
+        if held and (out := [(at[0], *r[:2], at[1], *r[2:]) for r in regions(held)]):
+            yield _rows(out)
+
+    def _rows(out):
+        kinds = (pa.int64(), pa.int32(), pa.int32()) * 2
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), kinds)], names=["k1", "l1", "r1", "k2", "l2", "r2"])
+
+    near = shared.write_table(work.mapInArrow(shared.tidy(join_up), _REGION), folder, "regions")
+    for i in "12":
+        near = near.join(docs_at.select(F.col("k").alias(f"k{i}"), F.struct("file", "at", "n").alias(f"p{i}")), f"k{i}")
 
-        at, held = None, []
+    def match(batches):
         for b in batches:
             out = []
-            for *key, fn, l1, c1, r1, l2, c2, r2 in zip(*(c.to_pylist() for c in b.columns)):
-                if key != at:
-                    if held:
-                        out += done(at, held)
-                    at, held = key, []
-                held.append((fn, l1, c1, r1, l2, c2, r2))
+            for k1, l1, r1, k2, l2, r2, p1, p2 in zip(*(b.column(c).to_pylist() for c in ("k1", "l1", "r1", "k2", "l2", "r2", "p1", "p2"))):
+                for got in verify(_tokens(store, tuple(p1.values()), l1, r1), _tokens(store, tuple(p2.values()), l2, r2)):
+                    out.append((k1, got[0], got[1] + WORDS, k2, got[2], got[3] + WORDS))
             if out:
                 yield _links(out)
-        if held and (out := done(at, held)):
-            yield _links(out)
 
     def _links(out):
         kinds = (pa.int64(), pa.int32(), pa.int32()) * 2
         return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), kinds)], names=["k1", "s1", "e1", "k2", "s2", "e2"])
 
-    links = shared.write_table(work.mapInArrow(match, "k1 long, s1 int, e1 int, k2 long, s2 int, e2 int"), folder, "links")
+    links = shared.write_table(near.mapInArrow(shared.tidy(match), "k1 long, s1 int, e1 int, k2 long, s2 int, e2 int"), folder, "links")
     ends = links.select(F.col("k1").alias("k"), F.col("s1").alias("s"), F.col("e1").alias("e")).unionByName(links.select(F.col("k2").alias("k"), F.col("s2").alias("s"), F.col("e2").alias("e"))).distinct()
     spans = shared.write_table(_islands(ends), folder, "spans")
     ids = spans.select("k", "s", "e", F.xxhash64("k", "from").alias("id"), "from", "to")
