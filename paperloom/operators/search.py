@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NBSP = " "
+NBSP = "\u00a0"
 
 
 def literal(phrase: str) -> str:
