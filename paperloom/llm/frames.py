@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import fewer_rows_per_batch
+from . import shared
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -32,7 +32,7 @@ def add_columns(df: DataFrame, column: str, fields: list[T.StructField], make: C
     ``make()`` runs once in a task and gives a function from a list of texts (null: empty) to one
     list or Arrow array for each field.  A column of df with the name of an added one is replaced.
     """
-    fewer_rows_per_batch(df.sparkSession)
+    shared.fewer_rows_per_batch(df.sparkSession)
     names = [f.name for f in fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     source = "_text_of_row"
@@ -48,4 +48,4 @@ def add_columns(df: DataFrame, column: str, fields: list[T.StructField], make: C
                 cols = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(got, kinds)]
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + cols, names=kept + names)
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(shared.tidy(run), schema)

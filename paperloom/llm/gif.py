@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import shared
 from .frames import add_columns, slices
 
 WIDTH, ROWS, DELAY_MS = 64, 1024, 100
@@ -325,7 +326,7 @@ def frames(df: DataFrame, column: str = "media") -> DataFrame:
                 got = [one(x) for x in b.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array([x for x, _ in got], kind), pa.array([e for _, e in got], pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(shared.tidy(run), schema)
 
 
 def read_samples(df: DataFrame, column: str = "media") -> DataFrame:
@@ -351,4 +352,4 @@ def read_samples(df: DataFrame, column: str = "media") -> DataFrame:
                 cols = [pa.array([g[i] for g in got], pa.int64() if isinstance(f.dataType, T.LongType) else pa.string()) for i, f in enumerate(added)]
                 yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + cols, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(shared.tidy(run), schema)

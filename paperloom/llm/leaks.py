@@ -125,7 +125,7 @@ def _search(docs: DataFrame, items: Items, documents: int, folder: str, least: f
                         names=["k", "item", "start", "words", "seeds"],
                     )
 
-    near = shared.write_table(docs.mapInArrow(look, _WINDOW), folder, "windows")
+    near = shared.write_table(docs.mapInArrow(shared.tidy(look), _WINDOW), folder, "windows")
     df = np.zeros(len(items.seeds), np.int64)
     each = near.select("k", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count("*").alias("n"))
     for r in each.collect():  # a row for a seed of the block at most
@@ -158,7 +158,7 @@ def _search(docs: DataFrame, items: Items, documents: int, folder: str, least: f
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=["k", "item", "score", "start", "end"])
 
-    found = near.mapInArrow(score, _FOUND)
+    found = near.mapInArrow(shared.tidy(score), _FOUND)
     names = docs.sparkSession.createDataFrame([(i, x, len(w)) for i, (x, w) in enumerate(zip(items.ids, items.words))], "item int, item_id long, size int")
     best = found.groupBy("k", "item").agg(F.max(F.struct("score", (-F.col("start")).alias("early"), "end")).alias("b"))
     return best.join(names, "item").select(F.col("k").alias("doc_id"), "item_id", (F.col("b.score") / (MATCH * F.col("size"))).alias("similarity"), (-F.col("b.early")).alias("start_word"), F.col("b.end").alias("end_word"))

@@ -27,7 +27,7 @@ from .tokens import word_hashes
 
 #: The hash that stands for the end token (fixed value; no word has it but by chance).
 END = 0x5EED0E4D0F7E47D1
-_SOME = 6 << 20
+_SOME = 3 << 19
 
 
 def _sequences(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +157,8 @@ def train(docs: DataFrame, folder: str, column: str = "text") -> dict:
     def _rows(notes):
         return pa.RecordBatch.from_arrays([pa.array([n["bucket"] for n in notes], pa.int32()), pa.array([None] * len(notes), pa.binary()), pa.array([None] * len(notes), pa.binary()), pa.array([json.dumps(n) for n in notes])], names=["bucket", "keys", "counts", "note"])
 
-    shuffled = counts.by_bucket(rows.mapInArrow(pairs, counts.BLOBS), buckets)
-    made = shared.write_table(shuffled.mapInArrow(reduce, f"{counts.BLOBS}, note string"), folder, "bigram_notes")
+    shuffled = counts.by_bucket(rows.mapInArrow(shared.tidy(pairs), counts.BLOBS), buckets)
+    made = shared.write_table(shuffled.mapInArrow(shared.tidy(reduce), f"{counts.BLOBS}, note string"), folder, "bigram_notes")
     seen = np.zeros(4, np.int64)
     for r in made.where("note IS NOT NULL").select("note").collect():  # a row for each file
         note = json.loads(r.note)
@@ -177,7 +177,7 @@ def train(docs: DataFrame, folder: str, column: str = "text") -> dict:
             shared.put(path, [out.astype("<u4").tobytes()])
             yield _rows([{"bucket": b, "path": path, "seen": [int((n == j).sum()) for j in (1, 2, 3, 4)]}])
 
-    held = counts.by_bucket(made.where("note IS NULL"), buckets).mapInArrow(contexts, f"{counts.BLOBS}, note string")
+    held = counts.by_bucket(made.where("note IS NULL"), buckets).mapInArrow(shared.tidy(contexts), f"{counts.BLOBS}, note string")
     few = np.zeros(4, np.int64)
     for r in shared.write_table(held, folder, "context_notes").collect():
         note = json.loads(r.note)
@@ -299,4 +299,4 @@ def score(docs: DataFrame, held_out: Column, folder: str, column: str = "text",
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
                 )
 
-    return held.mapInArrow(run, schema)
+    return held.mapInArrow(shared.tidy(run), schema)
