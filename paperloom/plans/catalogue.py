@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import calculator, geometry, numbering, strings
 from paperloom.operators import checks, compare, edits, graphs, pages, records, search
-from paperloom.sources import html, pdf
+from paperloom.sources import html, markdown, pdf
+from paperloom.streaming import files as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -495,3 +496,26 @@ def pdf_objects(spark, d):
 @query(f"SELECT CAST(doc AS VARCHAR) AS doc_id, page_no, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS shows FROM {_P} GROUP BY doc, page_no")
 def pdf_content_ops(spark, d):
     return pdf.content_ops(_files(spark, d)).where("op = 'Tj'").groupBy("doc_id", "page_no").agg(F.count("*").alias("shows"))
+
+
+@query("SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS events, sum(value) AS value FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
+def event_sessions(spark, d):
+    return streams.sessions(table(spark, d, "events"))
+
+
+@query("SELECT conv_id, count(*) AS blocks, count(*) FILTER (turn = 0) AS headings FROM conversations, (SELECT 1) GROUP BY conv_id")
+def markdown_blocks(spark, d):
+    one_line = table(spark, d, "conversations").withColumn("text", F.regexp_replace("text", "\\s+", " ")).withColumn("size", F.when(F.col("turn") == 0, 24).otherwise(10))
+    found = markdown.blocks(checks.markdown(one_line, "conv_id", ["turn"], "size"), "conv_id", "markdown")
+    return found.groupBy("conv_id").agg(F.count("*").alias("blocks"), F.count(F.when(F.col("kind") == "heading", 1)).alias("headings"))
+
+
+@query(f"SELECT CAST(doc AS VARCHAR) AS doc_id, 'Helvetica' AS font, count(*) AS pages FROM {_P} GROUP BY doc")
+def pdf_fonts(spark, d):
+    runs = pdf.text_runs(_files(spark, d))
+    return runs.groupBy("doc_id", "font").agg(F.countDistinct("page_no").alias("pages"))
+
+
+@query(f"SELECT CAST(doc AS VARCHAR) AS doc_id, page_no, 0.0 AS llx, 612.0 AS urx, 792.0 AS ury FROM {_P}")
+def pdf_pages(spark, d):
+    return pdf.pages(_files(spark, d)).select("doc_id", "page_no", "llx", "urx", "ury")
