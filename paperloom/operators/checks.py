@@ -51,3 +51,18 @@ def markdown(df: DataFrame, doc: str, order: list[str], size: str, column: str =
     head = F.when(F.col(size) >= 24, "# ").when(F.col(size) >= 18, "## ").when(F.col(size) >= 14, "### ").otherwise("")
     rows = df.select(doc, F.struct(*order, F.concat(head, F.coalesce(F.col(column), F.lit(""))).alias("_t")).alias("_r"))
     return rows.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_r")), lambda x: x["_t"]), "\n\n").alias("markdown"))
+
+
+def unbalanced(ops: DataFrame) -> DataFrame:
+    """(doc_id, page_no, lowest, last) of pages whose saves and restores (q, Q) do not balance: a running sum below 0, or not 0 at the end."""
+    from pyspark.sql import Window as W
+
+    step = F.when(F.col("op") == "q", 1).when(F.col("op") == "Q", -1).otherwise(0)
+    depth = F.sum(step).over(W.partitionBy("doc_id", "page_no").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    pages = ops.withColumn("depth", depth).withColumn("step", step).groupBy("doc_id", "page_no").agg(F.min("depth").alias("lowest"), F.sum("step").alias("last"))
+    return pages.where("lowest < 0 OR last <> 0")
+
+
+def sanitized(relations: dict[str, DataFrame], *hidden: str) -> dict[str, DataFrame]:
+    """The relations of files without the rows of hidden kinds: annotations, form_fields, layers, scripts, xmp, attachments."""
+    return {n: r.limit(0) if n in hidden else r for n, r in relations.items()}

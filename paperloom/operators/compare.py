@@ -219,3 +219,31 @@ def pixel_diff(a: Column, b: Column, threshold: float) -> Column:
     """For each sample of a (0..255): 0 the same, 1 different.  The difference must exceed threshold % of 255; samples beyond the other's end are the same."""
     limit = int(threshold / 100 * 255 + 0.5)
     return F.transform(a, lambda x, i: F.when(F.abs(x - F.get(b, i)) > limit, 1).otherwise(0))
+
+
+def _tokens(text: str | None, spaces: str) -> list[str]:
+    import re
+
+    return re.findall(r"\S+|\s" if spaces == "parse" else r"\S+" if spaces == "ignore" else r"\S+|\s+", text or "")
+
+
+def side_by_side(a: str | Column, b: str | Column, spaces: str = "normal") -> Column:
+    """A diff of words: white space counts as it stands, is left out (ignore), or counts mark by mark (parse)."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y):
+            p, q = _tokens(p, spaces), _tokens(q, spaces)
+            names = {t: chr(0xE000 + i if i < 0x1900 else 0x10000 + i) for i, t in enumerate(dict.fromkeys([*p, *q]))}
+            back = {c: t for t, c in names.items()}
+            join = " " if spaces == "ignore" else ""
+            ops = diff_text("".join(names[t] for t in p), "".join(names[t] for t in q))
+            out.append([{"op": o, "text": join.join(back[c] for c in t)} for o, t in ops])
+        return pd.Series(out)
+
+    return F.pandas_udf(run, DIFF)(a, b)
+
+
+def json(ops: Column) -> Column:
+    """A diff as a JSON array."""
+    return F.to_json(ops)

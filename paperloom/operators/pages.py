@@ -34,10 +34,11 @@ def merge(df: DataFrame, into: Column, order: Column) -> DataFrame:
     return renumber(df.withColumn("_order", order).withColumn("doc", into), "_order", "page_no")
 
 
-def blank_between(first: DataFrame, blank: DataFrame, second: DataFrame) -> DataFrame:
-    """First, blank, second; blank holds the pages (without doc) that stand in each document of both."""
+def blank_between(first: DataFrame, blank: list[str], second: DataFrame, column: str = "text") -> DataFrame:
+    """First, blank, second, for documents that are in both; blank holds the texts of the pages that stand between."""
     docs = first.select("doc").distinct().join(second.select("doc").distinct(), "doc")
-    return concat([first, docs.join(F.broadcast(blank.limit(1000)), how="cross"), second])
+    between = docs.select("doc", F.posexplode(F.array(*[F.lit(t) for t in blank])).alias("_i", column)).select("doc", (F.col("_i") + 1).alias("page_no"), column)
+    return concat([first, between, second])
 
 
 def extract_range(df: DataFrame, start: int, end: int) -> DataFrame:

@@ -91,3 +91,35 @@ def first_of_each(df: DataFrame, group: str, by: str, tie: str, n: int, descendi
     """The first n rows of each group by one key, ties by id."""
     c = F.col(by).desc() if descending else F.col(by).asc()
     return df.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(c, tie))).where(F.col("place") <= n)
+
+
+def to_xfdf(df: DataFrame, key: str, name: str = "name", value: str = "value") -> DataFrame:
+    """(key, xfdf): the fields (name, value) of a record as XML, by name."""
+    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.col(value).alias("v")))).alias("f"))
+    body = F.array_join(F.transform("f", lambda x: F.concat(F.lit('<field name="'), _escape(x["n"]), F.lit('"><value>'), _escape(x["v"]), F.lit("</value></field>"))), "")
+    return rows.select(key, F.concat(F.lit('<xfdf xmlns="http://ns.adobe.com/xfdf/"><fields>'), body, F.lit("</fields></xfdf>")).alias("xfdf"))
+
+
+def from_xfdf(df: DataFrame, key: str, column: str = "xfdf") -> DataFrame:
+    """(key, name, value) of the field elements of XFDF text."""
+    return from_xml(df, key, column)
+
+
+def json_status(df: DataFrame, key: str, column: str, names: list[str]) -> DataFrame:
+    """(key, name, value, status): a row for each field of a JSON object; status is ok, missing, or invalid where the text is no JSON."""
+    valid = F.try_parse_json(F.col(column)).isNotNull()
+    each = F.array(*[F.struct(F.lit(n).alias("name"), F.get_json_object(F.col(column), f"$.{n}").alias("value")) for n in names])
+    rows = df.select(key, valid.alias("_valid"), F.explode(each).alias("f")).select(key, "_valid", "f.*")
+    return rows.select(key, "name", "value", F.when(~F.col("_valid"), "invalid").when(F.col("value").isNull(), "missing").otherwise("ok").alias("status"))
+
+
+def edit(fields: DataFrame, add: DataFrame | None = None, remove: list[str] | None = None, rename: dict[str, str] | None = None, copy: dict[str, str] | None = None) -> DataFrame:
+    """Form fields (doc, name, …) with fields renamed, copied under another name, added and removed, in this order."""
+    out = fields
+    for old, new in (rename or {}).items():
+        out = out.withColumn("name", F.when(F.col("name") == old, new).otherwise(F.col("name")))
+    for old, new in (copy or {}).items():
+        out = out.unionByName(out.where(F.col("name") == old).withColumn("name", F.lit(new)))
+    if add is not None:
+        out = out.unionByName(add, allowMissingColumns=True)
+    return out.where(~F.col("name").isin(remove)) if remove else out

@@ -127,8 +127,7 @@ def pages_concat(spark, d):
 
 @query(f"SELECT doc, {_NUMBER}, text FROM (SELECT doc, 0 AS part, page_no AS p, text FROM {_P} UNION ALL SELECT DISTINCT doc, 1, 1, '' FROM {_P} UNION ALL SELECT doc, 2, page_no, text FROM {_P})")
 def pages_blank_between(spark, d):
-    blank = spark.createDataFrame([(1, "")], "page_no int, text string")
-    return pages.blank_between(_pages(spark, d), blank, _pages(spark, d))
+    return pages.blank_between(_pages(spark, d), [""], _pages(spark, d))
 
 
 @query(f"SELECT doc, {_NUMBER}, text FROM (SELECT doc, 0 AS part, page_no AS p, text FROM {_P} UNION ALL SELECT doc - 1, 1, page_no, text FROM {_P} WHERE page_no BETWEEN 1 AND 2 AND doc > 0)")

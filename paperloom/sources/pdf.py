@@ -187,7 +187,7 @@ def text_of(raw: bytes | None) -> str | None:
 class File:
     """Objects of one file, read on demand."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, password: str = "") -> None:
         head = data.find(b"%PDF-", 0, 4096)
         if head < 0:
             raise ValueError("no PDF header in the first 4096 bytes")
@@ -197,12 +197,43 @@ class File:
         self.cache: dict[int, object] = {}
         self.trailer: dict = {}
         self.recovered, self.revisions = False, len(re.findall(rb"startxref", data))
+        self.key: bytes | None = None
         try:
             self._chain()
             if not isinstance(self.get(self.trailer.get("Root")), dict):
                 raise ValueError("no catalog")
         except (ValueError, IndexError, KeyError, TypeError, RecursionError):
             self._scan()
+        if "Encrypt" in self.trailer:
+            self._unlock(password.encode("latin-1", "replace"))
+
+    def _unlock(self, password: bytes) -> None:
+        """Takes the key of the standard handler with RC4; other handlers are left locked."""
+        from paperloom.functions import crypto
+
+        e = self.get(self.trailer["Encrypt"]) or {}
+        if e.get("Filter") != "Standard" or e.get("V") not in (1, 2):
+            raise ValueError("this encryption is not supported")
+        first = (self.get(self.trailer.get("ID")) or [b""])[0]
+        revision = e.get("R", 2)
+        key = crypto.file_key(password, e.get("O", b""), e.get("P", 0), first, revision, e.get("Length", 40) // 8)
+        n = 32 if revision == 2 else 16
+        if crypto.user_entry(key, first, revision)[:n] != e.get("U", b"")[:n]:
+            raise ValueError("the password does not fit")
+        self.cache, self.key = {}, key
+        self.locked = self.trailer["Encrypt"].number if isinstance(self.trailer["Encrypt"], Ref) else 0
+
+    def _open(self, x, key: bytes):
+        """x with its strings and stream data decrypted."""
+        from paperloom.functions import crypto
+
+        if isinstance(x, bytes):
+            return crypto.rc4(key, x)
+        if isinstance(x, Stream):
+            return Stream({k: self._open(v, key) for k, v in x.info.items()}, crypto.rc4(key, x.raw))
+        if isinstance(x, dict):
+            return {k: self._open(v, key) for k, v in x.items()}
+        return [self._open(v, key) for v in x] if isinstance(x, list) else x
 
     def _chain(self) -> None:
         at = self.data.rfind(b"startxref")
@@ -298,6 +329,10 @@ class File:
                         number, value = self._at(self.places[n][0])
                         if number != n:
                             raise ValueError("another object stands there")
+                        if self.key and n != self.locked and not (isinstance(value, Stream) and value.info.get("Type") == "XRef"):
+                            from paperloom.functions import crypto
+
+                            value = self._open(value, crypto.object_key(self.key, n, self.places[n][1]))
                         self.cache[n] = value
                     elif n in self.inside:
                         box, i = self.inside[n]
@@ -687,6 +722,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.instr(F.substring(F.col("content"), 1, 4096).cast("string"), "%PDF-") > 0).select("path", "content")
 
 
+def raw_text(rows: DataFrame, separator: str = "") -> DataFrame:
+    """(doc_id, page_no, text): runs in stream order; a space as separator gives flowing text."""
+    return rows.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda r: r["text"]), separator).alias("text"))
+
+
+def document_text(pages_: DataFrame) -> DataFrame:
+    """(doc_id, text): page texts joined by line ends, without empty pages at the end."""
+    rows = pages_.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("r"))
+    return rows.select("doc_id", F.regexp_replace(F.array_join(F.transform("r", lambda x: x["text"]), "\r\n"), r"(\r\n)+$", "").alias("text"))
+
+
 def page_text(rows: DataFrame) -> DataFrame:
     """(doc_id, page_no, text): runs as lines from the top, left to right; runs within a row's tolerance are one line.
 

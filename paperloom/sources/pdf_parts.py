@@ -169,6 +169,58 @@ def _signatures(doc, data):
                 yield doc, n, r[0], r[-2] + r[-1], r[0] == 0 and r[-2] + r[-1] == len(data), text_of(f.get(x.get("Name")))
 
 
+def _structure(doc, data):
+    f, ids = File(data), iter(range(1, 1_000_000))
+
+    def walk(node, parent, level):
+        node = f.get(node)
+        for kid in node if isinstance(node, list) else [node]:
+            kid = f.get(kid)
+            if isinstance(kid, dict) and "S" in kid and level < 50:
+                own = next(ids)
+                yield doc, own, parent, level, str(f.get(kid["S"])), text_of(f.get(kid.get("T"))), text_of(f.get(kid.get("Alt"))), text_of(f.get(kid.get("ActualText")))
+                yield from walk(kid.get("K"), own, level + 1)
+
+    yield from walk((f.get(_root(f).get("StructTreeRoot")) or {}).get("K"), None, 0)
+
+
+def _layers(doc, data):
+    f = File(data)
+    groups = f.get(_root(f).get("OCProperties")) or {}
+    off = {x.number for x in f.get((f.get(groups.get("D")) or {}).get("OFF")) or [] if isinstance(x, Ref)}
+    for x in f.get(groups.get("OCGs")) or []:
+        yield doc, text_of(f.get((f.get(x) or {}).get("Name"))), not (isinstance(x, Ref) and x.number in off)
+
+
+def _xmp(doc, data):
+    import re
+
+    f = File(data)
+    x = f.get(_root(f).get("Metadata"))
+    text = x.data(f).decode("utf-8", "replace") if isinstance(x, Stream) else ""
+    for name, value in re.findall(r"<([A-Za-z]+:[A-Za-z]+)>([^<]*)</\1>", text) + re.findall(r'\s((?!xmlns|rdf|xml:|x:)[A-Za-z]+:[A-Za-z]+)="([^"]*)"', text):
+        if value.strip():
+            yield doc, name, value.strip()
+    for name, body in re.findall(r"(?s)<((?!rdf)[A-Za-z]+:[A-Za-z]+)>\s*<rdf:(?:Alt|Seq|Bag)>(.*?)</rdf:(?:Alt|Seq|Bag)>", text):
+        for value in re.findall(r"<rdf:li[^>]*>([^<]*)</rdf:li>", body):
+            yield doc, name, value.strip()
+
+
+def _colours(doc, data):
+    f = File(data)
+    for i, p in enumerate(f.pages(), 1):
+        kind = 0  # 1 black and white, 2 grey, 3 colour
+        for op, args in operators(f.content(p)):
+            v = [_number(a) for a in args]
+            if op in ("g", "G") and v:
+                kind = max(kind, 1 if v[0] in (0, 1) else 2)
+            elif op in ("rg", "RG") and len(v) == 3:
+                kind = max(kind, 3 if len(set(v)) > 1 else 1 if v[0] in (0, 1) else 2)
+            elif op in ("k", "K") and len(v) == 4:
+                kind = max(kind, 3 if any(v[:3]) else 1 if v[3] in (0, 1) else 2)
+        yield doc, i, ("undefined", "black-and-white", "grayscale", "rgb")[kind]
+
+
 _SCHEMAS = {
     "annotations": ("doc_id string, page_no int, seq int, type string, contents string, author string, uri string, llx double, lly double, urx double, ury double", _annotations),
     "outlines": ("doc_id string, id int, parent_id int, title string, level int, page_no int", _outlines),
@@ -179,6 +231,10 @@ _SCHEMAS = {
     "images": ("doc_id string, page_no int, seq int, name string, width int, height int, a double, b double, c double, d double, e double, f double, dpi_x double, dpi_y double", _images),
     "paths": ("doc_id string, page_no int, seq int, paint string, points int, llx double, lly double, urx double, ury double", _paths),
     "page_labels": ("doc string, start int, style string, prefix string, first int", _labels),
+    "structure": ("doc_id string, id int, parent_id int, level int, type string, title string, alt string, actual string", _structure),
+    "layers": ("doc_id string, name string, visible boolean", _layers),
+    "xmp": ("doc_id string, name string, value string", _xmp),
+    "colours": ("doc_id string, page_no int, colour string", _colours),
     "signatures": ("doc_id string, obj_num int, start long, end long, covers_file boolean, name string", _signatures),
 }
 
