@@ -3,8 +3,8 @@
 A pattern proposes spans; Luhn (cards), ranges (addresses), digit counts (phones) and mod-97 (bank
 accounts) confirm them; words shortly before a span raise its score.  Positions come from the lengths
 of what a split leaves between the matches, in code points, end exclusive.  Null text is empty and has
-no spans; spans of different kinds may overlap, those of one kind do not.  Columns with the names
-``pii`` or ``pii_base`` are replaced; repeated rows repeat.
+no spans; spans of different kinds may overlap, those of one kind do not.  A column with the
+name of the new one is replaced; repeated rows repeat.
 """
 
 from __future__ import annotations
@@ -106,11 +106,11 @@ def _spans(text: Column, k: Kind) -> Column:
     return F.when(text.rlike(k.pattern), F.transform(found, scored)).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
 
 
-def find(df: DataFrame, column: str = "text", least_score: float = 0.5) -> DataFrame:
-    """df with ``pii``: all spans (kind, start, end, score), kinds as in KINDS, then by start.  Spans below the least score are left out."""
+def find(df: DataFrame, column: str = "text", least_score: float = 0.5, into: str = "pii") -> DataFrame:
+    """df with the column ``into``: all spans (kind, start, end, score), kinds as in KINDS, then by start.  Spans below the least score are left out."""
     text = F.coalesce(F.col(f"`{column}`"), F.lit(""))
     spans = F.concat(*[_spans(text, k) for k in KINDS])
-    return df.withColumn("pii", F.filter(spans, lambda s: s["score"] >= least_score) if least_score > min(k.score for k in KINDS) else spans)
+    return df.withColumn(into, F.filter(spans, lambda s: s["score"] >= least_score) if least_score > min(k.score for k in KINDS) else spans)
 
 
 def listed(spans: Column) -> Column:
@@ -127,7 +127,7 @@ def digest(df: DataFrame, column: str = "text") -> DataFrame:
 
 def redact(df: DataFrame, column: str = "text") -> DataFrame:
     """df with the spans of its text replaced by their kinds in brackets; of overlapping spans the first and longest is named, and all are covered."""
-    text, spans = F.col(f"`{column}`"), F.col("pii")
+    text, spans = F.col(f"`{column}`"), F.col("_pii_spans")
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])
 
     def step(acc: Column, s: Column) -> Column:
@@ -137,7 +137,7 @@ def redact(df: DataFrame, column: str = "text") -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate(F.array_sort(spans, order), zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return find(df, column).withColumn(column, F.when(F.size(spans) > 0, clean).otherwise(text)).drop("pii")
+    return find(df, column, into="_pii_spans").withColumn(column, F.when(F.size(spans) > 0, clean).otherwise(text)).drop("_pii_spans")
 
 
 def _sql_kind(n: int, k: Kind, test: str) -> str:
