@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import counts, shared
 from .counts import U
+from .drops import without
 from .frames import slices
 from .tokens import shingles, word_hashes
 
@@ -190,5 +191,5 @@ def find(docs: DataFrame, items: DataFrame, folder: str, column: str = "text", k
 
 def drop_leaks(docs: DataFrame, items: DataFrame, folder: str, column: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without the rows in which a test item was found; rows with a null id stay."""
-    gone = shared.write_table(find(docs, items, folder, column, key).select(F.col("doc_id").alias("_gone")).where("_gone IS NOT NULL").distinct(), folder, "gone")
-    return docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    gone = find(docs, items, folder, column, key).select("doc_id").where("doc_id IS NOT NULL")
+    return without(docs, gone, f"{folder}/gone", key)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import counts, shared
 from .counts import U
+from .drops import without
 from .frames import slices
 from .graph import Forest, components
 from .tokens import mix, shingles, word_hashes
@@ -307,9 +308,9 @@ def keep_one(docs: DataFrame, folder: str, column: str = "text", key: str = "doc
     Of repeated rows with the least id and one text one stays.
     """
     found = shared.write_table(classes(docs, folder, column, key), folder, "classes")
-    gone = found.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct()
+    gone = found.where(F.col(key) != F.col("class_id")).select(key)
     again = found.where((F.col(key) == F.col("class_id")) & (F.col("class_size") > 1)).groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    rest = docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    rest = without(docs, gone, f"{folder}/gone", key)
     if again.isEmpty():
         return rest
     repeated = rest.join(again, F.col(f"`{key}`") == F.col("_again"), "left_semi").dropDuplicates([key, column])
