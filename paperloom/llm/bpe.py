@@ -20,19 +20,25 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import shared
 from .frames import add_columns
 
 #: The byte-level pattern of the vocabulary's pre-tokenizer (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Parts that the memo of one worker holds before it starts anew.
-MEMO = 1_000_000
-_PAIR = re.compile(r"\s\s")
+MEMO = 400_000
+#: White space other than the space and the line feed, and the pairs of these two (fixed values).
+_RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def parts(text: str) -> list[str]:
     """The text cut at its single inner spaces; each part but the first had a space before it."""
-    return _CUT.split(text) if _PAIR.search(text) else text.split(" ")
+    if any(p in text for p in _PAIRS) or any(c in text for c in _RARE) or (not text.isascii() and any(c in text for c in _WIDE)):
+        return _CUT.split(text)
+    return text.split(" ")  # no white space stands beside a space
 
 
 def byte_letters() -> dict[int, str]:
@@ -127,24 +133,37 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Memo(dict):
-    """Little-endian 32-bit ids of the parts of texts, by part; missing ones are made, and all are dropped when there are too many."""
+    """Little-endian 32-bit ids of the parts of texts, by part; missing ones are made, and all are dropped when there are too many.
 
-    def __init__(self, encode, before: str = "") -> None:
+    A stop or comma after a word and a line break between two parts are pieces of their own, so such a
+    part is joined from what is known of the rest of it.
+    """
+
+    def __init__(self, encode, before: str = "", start: Memo | None = None, most: int | None = None) -> None:
         super().__init__()
-        self.encode, self.before = encode, before
+        self.encode, self.before, self.start, self.most = encode, before, self if start is None else start, most or MEMO
+        self.marks = {x: array("I", encode(x)).tobytes() for x in ".,\n"}
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > MEMO:
+        if len(self) > self.most:
             self.clear()
-        out = self[part] = array("I", self.encode(self.before + part)).tobytes()
+        if part[-1:] in (".", ",") and part[:-1].isalpha():
+            out = self[part[:-1]] + self.marks[part[-1]]
+        elif part.count("\n") == 1 and not part[max(part.index("\n") - 1, 0)].isspace() and not part[part.index("\n") + 1 :][:1].isspace() and part[-1] != "\n":
+            line, rest = part.split("\n")
+            out = self[line] + self.marks["\n"] + self.start[rest]
+        else:
+            out = array("I", self.encode(self.before + part)).tobytes()
+        self[part] = out
         return out
 
 
 class Encoder:
     """Ids of whole texts through memos of their parts."""
 
-    def __init__(self, encode) -> None:
-        self.start, self.inner = Memo(encode), Memo(encode, " ")
+    def __init__(self, encode, most: int | None = None) -> None:
+        self.start = Memo(encode, most=most)
+        self.inner = Memo(encode, " ", self.start, most)
 
     def __call__(self, text: str) -> bytes:
         cut = parts(text)
@@ -192,7 +211,7 @@ def decode_ids(df: DataFrame, path: str, column: str = "token_ids") -> DataFrame
             keep = [c for c in b.schema.names if c != "decoded"]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(shared.tidy(run), schema)
 
 
 def round_trip(df: DataFrame, path: str, column: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -30,19 +30,29 @@ from .frames import slices
 MAGIC = b"PLIDS01\n"
 #: Ids in a block, unless one document has more.
 BLOCK = 1 << 20
+#: Parts of texts that a worker remembers, about 200 bytes each.
+MEMO = 1_000_000
 _HEAD = struct.Struct("<IIQQ")
 _LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + 1
-_WEIGHT = np.array([1, 4, 16, 64], np.uint8)
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned values below 2**32."""
-    v = values.astype("<u4")
-    size = (1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)).astype(np.uint8)
+    v = values.astype("<u4", copy=False)
+    if v.max(initial=0) < 1 << 16:
+        two = v > 0xFF
+        size = two.astype(np.uint8) + np.uint8(1)
+        end = np.cumsum(size, dtype=np.int64)
+        at = end - size
+        out = np.empty(int(end[-1]) if len(v) else 0, np.uint8)
+        out[at] = v.astype(np.uint8)
+        out[at[two] + 1] = (v[two] >> np.uint32(8)).astype(np.uint8)
+        data = out.tobytes()
+    else:
+        size = (1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)).astype(np.uint8)
+        data = v.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) < size[:, None]].tobytes()
     pad = np.concatenate([size - 1, np.zeros(-len(size) % 4, np.uint8)]).reshape(-1, 4)
-    control = (pad * _WEIGHT).sum(axis=1, dtype=np.uint8)
-    keep = np.arange(4, dtype=np.uint8) < size[:, None]
-    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    return (pad[:, 0] | pad[:, 1] << 2 | pad[:, 2] << 4 | pad[:, 3] << 6).tobytes(), data
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -109,7 +119,11 @@ def library_encoder(path: str):
     whole.no_padding()
     model, letters = whole.model, str.maketrans({chr(b): c for b, c in byte_letters().items()})
     stops = {x: whole.encode(x, add_special_tokens=False).ids for x in ".,"}
-    word = lambda text: [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(letters))]
+    space = byte_letters()[32]
+
+    def word(text: str) -> list[int]:
+        plain = space + text[1:] if text.isascii() else text.encode().decode("latin-1").translate(letters)
+        return [t.id for t in model.tokenize(plain)]
 
     def ids(text: str) -> list[int]:
         if text[:1] == " ":
@@ -128,7 +142,7 @@ _MADE = T.StructType([T.StructField(*x) for x in (("token", T.IntegerType()), ("
 @lru_cache(maxsize=1)
 def worker_encoder(path: str) -> Encoder:
     """One for a worker: its memo serves all tasks that the worker runs."""
-    return Encoder(library_encoder(path))
+    return Encoder(library_encoder(path), MEMO)
 
 
 def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = None, column: str = "text", key: str = "doc_id") -> DataFrame:
@@ -184,7 +198,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None
         none = [None] * len(used)
         yield pa.RecordBatch.from_arrays([pa.array([*used.tolist(), None], pa.int32()), pa.array([*counts[used].tolist(), None], pa.int64()), pa.array([*none, path], pa.string()), pa.array([*none, first[0]], pa.int64()), pa.array([*none, total], pa.int64())], names=_MADE.names)
 
-    made = shared.write_table(ordered.mapInArrow(encode, _MADE), folder, "counts")
+    made = shared.write_table(ordered.mapInArrow(shared.tidy(encode), _MADE), folder, "counts")
     # as many rows as the vocabulary has ids, and as there are files
     counts = made.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).collect()
     order = ranking(np.array([r.token for r in counts], np.int64), np.array([r.n for r in counts], np.int64)).tobytes() if counts else b""
@@ -203,7 +217,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None
 
     schema = "path string, start long, tokens long"
     table = _spread(spark, files, schema)
-    done = shared.write_table(table.mapInArrow(again, schema), folder, "files")
+    done = shared.write_table(table.mapInArrow(shared.tidy(again), schema), folder, "files")
     for path, _, _ in files:  # all of the second pass is in place
         shared.remove(path)
     return done
@@ -241,4 +255,4 @@ def read_ids(files: DataFrame, with_ids: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cols + [pa.array(own, pa.binary())] * with_ids, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["token_ids"] * with_ids)
                     start += len(ids)
 
-    return _spread(spark, rows, "path string, start long").mapInArrow(read, schema)
+    return _spread(spark, rows, "path string, start long").mapInArrow(shared.tidy(read), schema)
