@@ -304,6 +304,8 @@ def repeated(docs: DataFrame, folder: str, column: str = "text", key: str = "doc
     for i in "12":
         near = near.join(docs_at.select(F.col("k").alias(f"k{i}"), F.struct("file", "at", "n").alias(f"p{i}")), f"k{i}")
 
+    near = near.repartition(4 * shared.partitions(docs.sparkSession), "k1", "k2")  # few bytes, much work
+
     def match(batches):
         for b in batches:
             out = []
