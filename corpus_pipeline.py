@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from paperloom.llm import bpe, leaks, near, pii, shared, toxicity
 from paperloom.llm.queries import VOCABULARY, table
 
+#: Parts that a worker remembers while it encodes; the same workers run the other stages.
+MEMO = 150_000
+
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model does not reject."""
@@ -42,7 +45,7 @@ def _pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, and the hash of what they decode to."""
-    coded = bpe.encode_text(docs, VOCABULARY, keep=["doc_id", "lang", "source"])
+    coded = bpe.encode_text(docs, VOCABULARY, keep=["doc_id", "lang", "source"], memo=MEMO)
     return bpe.decode_ids(coded, VOCABULARY).select("doc_id", "lang", "source", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

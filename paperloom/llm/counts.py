@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Keys that a worker gathers before it sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 BLOBS = "bucket int, keys binary, counts binary"
 U = np.uint64
 
@@ -109,7 +109,7 @@ def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
 
 
 def by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.select("bucket", "keys", "counts").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return rows.select("bucket", "keys", "counts").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
 
 
 def count(rows: DataFrame, folder: str, bits: int, least: int = 1) -> list[dict]:
