@@ -12,8 +12,8 @@ of two, so no step of Python is spent on a token.
    document, which links every document of a group without listing its pairs.
 3. Windows of a pair of documents that overlap on a common diagonal under at least ``HASHES_MEET``
    functions are joined to one region of each.
-4. The region is verified: the stretch with the best balance of shared tokens must reach ``LEAST``
-   tokens on both sides and a Jaccard similarity of 0.8.  Passages of a document that overlap are one.
+4. The region is verified: its longest stretch of a Jaccard similarity of 0.8 must reach ``LEAST``
+   tokens on both sides, then the rest is searched.  Passages of a document that overlap are one.
 
 The class of a passage is the connected component of the links.  Null and short texts have no passages;
 rows with a null id are left out; rows of one id are one document with several texts.
@@ -21,6 +21,7 @@ rows with a null id are left out; rows of one id are one document with several t
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -190,6 +191,60 @@ def _tokens(folder: str, side: tuple, lo: int, hi: int) -> tuple[np.ndarray, np.
     return shared.array_at(view, "<u4", at, n)[a:b], places[a:b].astype(np.int64)
 
 
+def _cut(x: tuple[np.ndarray, np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    s, e = np.searchsorted(x[1], [lo, hi + 1])
+    return x[0][s:e], x[1][s:e]
+
+
+def _chain(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of both sides at which they hold the same tokens, rising on both: a repeated token meets the one nearest to the common diagonal."""
+    order = np.argsort(b[0], kind="stable")
+    t, q = b[0][order], b[1][order]
+    first, after = np.searchsorted(t, a[0]), np.searchsorted(t, a[0], "right")
+    hit = np.flatnonzero(after > first)
+    p, first, after = a[1][hit], first[hit], after[hit]
+    if not len(hit):
+        return p, p
+    sole = after - first == 1
+    shift = int(np.median((q[first] - p)[sole])) if sole.any() else int(q.min() - p.min())
+    to = q[first].copy()
+    for i in np.flatnonzero(~sole).tolist():
+        some = q[first[i] : after[i]]  # rising, since the sort is stable
+        k = int(np.searchsorted(some, p[i] + shift))
+        near = some[max(k - 1, 0) : k + 1]
+        to[i] = near[np.abs(near - p[i] - shift).argmin()]
+    if (np.diff(to) > 0).all():
+        return p, to
+    tails, ends, back = [], [], np.full(len(to), -1)
+    for i, x in enumerate(to.tolist()):  # the longest rising part
+        k = bisect_left(tails, x)
+        tails[k : k + 1], ends[k : k + 1] = [x], [i]
+        back[i] = ends[k - 1] if k else -1
+    keep, i = [], ends[-1]
+    while i >= 0:
+        keep.append(i)
+        i = int(back[i])
+    return p[keep[::-1]], to[keep[::-1]]
+
+
+def _longest(p: np.ndarray, q: np.ndarray, n1: np.ndarray, n2: np.ndarray, i: np.ndarray, threshold: float) -> tuple[int, int]:
+    """(first, last) of the chain's stretch whose shorter side is longest among those of Jaccard similarity threshold or more.
+
+    n1, n2 and i count the tokens of both sides and the common ones up to each pair of the chain.  A stretch
+    is similar if (1 + threshold) * common >= threshold * tokens of both sides, which is a difference of a
+    value of its last pair and one of its first.
+    """
+    finish = (1 + threshold) * i - threshold * (n1 + n2)
+    begin = finish - (1 + threshold) + 2 * threshold
+    low = np.minimum.accumulate(begin)  # falls: the first place at which it is low enough is the best start
+    start = np.searchsorted(-low, -finish - 1e-9)
+    ok = start <= np.arange(len(p))
+    start = np.minimum(start, np.arange(len(p)))
+    size = np.where(ok, np.minimum(p - p[start], q - q[start]), -1)
+    end = int(size.argmax())
+    return int(start[end]), end
+
+
 def _best(places: np.ndarray, other: int) -> tuple[int, int]:
     """The stretch of best balance: 1 for each shared token, less ``other`` for each token between."""
     gain = np.arange(1, len(places) + 1) * (1 + other) - other * places
@@ -200,35 +255,83 @@ def _best(places: np.ndarray, other: int) -> tuple[int, int]:
     return int(places[start]), int(places[end])
 
 
-def _cut(x: tuple[np.ndarray, np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    s, e = np.searchsorted(x[1], [lo, hi + 1])
-    return x[0][s:e], x[1][s:e]
+def _dense(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[int, int, int, int] | None:
+    """The stretches of best balance, in whatever order both sides hold the tokens."""
+    side, ends = [a, b], [(0, 0), (0, 0)]
+    other = int(np.ceil((1 + threshold) / (1 - threshold) - 1e-9)) - 1  # a stretch of positive balance keeps the threshold
+    for i in (0, 1, 0):  # the best of one side, of the other within it, and of the first within that
+        hit = side[i][1][np.isin(side[i][0], side[1 - i][0])]
+        if not len(hit):
+            return None
+        ends[i] = _best(hit, other)
+        side[i] = _cut(side[i], *ends[i])
+    return *ends[0], *ends[1]
+
+
+def _again(t: np.ndarray) -> np.ndarray:
+    """Whether each token stands before in t."""
+    out = np.ones(len(t), bool)
+    out[np.unique(t, return_index=True)[1]] = False
+    return out
+
+
+def _candidates(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], p: np.ndarray, q: np.ndarray, threshold: float):
+    """The longest similar stretch of the chain with tokens counted once where they stand first, that with all tokens counted, and the densest."""
+    ends = lambda s, e: (int(p[s]), int(p[e]), int(q[s]), int(q[e]))
+    again, many = _again(a[0]), _again(b[0])
+    if again.any() or many.any():
+        at, to = np.searchsorted(a[1], p), np.searchsorted(b[1], q)
+        yield ends(*_longest(p, q, p - np.cumsum(again)[at], q - np.cumsum(many)[to], np.cumsum(~_again(a[0][at])), threshold))
+    yield ends(*_longest(p, q, p, q, np.arange(len(p)), threshold))
+    if (dense := _dense(a, b, threshold)) is not None:
+        yield dense
+
+
+def _similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], ends: tuple[int, int, int, int], least: int, threshold: float) -> bool:
+    """Whether the stretches have ``least`` tokens each and are similar; repeated tokens of a side count once, tokens that no other document has are distinct."""
+    l1, r1, l2, r2 = ends
+    n1, n2 = r1 - l1 + 1, r2 - l2 + 1
+    if min(n1, n2) < least:
+        return False
+    x, y = _cut(a, l1, r1)[0], _cut(b, l2, r2)[0]
+    u, v = np.unique(x), np.unique(y)
+    n1, n2 = n1 - len(x) + len(u), n2 - len(y) + len(v)
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return both >= threshold * (n1 + n2 - both) - 1e-9
 
 
 def verify(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: int = LEAST, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
-    """The verified stretches (first and last token of both sides) of a region, given its shared tokens and their places."""
+    """The verified stretches (first and last token of both sides) of a region, given its shared tokens and their places.
+
+    A stretch begins and ends with a token of both sides.  The whole region counts if it is similar, else
+    the longest similar stretch of the chain of common tokens; what lies before and after it is next.
+    """
     found, todo = [], [(a, b)]
-    other = int(np.ceil((1 + threshold) / (1 - threshold))) - 1  # a stretch of positive balance keeps the threshold
     while todo:
         a, b = todo.pop()
-        side, ends = [a, b], [None, None]
-        for i in (0, 1, 0):  # the best of one side, of the other within it, and of the first within that
-            hit = side[i][1][np.isin(side[i][0], side[1 - i][0])]
-            if len(hit) < threshold * least:
+        if min(len(a[0]), len(b[0])) == 0:
+            continue
+        hits = [x[1][np.isin(x[0], y[0])] for x, y in ((a, b), (b, a))]
+        if not len(hits[0]) or min(h[-1] - h[0] + 1 for h in hits) < least:
+            continue
+        ends = int(hits[0][0]), int(hits[0][-1]), int(hits[1][0]), int(hits[1][-1])
+        if _similar(a, b, ends, least, threshold):
+            found.append(ends)
+            continue
+        p, q = _chain(a, b)
+        long = False
+        for ends in _candidates(a, b, p, q, threshold):
+            l1, r1, l2, r2 = ends
+            long |= min(r1 - l1, r2 - l2) + 1 >= least
+            if _similar(a, b, ends, least, threshold):
+                found.append(ends)
+                todo += [(_cut(a, 0, l1 - 1), _cut(b, 0, l2 - 1)), (_cut(a, r1 + 1, 1 << 40), _cut(b, r2 + 1, 1 << 40))]
                 break
-            ends[i] = _best(hit, other)
-            side[i] = _cut(side[i], *ends[i])
         else:
-            (l1, r1), (l2, r2) = ends
-            n1, n2 = r1 - l1 + 1, r2 - l2 + 1
-            if min(n1, n2) < least:
-                continue
-            # repeated tokens of a side count once; tokens that no other document has are distinct
-            n1, n2 = n1 - len(side[0][0]) + len(np.unique(side[0][0])), n2 - len(side[1][0]) + len(np.unique(side[1][0]))
-            both = len(np.intersect1d(side[0][0], side[1][0]))
-            if both >= threshold * (n1 + n2 - both):
-                found.append((l1, r1, l2, r2))
-                todo += [(_cut(a, 0, l1 - 1), _cut(b, 0, l2 - 1)), (_cut(a, r1 + 1, 1 << 40), _cut(b, r2 + 1, 1 << 40))]
+            if long and len(p) > 1:  # repeated tokens made it seem similar: both sides of the widest hole, or of the middle, are next
+                hole = np.diff(p) + np.diff(q)
+                k = int(hole.argmax()) if hole.max() > 2 else len(hole) // 2
+                todo += [(_cut(a, 0, int(p[k])), _cut(b, 0, int(q[k]))), (_cut(a, int(p[k + 1]), 1 << 40), _cut(b, int(q[k + 1]), 1 << 40))]
     return found
 
 

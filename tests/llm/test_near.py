@@ -150,6 +150,63 @@ def test_repeated_passages(spark, folder):
     assert set(got) == {0, 1, 2, 3, 4, 7, 8}
 
 
+def region(x, y):
+    """Shared tokens and their places of two lists of words, as verify takes them."""
+    s = [[" ".join(w[i : i + 5]) for i in range(len(w) - 4)] for w in (x, y)]
+    ids = {t: i for i, t in enumerate(sorted(set(s[0]) & set(s[1])))}
+    side = lambda t: (np.array([ids[g] for g in t if g in ids], np.uint32), np.array([i for i, g in enumerate(t) if g in ids], np.int64))
+    return side(s[0]), side(s[1])
+
+
+def brute_stretch(a, b, least, threshold):
+    """The length of the longest stretches (its shorter side) that begin and end with shared tokens and are similar, by all pairs of ends; 0 if none."""
+    best = 0
+    at = {int(t): int(p) for t, p in zip(*b)}
+    pairs = [(int(p), at[int(t)]) for t, p in zip(*a)]
+    for i, (l1, l2) in enumerate(pairs):
+        for j in range(i, len(pairs)):
+            r1, r2 = pairs[j]
+            n1, n2 = r1 - l1 + 1, r2 - l2 + 1
+            both = len({int(t) for t in a[0][(a[1] >= l1) & (a[1] <= r1)]} & {int(t) for t in b[0][(b[1] >= l2) & (b[1] <= r2)]})
+            if min(n1, n2) >= least and both >= threshold * (n1 + n2 - both) - 1e-9:
+                best = max(best, min(n1, n2))
+    return best
+
+
+def test_edits_within_a_passage_equal_brute_force():
+    rng = random.Random(5)
+    word = lambda n: [f"{rng.choice(VOCABULARY)}{rng.randrange(10**6)}" for _ in range(n)]
+    found = lost = 0
+    for n in (55, 60, 70, 80, 100):
+        for at in range(0, n, 3):
+            p = word(n)
+            q = list(p)
+            q[at] = "edit"
+            if at % 2:
+                q[(at * 7) % n : (at * 7) % n + 1] = []
+            a, b = region(word(12) + p + word(9), word(7) + q + word(11))
+            want = brute_stretch(a, b, passages.LEAST, passages.THRESHOLD)
+            got = passages.verify(a, b)
+            assert max((min(r1 - l1, r2 - l2) + 1 for l1, r1, l2, r2 in got), default=0) == want
+            found, lost = found + bool(want), lost + (not want)
+    assert found > 80 and lost > 0
+    p = word(1000)
+    q = [w if i % 48 else "edit" + w for i, w in enumerate(p)]
+    (l1, r1, l2, r2), *_ = passages.verify(*region(p, q))
+    assert r1 - l1 > 900 and r2 - l2 > 900
+
+
+def test_repeated_lines_within_a_passage():
+    rng = random.Random(6)
+    word = lambda n: [f"{rng.choice(VOCABULARY)}{rng.randrange(10**6)}" for _ in range(n)]
+    line, p, stray = word(20), word(50), word(8)
+    x = stray + word(30) + p + line * 3 + word(30) + stray
+    y = stray + word(60) + p + line + word(60) + stray
+    assert any(l1 <= 38 and r1 >= 38 + 65 for l1, r1, _, _ in passages.verify(*region(x, y)))
+    x, y = ["x"] * 100 + word(10), ["x"] * 120 + word(12)
+    assert passages.verify(*region(x, y)) == [(0, 95, 0, 115)]
+
+
 def test_passages_of_odd_rows(spark, odd_docs, no_docs, folder):
     assert passages.repeated(odd_docs, folder).count() == 0
     assert passages.repeated(no_docs, f"{folder}2").count() == 0
