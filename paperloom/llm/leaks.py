@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 1. One pass over the documents looks every word trigram up among those of the test items.  Hits near
    one diagonal of a document and an item become a window of the document's words.
-2. A seed is rare if at most a thousandth of the documents have it, or if it is in the rarer half of
-   its item's seeds (so an item that leaked into many documents keeps seeds).  Windows without a rare
-   seed are dropped.
+2. A window whose words could not reach the least score even if all those it has in common with the
+   item were aligned is dropped, which is exact.  How frequent a seed is does not matter.
 3. Local alignment of words (match 2, other -1, gap -1) scores each window; the similarity is
    the score over that of the whole item, and a window counts from 0.5 on.
 
@@ -28,7 +27,7 @@ from .drops import without
 from .frames import slices
 from .tokens import shingles, word_hashes
 
-SEED, RARE, LEAST = 3, 0.001, 0.5
+SEED, LEAST = 3, 0.5
 MATCH, OTHER, GAP = 2, -1, -1
 #: Bytes of item text in a block.
 BLOCK = 32 << 20
@@ -42,6 +41,7 @@ class Items:
         long = np.diff(at) >= SEED
         self.ids = [i for i, ok in zip(ids, long.tolist()) if ok]
         self.words = [h[at[i] : at[i + 1]] for i in np.flatnonzero(long).tolist()]
+        self.kinds = [np.unique(w, return_counts=True) for w in self.words]
         self.size = np.array([len(w) for w in self.words], np.int64)
         g, gat = shingles(np.concatenate(self.words) if self.words else np.empty(0, U), np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64), SEED)
         item = np.repeat(np.arange(len(self.words)), np.diff(gat))
@@ -59,9 +59,15 @@ class Items:
         hit = self.seeds[pos] == g[some] if len(self.seeds) else np.zeros(0, bool)
         return some[hit], pos[hit]
 
+    def common(self, i: int, words: np.ndarray) -> int:
+        """The words of item i that an alignment with these words could match at most: each as often as the item or the words have it."""
+        own, many = self.kinds[i]
+        pos = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        return int(np.minimum(np.bincount(pos[own[pos] == words], minlength=len(own)), many).sum())
 
-def windows(items: Items, col: pa.Array):
-    """(row, item, first word, words, seeds) of each window of a column of texts."""
+
+def windows(items: Items, col: pa.Array, least: float = LEAST):
+    """(row, item, first word, words) of each window of a column of texts."""
     h, _, _, at = word_hashes(col)
     g, gat = shingles(h, at, SEED)
     where, seed = items.find(g)
@@ -73,9 +79,9 @@ def windows(items: Items, col: pa.Array):
     up = np.repeat(np.arange(len(where)), many)
     entry = items.first[seed][up] + np.arange(len(up)) - np.repeat(np.cumsum(many) - many, many)
     item, start = items.item[entry], word[up] - items.place[entry]
-    row, seed = row[up], seed[up]
+    row = row[up]
     order = np.lexsort((start, item, row))
-    row, item, start, seed = row[order], item[order], start[order], seed[order]
+    row, item, start = row[order], item[order], start[order]
     slack = items.size[item]
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > slack[1:])])
     cut = np.concatenate([np.flatnonzero(new), [len(row)]])
@@ -84,7 +90,9 @@ def windows(items: Items, col: pa.Array):
         pad = int(slack[lo]) // 2
         a = max(0, int(start[lo]) - pad)
         b = min(int(at[r + 1] - at[r]), int(start[hi - 1]) + int(slack[lo]) + pad)
-        yield r, i, a, h[at[r] + a : at[r] + b], np.unique(seed[lo:hi])
+        words = h[at[r] + a : at[r] + b]
+        if MATCH * items.common(i, words) >= least * MATCH * len(items.words[i]):
+            yield r, i, a, words
 
 
 def align(item: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,42 +118,30 @@ def align(item: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return best, end
 
 
-_WINDOW = "k long, item int, start int, words binary, seeds array<int>"
+_WINDOW = "k long, item int, start int, words binary"
 _FOUND = "k long, item int, score int, start int, end int"
 
 
-def _search(docs: DataFrame, items: Items, documents: int, folder: str, least: float) -> DataFrame:
+def _search(docs: DataFrame, items: Items, folder: str, least: float) -> DataFrame:
     def look(batches):
         for whole in batches:
             for b in slices(whole, "t", 4 << 20):
                 keys = b.column("k").to_pylist()
-                found = list(windows(items, b.column("t")))
+                found = list(windows(items, b.column("t"), least))
                 if found:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([keys[f[0]] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3].astype("<u8").tobytes() for f in found], pa.binary()), pa.array([f[4].tolist() for f in found], pa.list_(pa.int32()))],
-                        names=["k", "item", "start", "words", "seeds"],
+                        [pa.array([keys[f[0]] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3].astype("<u8").tobytes() for f in found], pa.binary())],
+                        names=["k", "item", "start", "words"],
                     )
 
     near = shared.write_table(docs.mapInArrow(shared.tidy(look), _WINDOW), folder, "windows")
-    df = np.zeros(len(items.seeds), np.int64)
-    each = near.select("k", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count("*").alias("n"))
-    for r in each.collect():  # a row for a seed of the block at most
-        df[r.seed] = r.n
-    rare = df <= RARE * documents
-    seed = np.repeat(np.arange(len(items.seeds)), np.diff(items.first))
-    order = np.lexsort((seed, df[seed], items.item))
-    it = items.item[order]
-    first = np.searchsorted(it, np.arange(len(items.words)))
-    rank = np.arange(len(it)) - first[it]
-    rare[seed[order][rank < np.ceil(np.diff(np.concatenate([first, [len(it)]]))[it] / 2)]] = True
 
     def score(batches):
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("k", "item", "start", "words", "seeds")]
+            cols = [b.column(c).to_pylist() for c in ("k", "item", "start", "words")]
             by: dict[int, list[tuple]] = {}
-            for k, i, s, w, seeds in zip(*cols):
-                if rare[seeds].any():
-                    by.setdefault(i, []).append((k, s, np.frombuffer(w, "<u8")))
+            for k, i, s, w in zip(*cols):
+                by.setdefault(i, []).append((k, s, np.frombuffer(w, "<u8")))
             out = []
             for i, found in by.items():
                 found.sort(key=lambda f: len(f[2]))
@@ -172,7 +168,6 @@ def find(docs: DataFrame, items: DataFrame, folder: str, column: str = "text", k
     """
     spark = docs.sparkSession
     rows = counts.text_rows(docs, column, key)
-    documents = docs.count()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     many = max(1, math.ceil(size / BLOCK))
     parts = []
@@ -180,7 +175,7 @@ def find(docs: DataFrame, items: DataFrame, folder: str, column: str = "text", k
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(many)) == p).select("item_id", F.coalesce("text", F.lit("")).alias("text")).collect()
         own = Items([r.item_id for r in block], [r.text for r in block])
         if own.ids:
-            parts.append(_search(rows, own, documents, f"{folder}/{p}", least))
+            parts.append(_search(rows, own, f"{folder}/{p}", least))
     if not parts:
         return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start_word int, end_word int")
     out = parts[0]

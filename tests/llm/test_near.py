@@ -243,6 +243,21 @@ def test_leaks(spark, odd_docs, no_docs, folder):
     assert leaks.drop_leaks(odd_docs, b, f"{folder}6").count() == odd_docs.count()
 
 
+def test_leaks_of_heavy_edits(spark, folder):
+    items = [text(30) for _ in range(5)]
+    every_fifth = [[w + "x" if j % 5 == 4 else w for j, w in enumerate(x)] for x in items]
+    docs = [text(60) for _ in range(200)]
+    for i in range(4):
+        docs[i][20:20] = every_fifth[i]
+    for i in range(50, 110):  # one edited copy in a third of the rows
+        docs[i][20:20] = every_fifth[4]
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks.find(d, b, folder).collect()}
+    assert set(got) == {*((i, i) for i in range(4)), *((i, 4) for i in range(50, 110))}
+    assert all(0.6 < x < 0.75 for x in got.values())
+
+
 def test_blocks_of_items_change_nothing(spark, folder, monkeypatch):
     items = [text(25) for _ in range(8)]
     d = spark.createDataFrame([(i, " ".join(text(20) + items[i] + text(20))) for i in range(8)], "doc_id long, text string")
