@@ -102,6 +102,20 @@ def test_pipeline(spark, folder):
     assert {r.doc_id: r.n_chars for r in stage.collect()} == {i: len(t) for i, t in clear.items()}
 
 
+def test_pipeline_drops_heavily_edited_passages(spark, folder):
+    items = [text(30) for _ in range(4)]
+    cut = [[w + "x" if j % 5 == 4 else w for j, w in enumerate(x)] for x in items]
+    rows = [text(60) for _ in range(120)]
+    for i in range(30):  # one edited passage in many different documents, and three in one each
+        rows[i][15:15] = cut[0] if i >= 3 else cut[i + 1]
+    docs = [(i, " ".join(r), "en", "s", len(" ".join(r))) for i, r in enumerate(rows)]
+    save = lambda data, schema, name: spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
+    save(docs, "doc_id long, text string, lang string, source string, n_chars long", "documents")
+    save([(i, 0) for i in range(100)], "doc_id long, toxic int", "labels")
+    save([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string", "benchmark")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == set(range(30, 120))
+
+
 def test_stages_take_empty_tables_and_more_columns(spark, folder):
     tables(spark, folder)
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, rejected boolean, pii string, n_tokens int")
