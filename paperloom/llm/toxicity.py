@@ -8,8 +8,10 @@ not; toxic training texts get grades 1 to 3 by thirds of their number of distinc
 that toxic texts have eight times as often.  The result is the expected grade (severity).
 
 Null and empty texts have no features.  Rows without a label, with a null label or without a text are
-not learned from; without both kinds of labels the severity of all is 0 and nothing is rejected.
-Repeated rows repeat.  Columns with the names of the added ones are replaced.
+not learned from; an id with contradicting labels is toxic; without both kinds of labels, as with empty
+tables, the severity of all is 0 and nothing is rejected.  Repeated rows repeat.  Of several texts under
+one id each is learned from and graded.  Columns with the names of the added ones are replaced; other
+columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -97,9 +99,10 @@ def fit_ordinal(rows: int, row: np.ndarray, col: np.ndarray, grade: np.ndarray,
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "text", key: str = "doc_id", label: str = "toxic") -> Model | None:
     """The model of labelled documents; None without both kinds of labels."""
-    chosen = labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("toxic")).where("_id IS NOT NULL AND toxic IS NOT NULL").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    marked = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("toxic")).where("k IS NOT NULL AND toxic IS NOT NULL")
+    chosen = marked.groupBy("k").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
     # SAMPLE rows of two numbers at most: every worker can hold them, and no text is moved to find its label
-    rows = docs.where(F.col(f"`{column}`").isNotNull()).join(F.broadcast(chosen), F.col(f"`{key}`") == F.col("_id")).select(F.col("_id").alias("k"), "toxic", F.col(f"`{column}`").alias("t"))
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{column}`").alias("t")).where("t IS NOT NULL").join(F.broadcast(chosen), "k").select("k", "toxic", "t")
     rows = shared.write_table(rows, shared.run_folder(docs.sparkSession, "toxicity"), "sample")
 
     def tally(batches):
