@@ -116,8 +116,9 @@ def count(rows: DataFrame, folder: str, bits: int, least: int = 1) -> list[dict]
     """Writes the store of the blobs in rows; returns its files (bucket, path, n, total) by bucket.
 
     Keys counted fewer than ``least`` times are left out of the files; ``total`` and ``distinct`` have them.
+    Counts have four bytes each, or eight (``wide``) in a file that holds one of 2**32 or more.
     """
-    schema = "bucket int, path string, n long, total long, distinct long"
+    schema = "bucket int, path string, n long, total long, distinct long, wide boolean"
 
     def write(batches):
         for bucket, k, n in merged(batches):
@@ -125,21 +126,23 @@ def count(rows: DataFrame, folder: str, bits: int, least: int = 1) -> list[dict]
             if least > 1:
                 k, n = k[n >= least], n[n >= least]
             path = f"{folder}/{bucket:06d}-{shared.attempt_name()}"
-            shared.put(path, [k.astype("<u8").tobytes(), np.minimum(n, 0xFFFFFFFF).astype("<u4").tobytes()])
-            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "path": path, "n": len(k), "total": total, "distinct": distinct}], schema=_MANIFEST)
+            wide = int(n.max(initial=0)) >= 1 << 32
+            shared.put(path, [k.astype("<u8").tobytes(), n.astype(_WIDTH[wide]).tobytes()])
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "path": path, "n": len(k), "total": total, "distinct": distinct, "wide": wide}], schema=_MANIFEST)
 
     made = shared.write_table(by_bucket(rows, 1 << bits).mapInArrow(shared.tidy(write), schema), folder, "manifest")
     return sorted((r.asDict() for r in made.collect()), key=lambda r: r["bucket"])  # a row for each file
 
 
-_MANIFEST = pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("n", pa.int64()), ("total", pa.int64()), ("distinct", pa.int64())])
+_MANIFEST = pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("n", pa.int64()), ("total", pa.int64()), ("distinct", pa.int64()), ("wide", pa.bool_())])
+_WIDTH = {False: "<u4", True: "<u8"}
 
 
 class Store:
     """Counts and ranks of keys in the files of ``count``."""
 
     def __init__(self, files: list[dict], bits: int) -> None:
-        self.bits, self.files, self.open = bits, {f["bucket"]: f for f in files}, {}
+        self.bits, self.files, self.open = bits, {f["bucket"]: f for f in files}, shared.Views()
         at = 0
         for f in files:
             self.files[f["bucket"]]["base"] = at
@@ -147,14 +150,12 @@ class Store:
         self.size = at
 
     def arrays(self, bucket: int) -> tuple[np.ndarray, np.ndarray, int] | None:
-        if bucket not in self.open:
-            f = self.files.get(bucket)
-            if f is None:
-                self.open[bucket] = None
-            else:
-                view, n = shared.mapped(f["path"]), f["n"]
-                self.open[bucket] = shared.array_at(view, "<u8", 0, n), shared.array_at(view, "<u4", 8 * n, n), f["base"]
-        return self.open[bucket]
+        f = self.files.get(bucket)
+        if f is None:
+            return None
+        n = f["n"]
+        view = self.open(f["path"])
+        return shared.array_at(view, "<u8", 0, n), shared.array_at(view, _WIDTH[f["wide"]], 8 * n, n), f["base"]
 
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, rank) of each key; 0 and -1 where it is not in the store."""

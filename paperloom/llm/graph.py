@@ -30,6 +30,20 @@ class Forest:
         return True
 
 
+#: The part of all rows from which on a key's rows are too many for one task.
+HOT = 0.001
+
+
+def join_sized(rows: DataFrame, other: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined (inner) with other, which has each key once and knows in ``size`` how many of ``total`` rows have it.
+
+    Keys with more than ``HOT`` of all rows, of which there are 1 / HOT at most, are sent to all workers; their rows stay where they are.
+    """
+    hot = other.where(F.col(size) > HOT * total)
+    cold = other.where(F.col(size) <= HOT * total)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, label): the least id of the component of each node of the edges (u, v); loops and nulls are left out.
 

@@ -7,9 +7,11 @@
 3. Local alignment of words (match 2, other -1, gap -1) scores each window; the similarity is
    the score over that of the whole item, and a window counts from 0.5 on.
 
-Items are read in blocks of bounded text, each with its own pass, so what workers hold is bounded.
-An item of fewer than three words is no evidence and matches nothing; null texts are empty; repeated
-documents and items give repeated findings of equal score once for each pair of ids.
+Items are read in blocks of bounded text (one longer item stands alone), each with its own pass, so what
+workers hold is bounded.  An item of fewer than three words is no evidence and matches nothing; null
+texts are empty and match nothing; repeated documents and items give one finding for each pair of ids.
+An empty table of documents or items gives no findings.  Columns other than the key, the text and the
+item's own two play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import counts, shared
 from .counts import U
-from .drops import without
+from .drops import ALL, once, text_hash, without
 from .frames import slices
 from .tokens import shingles, word_hashes
 
@@ -118,8 +120,8 @@ def align(item: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return best, end
 
 
-_WINDOW = "k long, item int, start int, words binary"
-_FOUND = "k long, item int, score int, start int, end int"
+_WINDOW = "k long, text_hash binary, item int, start int, words binary"
+_FOUND = "k long, text_hash binary, item int, score int, start int, end int"
 
 
 def _search(docs: DataFrame, items: Items, folder: str, least: float) -> DataFrame:
@@ -129,19 +131,20 @@ def _search(docs: DataFrame, items: Items, folder: str, least: float) -> DataFra
                 keys = b.column("k").to_pylist()
                 found = list(windows(items, b.column("t"), least))
                 if found:
+                    hashes = {r: text_hash(b.column("t")[r].as_py()) for r in {f[0] for f in found}}
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([keys[f[0]] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3].astype("<u8").tobytes() for f in found], pa.binary())],
-                        names=["k", "item", "start", "words"],
+                        [pa.array([keys[f[0]] for f in found], pa.int64()), pa.array([hashes[f[0]] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3].astype("<u8").tobytes() for f in found], pa.binary())],
+                        names=["k", "text_hash", "item", "start", "words"],
                     )
 
     near = shared.write_table(docs.mapInArrow(shared.tidy(look), _WINDOW), folder, "windows")
 
     def score(batches):
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("k", "item", "start", "words")]
+            cols = [b.column(c).to_pylist() for c in ("k", "text_hash", "item", "start", "words")]
             by: dict[int, list[tuple]] = {}
-            for k, i, s, w in zip(*cols):
-                by.setdefault(i, []).append((k, s, np.frombuffer(w, "<u8")))
+            for k, t, i, s, w in zip(*cols):
+                by.setdefault(i, []).append(((k, t), s, np.frombuffer(w, "<u8")))
             out = []
             for i, found in by.items():
                 found.sort(key=lambda f: len(f[2]))
@@ -151,40 +154,46 @@ def _search(docs: DataFrame, items: Items, folder: str, least: float) -> DataFra
                     for (k, s, w), value, e in zip(part, best.tolist(), end.tolist()):
                         if value >= least * MATCH * len(items.words[i]):
                             back, size = align(items.words[i][::-1], [w[:e][::-1]])
-                            out.append((k, i, value, s + e - int(size[0]), s + e))
+                            out.append((*k, i, value, s + e - int(size[0]), s + e))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=["k", "item", "score", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=["k", "text_hash", "item", "score", "start", "end"])
 
     found = near.mapInArrow(shared.tidy(score), _FOUND)
     names = docs.sparkSession.createDataFrame([(i, x, len(w)) for i, (x, w) in enumerate(zip(items.ids, items.words))], "item int, item_id long, size int")
-    best = found.groupBy("k", "item").agg(F.max(F.struct("score", (-F.col("start")).alias("early"), "end")).alias("b"))
-    return best.join(names, "item").select(F.col("k").alias("doc_id"), "item_id", (F.col("b.score") / (MATCH * F.col("size"))).alias("similarity"), (-F.col("b.early")).alias("start_word"), F.col("b.end").alias("end_word"))
+    best = found.groupBy("k", "text_hash", "item").agg(F.max(F.struct("score", (-F.col("start")).alias("early"), "end")).alias("b"))
+    return best.join(names, "item").select("k", "text_hash", "item_id", (F.col("b.score") / (MATCH * F.col("size"))).alias("similarity"), (-F.col("b.early")).alias("start_word"), F.col("b.end").alias("end_word"))
 
 
-def find(docs: DataFrame, items: DataFrame, folder: str, column: str = "text", key: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """(doc_id, item_id, similarity, start_word, end_word): a row for each document and each test item found in it.
-
-    items: (item_id, text).  The best window of a pair counts, then the first.
-    """
+def found_in(docs: DataFrame, items: DataFrame, folder: str, column: str = "text", key: str = "doc_id", least: float = LEAST) -> DataFrame:
+    """(k, text_hash, item_id, similarity, start_word, end_word): the best window of each text and test item of a block."""
     spark = docs.sparkSession
     rows = counts.text_rows(docs, column, key)
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    many = max(1, math.ceil(size / BLOCK))
-    parts = []
+    many = max(1, math.ceil(2 * size / BLOCK))
+    parts = [spark.createDataFrame([], "k long, text_hash binary, item_id long, similarity double, start_word int, end_word int")]
     for p in range(many):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(many)) == p).select("item_id", F.coalesce("text", F.lit("")).alias("text")).collect()
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == p).collect()  # about BLOCK / 2 bytes
         own = Items([r.item_id for r in block], [r.text for r in block])
         if own.ids:
             parts.append(_search(rows, own, f"{folder}/{p}", least))
-    if not parts:
-        return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start_word int, end_word int")
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("similarity", "start_word", "end_word"), F.struct("similarity", -F.col("start_word"))).alias("b")).select("doc_id", "item_id", "b.*")
+    return out
+
+
+def find(docs: DataFrame, items: DataFrame, folder: str, column: str = "text", key: str = "doc_id", least: float = LEAST) -> DataFrame:
+    """(doc_id, item_id, similarity, start_word, end_word): a row for each document and each test item found in it.
+
+    items: (item_id, text).  The best window of a pair counts, then the first.  Several texts under one id
+    are one document here, and several under one item id one item.
+    """
+    best = F.max_by(F.struct("similarity", "start_word", "end_word"), F.struct("similarity", -F.col("start_word"), F.col("end_word")))
+    return found_in(docs, items, folder, column, key, least).groupBy(F.col("k").alias("doc_id"), "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, folder: str, column: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the rows in which a test item was found; rows with a null id stay."""
-    gone = find(docs, items, folder, column, key).select("doc_id").where("doc_id IS NOT NULL")
-    return without(docs, gone, f"{folder}/gone", key)
+    """docs without the rows in whose text a test item was found; rows with a null id stay."""
+    gone = once(found_in(docs, items, folder, column, key), F.lit(ALL))
+    return without(docs, gone, f"{folder}/gone", column, key)

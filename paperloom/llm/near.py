@@ -8,20 +8,22 @@ weigh a third of the edits, and copies would fall under the threshold for being
 2. A shingle that no other document has cannot be shared.  A text whose shared shingles weigh less
    than the threshold's part of it therefore has no partner; the rest are the candidates.
 3. Candidates get 42 consistent weighted samples in 14 bands of 3; equal texts are one candidate.
-4. The members of a band's bucket are compared by weighted Jaccard similarity, in blocks that are
-   compared pairwise, so a bucket of any size is done by many tasks.  A task returns only a spanning
-   forest of the links it finds, which has the same classes as all of them.
+4. The members of a band's bucket are compared by weighted Jaccard similarity.  Those of a large bucket
+   meet its first member; what is not like it meets all others, in blocks, so a bucket of any size is
+   done by many tasks.  A task returns only a spanning forest of the links it finds, which has the same
+   classes as all of them.
 5. Connected components of the links are the classes; the least doc_id names each.
 
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**3)**14 = 0.00004.
 
 A null text is empty; texts without words are near only to equal texts.  A row whose doc_id is null
-stands alone, with a null class.  Repeated rows share a class.  An empty table gives no rows.
+stands alone, with a null class.  Repeated rows share a class.  Several texts under one id are apart:
+each belongs to the class of its own text.  An empty table gives no rows.  Columns of docs other than the
+key and the text play no part, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -31,14 +33,14 @@ from pyspark.sql import functions as F
 
 from . import counts, shared
 from .counts import U
-from .drops import without
+from .drops import ALL, ONE, once, text_hash, without
 from .frames import slices
-from .graph import Forest, components
+from .graph import Forest, components, join_sized
 from .tokens import mix, shingles, word_hashes
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 14, 3
 #: Members of a block of a bucket, and of a tile that one matrix product compares.
-BLOCK, TILE, COLUMNS = 4096, 256, 4096
+BLOCK, TILE, COLUMNS = 512, 256, 4096
 _PIECE = 1 << 20
 
 
@@ -120,11 +122,11 @@ def frequencies(rows: DataFrame, folder: str, documents: int, words: int = WORDS
     return counts.count(found, folder, bits, least=2), bits
 
 
-_SIGNED = "k long, text_hash binary, path string, at long, n int, total double, bands array<long>"
+_SIGNED = "k long, text_hash binary, can boolean, path string, at long, n int, total double, bands array<long>"
 
 
 def sign(rows: DataFrame, folder: str, files: list[dict], bits: int, documents: int, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """A row for each of (k, t); text_hash is null where the text can have no partner."""
+    """A row for each of (k, t); ``can`` is false where the text can have no partner."""
 
     def run(batches):
         store, kept = counts.Store(files, bits), kept_bits(documents)
@@ -169,9 +171,8 @@ def sign(rows: DataFrame, folder: str, files: list[dict], bits: int, documents:
                             weight[i] = whole_w[i]
                             at += 12 * len(f)
                             yield f[order].astype("<u8").tobytes() + idf[keep][level][order].astype("<f4").tobytes()
-                    texts = b.column("t").to_pylist()
-                    names = [hashlib.blake2b(t.encode(), digest_size=16).digest() if c else None for t, c in zip(texts, can.tolist())]
-                    rows_out.append(pa.RecordBatch.from_arrays([keys, pa.array(names, pa.binary()), pa.array([path] * len(can)), pa.array(place[:, 0]), pa.array(place[:, 1].astype(np.int32)), pa.array(weight), pa.array(bands, pa.list_(pa.int64()))], names=["k", "text_hash", "path", "at", "n", "total", "bands"]))
+                    names = [text_hash(t) for t in b.column("t").to_pylist()]
+                    rows_out.append(pa.RecordBatch.from_arrays([keys, pa.array(names, pa.binary()), pa.array(can), pa.array([path] * len(can)), pa.array(place[:, 0]), pa.array(place[:, 1].astype(np.int32)), pa.array(weight), pa.array(bands, pa.list_(pa.int64()))], names=["k", "text_hash", "can", "path", "at", "n", "total", "bands"]))
 
         shared.put(path, vectors())
         yield from rows_out
@@ -179,13 +180,14 @@ def sign(rows: DataFrame, folder: str, files: list[dict], bits: int, documents:
     return rows.mapInArrow(shared.tidy(run), _SIGNED)
 
 
-@lru_cache(maxsize=512)
-def _mapped(path: str):
-    return shared.mapped(path)
+@lru_cache(maxsize=1)
+def _views() -> shared.Views:
+    """One for a worker."""
+    return shared.Views()
 
 
 def _vector(path: str, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    view = _mapped(path)
+    view = _views()(path)
     return shared.array_at(view, "<u8", at, n), shared.array_at(view, "<f4", at + 8 * n, n)
 
 
@@ -247,71 +249,100 @@ def _tile(members: list[tuple], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (u, v) of rows (bucket, k, path, at, n, total), a forest for each pair of blocks of a bucket."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
-    parts = F.ceil(F.col("many") / BLOCK).cast("int")
-    placed = members.join(sizes, "bucket").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("k"), "parts").cast("int"))
-    copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keyed = copies.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "k", "path", "at", "n", "total")
-    work = keyed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+_MEMBER = ["k", "path", "at", "n", "total"]
+
+
+def bucket_links(members: DataFrame, folder: str, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) of rows (bucket, k, path, at, n, total): as many as connect all members of a bucket that links connect.
+
+    A bucket of up to ``block`` members is one task's work.  In a larger one all members are compared with
+    the first; those that are not like it are then compared, block by block, with all members, while two that
+    are like it need no more links.
+    """
+    members = members.select("bucket", *_MEMBER)
+    first = members.groupBy("bucket").agg(F.count("*").alias("many"), F.min(F.struct(*_MEMBER)).alias("first")).where("many > 1")
+    first = shared.write_table(first, folder, "buckets")
+    many = members.count()
+    small = join_sized(members, first.where(F.col("many") <= block).select("bucket", "many"), "bucket", "many", many)
+    large = join_sized(members, first.where(F.col("many") > block), "bucket", "many", many)
+
+    def compare(batches):
+        for b in batches:
+            rows = list(zip(*(b.column(c).to_pylist() for c in (*_MEMBER, "first"))))
+            linked = [r[0] == r[5]["k"] or bool(links_of([r[1:5], tuple(r[5][c] for c in _MEMBER[1:])], [0], [1], threshold)) for r in rows]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("bucket", *_MEMBER, "many")), pa.array([r[5]["k"] for r in rows], pa.int64()), pa.array(linked, pa.bool_())], names=["bucket", *_MEMBER, "many", "first", "linked"])
+
+    star = shared.write_table(large.select("bucket", *_MEMBER, "many", "first").mapInArrow(shared.tidy(compare), "bucket long, k long, path string, at long, n int, total double, many long, first long, linked boolean"), folder, "stars")
+    loose = star.where("NOT linked").groupBy("bucket").agg(F.count("*").alias("apart"))
+    open_ones = join_sized(star, loose, "bucket", "apart", many)
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("k"), n).cast("int")
+    none, yes, no = F.lit(0), F.lit(True), F.lit(False)
+    to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    work = (
+        small.select("bucket", none.alias("i"), none.alias("j"), yes.alias("left"), yes.alias("right"), *_MEMBER)
+        .unionByName(open_ones.where("NOT linked").select("bucket", own(blocks("apart")).alias("i"), to(blocks("many")).alias("j"), yes.alias("left"), no.alias("right"), *_MEMBER))
+        .unionByName(open_ones.select("bucket", to(blocks("apart")).alias("i"), own(blocks("many")).alias("j"), no.alias("left"), yes.alias("right"), *_MEMBER))
+    )
+    work = work.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches):
-        def done(key, rows):
-            members = [r[2:] for r in rows]
-            left = [x for x, r in enumerate(rows) if r[0] == key[1]]
-            right = left if key[1] == key[2] else [x for x, r in enumerate(rows) if r[0] == key[2]]
-            found = links_of(members, left, right, threshold)
-            return [(rows[x][1], rows[y][1]) for x, y in found]
+        def done(rows):
+            members = [r[3:] for r in rows]
+            left, right = ([x for x, r in enumerate(rows) if r[side]] for side in (0, 1))
+            return [(rows[x][2], rows[y][2]) for x, y in links_of(members, left, right, threshold) if rows[x][2] != rows[y][2]]
 
         at, rows, out = None, [], []
         for b in batches:
             for bucket, i, j, *rest in zip(*(c.to_pylist() for c in b.columns)):
                 if (bucket, i, j) != at:
                     if rows:
-                        out += done(at, rows)
+                        out += done(rows)
                     at, rows = (bucket, i, j), []
                 rows.append(rest)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
+                yield _links(out)
                 out = []
-        if rows and (out := done(at, rows)):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
+        if rows and (out := done(rows)):
+            yield _links(out)
+
+    def _links(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
 
-    return work.mapInArrow(shared.tidy(run), "u long, v long")
+    return work.mapInArrow(shared.tidy(run), "u long, v long").unionByName(star.where("linked AND k <> first").select(F.col("first").alias("u"), F.col("k").alias("v")))
 
 
 def classes(docs: DataFrame, folder: str, column: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """(doc_id, class_id, class_size): a row for each row of docs."""
+    """(doc_id, class_id, class_size, text_hash, class_text): a row for each row of docs.
+
+    A class is named by the id and the text hash of its first row (least id, then least hash), so that texts
+    under one id are apart.
+    """
     rows = counts.text_rows(docs, column, key)
     documents = docs.count()
     files, bits = frequencies(rows, f"{folder}/frequencies", documents, words)
     signed = shared.write_table(sign(rows, f"{folder}/vectors", files, bits, documents, threshold, words), folder, "signed")
-    candidates = signed.where("text_hash IS NOT NULL")
-    texts = candidates.groupBy("text_hash").agg(F.min("k").alias("first"), F.count("*").alias("copies"))
-    texts = shared.write_table(texts, folder, "texts")
-    one = candidates.join(texts.select("text_hash", "first"), "text_hash").where("k = first").dropDuplicates(["text_hash"])
-    members = shared.write_table(one.select("k", "path", "at", "n", "total", F.explode("bands").alias("bucket")), folder, "members")
-    edges = bucket_links(members.select("bucket", "k", "path", "at", "n", "total"), threshold)
-    labels = components(edges, f"{folder}/components")
-    named = texts.join(labels, texts["first"] == labels["node"], "left").select("text_hash", "copies", F.coalesce("label", "first").alias("class_id"))
-    sizes = named.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    named = shared.write_table(named.join(sizes, "class_id").select("text_hash", "class_id", "class_size"), folder, "named")
-    near = candidates.select("k", "text_hash").join(named, "text_hash").select("k", "class_id", "class_size")
-    alone = signed.where("text_hash IS NULL").select("k", F.col("k").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return near.unionByName(alone).select(F.col("k").alias(key), "class_id", "class_size")
+    candidates = signed.where("can")
+    # a node for each text: equal texts have equal vectors, so any row's will do
+    texts = candidates.groupBy("text_hash").agg(F.min("k").alias("first"), F.count("*").alias("copies"), F.first(F.struct("path", "at", "n", "total", "bands")).alias("v"))
+    texts = shared.write_table(texts.withColumn("node", F.monotonically_increasing_id()), folder, "texts")
+    members = shared.write_table(texts.select(F.explode("v.bands").alias("bucket"), F.col("node").alias("k"), "v.path", "v.at", "v.n", "v.total"), folder, "members")
+    label = components(bucket_links(members, f"{folder}/links", threshold), f"{folder}/components")
+    placed = shared.write_table(texts.select("text_hash", "first", "copies", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), folder, "placed")
+    sizes = shared.write_table(placed.groupBy("label").agg(F.sum("copies").alias("class_size"), F.count("*").alias("texts"), F.min(F.struct("first", "text_hash")).alias("least")), folder, "classes")
+    named = join_sized(placed.select("text_hash", "copies", "label"), sizes, "label", "texts", documents)
+    named = shared.write_table(named.select("text_hash", "copies", F.col("least.first").alias("class_id"), F.col("least.text_hash").alias("class_text"), "class_size"), folder, "named")
+    near = join_sized(candidates.select("k", "text_hash"), named, "text_hash", "copies", documents).select("k", "class_id", "class_size", "text_hash", "class_text")
+    alone = signed.where("NOT can").select("k", F.col("k").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "text_hash", F.col("text_hash").alias("class_text"))
+    return near.unionByName(alone).select(F.col("k").alias(key), "class_id", "class_size", F.lower(F.hex("text_hash")).alias("text_hash"), F.lower(F.hex("class_text")).alias("class_text"))
 
 
 def keep_one(docs: DataFrame, folder: str, column: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs but for those of near-duplicates whose id is not the least of their class; all columns stay.
+    """One row of docs of each class, that of the least id, then of the least text hash; all columns stay.
 
-    Of repeated rows with the least id and one text one stays.
+    Of repeated rows of that id and text one stays; rows with a null id stay.
     """
-    found = shared.write_table(classes(docs, folder, column, key), folder, "classes")
-    gone = found.where(F.col(key) != F.col("class_id")).select(key)
-    again = found.where((F.col(key) == F.col("class_id")) & (F.col("class_size") > 1)).groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    rest = without(docs, gone, f"{folder}/gone", key)
-    if again.isEmpty():
-        return rest
-    repeated = rest.join(again, F.col(f"`{key}`") == F.col("_again"), "left_semi").dropDuplicates([key, column])
-    return rest.join(again, F.col(f"`{key}`") == F.col("_again"), "left_anti").unionByName(repeated)
+    found = shared.write_table(classes(docs, folder, column, key), folder, "classes_of_rows")
+    rows = found.where("class_size > 1").select(F.col(f"`{key}`").alias("k"), F.unhex("text_hash").alias("text_hash"), "class_id", F.unhex("class_text").alias("class_text"))
+    first = F.first((F.col("k") == F.col("class_id")) & (F.col("text_hash") == F.col("class_text")))
+    return without(docs, once(rows, F.when(first, ONE).otherwise(ALL)), f"{folder}/gone", column, key)

@@ -1,7 +1,8 @@
 """Shared folder, written tables and files that every worker can read.
 
 Everything that must outlive an executor goes below ``spark.checkpoint.dir``.  Where that
-setting is absent (tests), a folder is created and set once per session.  Files of our own
+setting is absent, a local session (one machine) gets a folder of its own, and any other session
+is refused: its workers would each write to their own disk.  Files of our own
 formats are written by workers under a name of the attempt and published in the rows that
 the task returns, so that a retried task never disturbs a reader.
 """
@@ -13,6 +14,7 @@ import mmap
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from urllib.parse import urlparse
 
 import numpy as np
@@ -23,6 +25,8 @@ def shared_root(spark: SparkSession) -> str:
     """The URI that the cluster names in spark.checkpoint.dir; set only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not (spark.sparkContext.master or "").startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='paperloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root:
@@ -97,6 +101,25 @@ def mapped(uri: str) -> memoryview:
         return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
+class Views:
+    """Files kept open, the last used: ``files`` of them, and of those that must be read, not mapped, ``most`` bytes."""
+
+    def __init__(self, most: int = 256 << 20, files: int = 4096) -> None:
+        self.most, self.files, self.held, self.size = most, files, OrderedDict(), 0
+
+    def __call__(self, uri: str) -> memoryview:
+        if uri in self.held:
+            self.held.move_to_end(uri)
+            return self.held[uri]
+        view = self.held[uri] = mapped(uri)
+        if _local(uri) is None:
+            self.size += len(view)
+        while (self.size > self.most or len(self.held) > self.files) and len(self.held) > 1:
+            gone, old = self.held.popitem(last=False)
+            self.size -= len(old) * (_local(gone) is None)
+        return view
+
+
 def remove(uri: str) -> None:
     local = _local(uri)
     if local is None:

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from paperloom.llm import leaks, near, passages, toxicity
+from paperloom.llm import drops, leaks, near, passages, toxicity
 
 RNG = random.Random(11)
 VOCABULARY = [f"{a}{b}" for a in "ka lo mi ne pu ra so ti".split() for b in "bar den fil gon hus jat".split()]
@@ -65,13 +65,56 @@ def test_classes_equal_brute_force(spark, folder):
 
 
 def test_large_buckets_in_blocks(spark, folder, monkeypatch):
-    monkeypatch.setattr(near, "BLOCK", 7)
     base = text(120)
     rows = [(i, " ".join(edited(base, i % 3))) for i in range(60)] + [(100 + i, " ".join(text(100))) for i in range(10)]
+    blocks = near.bucket_links
+    monkeypatch.setattr(near, "bucket_links", lambda members, folder, threshold: blocks(members, folder, threshold, 7))
     got = {r.doc_id: r.class_id for r in near.classes(spark.createDataFrame(rows, "doc_id long, text string"), folder).collect()}
     assert got == brute_classes(rows)
 
 
+def test_texts_under_one_id_are_apart(spark, folder):
+    a, b = " ".join(text(60)), " ".join(text(60))
+    docs = spark.createDataFrame([(3, b), (5, a), (5, b), (9, a), (9, None), (9, ""), (None, a), (None, a)], "doc_id long, text string")
+    got = {(r.doc_id, r.class_id, r.class_size, r.class_text == r.text_hash) for r in near.classes(docs, folder).collect() if r.doc_id}
+    assert got == {(3, 3, 2, True), (5, 5, 2, True), (5, 3, 2, True), (9, 5, 2, True), (9, 9, 2, True)}
+    kept = [(r.doc_id, r.text or "") for r in near.keep_one(docs, f"{folder}2").collect()]
+    assert sorted(kept, key=str) == sorted([(3, b), (5, a), (9, ""), (None, a), (None, a)], key=str)
+
+
+def test_columns_with_clashing_names(spark, folder):
+    names = "k, t, v, bucket, i, j, path, at, n, total, bands, many, first, label, node, class_id, class_size, text_hash, kind, toxic, _id, _same, rejected, words, item, item_id, start".split(", ")
+    base = " ".join(text(80))
+    rows = [(1, base, *["x"] * len(names)), (2, base, *["y"] * len(names)), (3, " ".join(text(80)), *["z"] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(7, rows[2][1], "x")], "item_id long, text string, doc_id string")
+    labels = spark.createDataFrame([(1, 0, "x"), (1, 1, "x"), (2, 1, "x"), (3, 0, "x")], "doc_id long, toxic int, text string")
+    kept = near.keep_one(docs, f"{folder}1")
+    assert kept.columns == docs.columns and {r.doc_id: r.k for r in kept.collect()} == {1: "x", 3: "z"}
+    left = leaks.drop_leaks(docs, items, f"{folder}2")
+    assert left.columns == docs.columns and {r.doc_id: r.item for r in left.collect()} == {1: "x", 2: "y"}
+    assert {(r.doc_id, r.item_id) for r in leaks.find(docs, items, f"{folder}3").collect()} == {(3, 7)}
+    assert toxicity.grade(docs, toxicity.fit(docs, labels)).count() == 3
+    assert {r.doc_id: r.class_docs for r in passages.repeated(docs, f"{folder}4").collect()} == {1: 2, 2: 2}
+
+
+def test_leaks_go_by_id_and_text(spark, folder):
+    item, clean = " ".join(text(30)), " ".join(text(60))
+    docs = spark.createDataFrame([(1, clean), (1, f"{clean[:40]} {item}"), (2, clean), (None, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(4, item), (4, item), (5, None), (6, "")], "item_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in leaks.drop_leaks(docs, items, folder).collect()), key=str) == sorted([(1, clean), (2, clean), (None, item)], key=str)
+    assert leaks.find(docs, items.limit(0), f"{folder}2").count() == 0 == leaks.find(docs.limit(0), items, f"{folder}3").count()
+
+
+def test_listed_rows_go(spark, folder):
+    docs = spark.createDataFrame([(i % 50, f"t{i % 3}", i) for i in range(300)], "doc_id long, text string, n int")
+    listed = spark.createDataFrame([(i, drops.text_hash(f"t{i % 3}"), drops.ALL) for i in range(10)] + [(i, drops.text_hash("t1"), drops.ONE) for i in range(20, 30)], "k long, text_hash binary, kind int")
+    left = [(r.doc_id, r.text) for r in drops.without(docs, listed, folder).collect()]
+    want = [(r.doc_id, r.text) for r in docs.collect() if not (r.doc_id < 10 and r.text == f"t{r.doc_id % 3}")]
+    one = Counter(x for x in want if 20 <= x[0] < 30 and x[1] == "t1")
+    assert Counter(left) == Counter(want) - one + Counter(dict.fromkeys(one, 1))
+
+
 def test_tiles_find_what_pairs_find(tmp_path):
     base = text(150)
     col = pa.array([" ".join(edited(base, RNG.randint(0, 6))) for _ in range(40)])
