@@ -9,14 +9,20 @@ of two, so no step of Python is spent on a token.
 1. Document frequencies of shingles are counted over the corpus; a node whose shingle no other
    document has is dropped, and so is a window with too few shared shingles for any partner.
 2. Windows with one signature (hash function and least shingle) meet at its first and its last
-   document, which links every document of a group without listing its pairs.
-3. Windows of a pair of documents that overlap on a common diagonal under at least ``HASHES_MEET``
+   text, which links most texts of a group without listing its pairs.
+3. Windows of a pair of texts that overlap on a common diagonal under at least ``HASHES_MEET``
    functions are joined to one region of each.
 4. The region is verified: its longest stretch of a Jaccard similarity of 0.8 must reach ``LEAST``
-   tokens on both sides, then the rest is searched.  Passages of a document that overlap are one.
+   tokens on both sides, then the rest is searched.  Passages of a text that overlap are one.
+5. A group is settled if the passages that hold its windows are of one class.  In the others, windows of
+   equal contents meet one of them; the contents that are not of the group's most frequent class then meet
+   all contents, in blocks, and pairs that hold enough common shingles, and that no link has connected
+   yet, are verified.
 
 The class of a passage is the connected component of the links.  Null and short texts have no passages;
-rows with a null id are left out; rows of one id are one document with several texts.
+rows with a null id are left out; several texts under one id are searched apart, and what only the texts
+of one id share does not repeat across documents, so repeated rows alone give nothing.  An empty table
+gives no rows.  Columns other than the key and the text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 from . import counts, shared
 from .counts import U
 from .frames import slices
-from .graph import components
+from .graph import Forest, components, join_sized
 from .near import WORDS, cut, frequencies, kept_bits
 from .tokens import mix, shingles, word_hashes
 
@@ -122,19 +128,49 @@ def joined(sig: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray) -> tupl
     return l[new], c[new], np.maximum.reduceat(r, new) if len(new) else r
 
 
-_WINDOWS = "sig long, fn int, k long, l int, c int, r int, file string, at long, n int"
-_REGION = "k1 long, l1 int, r1 int, k2 long, l2 int, r2 int"
+_WINDOWS = "sig long, fn int, node long, l int, c int, r int, content long, k long, file string, at long, n int"
+_REGION = "n1 long, l1 int, r1 int, n2 long, l2 int, r2 int"
+_LINK = "n1 long, s1 int, e1 int, n2 long, s2 int, e2 int"
+#: The least number of shingles that two similar stretches of LEAST have in common.
+COMMON = int(np.ceil(2 * LEAST * THRESHOLD / (1 + THRESHOLD) - 1e-9))
+#: Contents of a block of a group.
+BLOCK = 256
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    t = np.ones(1, U)
+    while len(t) < n:
+        with np.errstate(over="ignore"):
+            t = np.concatenate([t, t * U(pow(base, len(t), 1 << 64))])
+    return t[:n]
+
+
+_BASE = 0x9E3779B97F4A7C55
 
 
 def windows(rows: DataFrame, folder: str, files: list[dict], bits: int, documents: int) -> DataFrame:
-    """Compact windows around shared shingles; the shared shingles of their documents are written below folder."""
+    """Compact windows around shared shingles, with a hash of the shared shingles and their places about the window's own.
+
+    A text with windows also gives a row with a null sig, which says whose it is and where, below folder, its
+    shared shingles are.  Its node is a number of the task and the row.
+    """
     need = int(THRESHOLD * LEAST * 0.95)
 
     def run(batches):
+        from pyspark import TaskContext
+
         store, kept, name = counts.Store(files, bits), kept_bits(documents), shared.attempt_name()
         out: list[pa.RecordBatch] = []
+        number = TaskContext.get().partitionId() << 40
+        as_int = lambda x: pa.array(x.astype(np.int32))
+        schema = pa.schema([("sig", pa.int64()), ("fn", pa.int32()), ("node", pa.int64()), ("l", pa.int32()), ("c", pa.int32()), ("r", pa.int32()), ("content", pa.int64()), ("k", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("n", pa.int32())])
+
+        def table(**columns):
+            size = len(columns["node"])
+            out.append(pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema))
 
         def body():
+            nonlocal number
             at = 0
             for whole in batches:
                 for b in slices(whole.filter(pa.compute.is_valid(whole.column("k"))), "t", _PIECE):
@@ -146,6 +182,8 @@ def windows(rows: DataFrame, folder: str, files: list[dict], bits: int, document
                     common[np.setdiff1d(np.flatnonzero(common), place, assume_unique=True)] = False
                     total = np.concatenate([[0], np.cumsum(common)])
                     row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+                    with np.errstate(over="ignore"):
+                        content = np.concatenate([[U(0)], np.cumsum(np.where(common, g, U(0)) * _powers(len(g), _BASE), dtype=U)])
                     cols = []
                     for i in range(HASHES):
                         with np.errstate(over="ignore"):
@@ -156,6 +194,7 @@ def windows(rows: DataFrame, folder: str, files: list[dict], bits: int, document
                         l, c, r = l[keep], c[keep], r[keep]  # noqa: E741
                         cols.append((v[np.searchsorted(place, c)], np.full(len(c), i), l, c, r))
                     sig, fn, l, c, r = (np.concatenate(x) for x in zip(*cols))  # noqa: E741
+                    first, number = number, number + len(b)
                     if not len(sig):
                         continue
                     doc = row[c]
@@ -167,9 +206,10 @@ def windows(rows: DataFrame, folder: str, files: list[dict], bits: int, document
                         at += 8 * len(where)
                         yield (g[ptr[d] + where] >> U(32)).astype("<u4").tobytes() + where.astype("<u4").tobytes()
                     base = ptr[doc]
-                    keys = np.array(b.column("k").to_numpy(zero_copy_only=False), np.int64)
-                    as_int = lambda x: pa.array(x.astype(np.int32))
-                    out.append(pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), as_int(fn), pa.array(keys[doc]), as_int(l - base), as_int(c - base), as_int(r - base), pa.array([name] * len(sig)), pa.array(start[doc]), as_int(size[doc])], names=["sig", "fn", "k", "l", "c", "r", "file", "at", "n"]))
+                    with np.errstate(over="ignore"):
+                        about = (content[r + 1] - content[l]) * _powers(len(g), pow(_BASE, -1, 1 << 64))[c]
+                    table(sig=pa.array(sig.view(np.int64)), fn=as_int(fn), node=pa.array(first + doc), l=as_int(l - base), c=as_int(c - base), r=as_int(r - base), content=pa.array(about.view(np.int64)))
+                    table(node=pa.array(first + used), k=b.column("k").take(pa.array(used)), file=pa.array([name] * len(used)), at=pa.array(start[used]), n=as_int(size[used]))
 
         shared.put(f"{folder}/{name}", body())
         yield from out
@@ -177,15 +217,16 @@ def windows(rows: DataFrame, folder: str, files: list[dict], bits: int, document
     return rows.mapInArrow(shared.tidy(run), _WINDOWS)
 
 
-@lru_cache(maxsize=512)
-def _mapped(path: str):
-    return shared.mapped(path)
+@lru_cache(maxsize=1)
+def _views() -> shared.Views:
+    """One for a worker."""
+    return shared.Views()
 
 
 def _tokens(folder: str, side: tuple, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """(32 bits of the shingles, places) of a document's shared shingles from lo to hi inclusive."""
     name, at, n = side
-    view = _mapped(f"{folder}/{name}")
+    view = _views()(f"{folder}/{name}")
     places = shared.array_at(view, "<u4", at + 4 * n, n)
     a, b = np.searchsorted(places, [lo, hi + 1])
     return shared.array_at(view, "<u4", at, n)[a:b], places[a:b].astype(np.int64)
@@ -359,86 +400,192 @@ def regions(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def repeated(docs: DataFrame, folder: str, column: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, start_word, end_word, class_id, class_docs): repeated passages, ends exclusive.
+def _packed(kinds: str, rows: list[tuple]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in kinds.split(", ")]
+    types = [pa.int64() if x.endswith("long") else pa.int32() for x in kinds.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), types)], names=names)
 
-    class_id is the least doc_id of the passage's class and class_docs the number of its documents.
-    """
-    rows = counts.text_rows(docs, column, key)
-    documents = docs.count()
-    files, bits = frequencies(rows, f"{folder}/frequencies", documents)
-    store = f"{folder}/tokens"
-    found = shared.write_table(windows(rows, store, files, bits, documents), folder, "windows")
-    docs_at = shared.write_table(found.groupBy("k", "file", "at", "n").agg(F.count("*").alias("_")).drop("_"), folder, "places")
-    side = F.struct("k", "l", "c", "r")
-    meet = found.groupBy("sig").agg(F.min(side).alias("a"), F.max(side).alias("z")).where("a.k <> z.k")
-    met = found.select("sig", "fn", "k", "l", "c", "r").join(meet, "sig").where("k <> a.k")
-    # with the first document of the group and, but for the last itself, with the last
-    other = F.explode(F.when(F.col("k") == F.col("z.k"), F.array("a")).otherwise(F.array("a", "z")))
-    pairs = met.select("fn", "k", "l", "c", "r", other.alias("o"))
-    low = F.col("k") < F.col("o.k")
+
+def _meet_at_ends(found: DataFrame) -> DataFrame:
+    """Regions of pairs of texts, from the windows that meet at the first and the last text of their groups."""
+    side = F.struct("node", "l", "c", "r")
+    meet = found.groupBy("sig").agg(F.min(side).alias("a"), F.max(side).alias("z")).where("a.node <> z.node")
+    met = found.select("sig", "fn", "node", "l", "c", "r").join(meet, "sig").where("node <> a.node")
+    # with the first text of the group and, but for the last itself, with the last
+    other = F.explode(F.when(F.col("node") == F.col("z.node"), F.array("a")).otherwise(F.array("a", "z")))
+    pairs = met.select("fn", "node", "l", "c", "r", other.alias("o"))
+    low = F.col("node") < F.col("o.node")
     pick = lambda c, first: F.when(low, F.col(c) if first else F.col(f"o.{c}")).otherwise(F.col(f"o.{c}") if first else F.col(c))
     pack = lambda a, b: (a.cast("long") * (1 << 32) + b.cast("long"))
     rows_of = pairs.select(
-        pick("k", True).alias("k1"), pick("k", False).alias("k2"), pack(F.col("fn"), pick("c", True) - pick("c", False) + (1 << 30)).alias("m"), pack(pick("l", True), pick("r", True)).alias("x"), pack(pick("l", False), pick("r", False)).alias("y")
+        pick("node", True).alias("n1"), pick("node", False).alias("n2"), pack(F.col("fn"), pick("c", True) - pick("c", False) + (1 << 30)).alias("m"), pack(pick("l", True), pick("r", True)).alias("x"), pack(pick("l", False), pick("r", False)).alias("y")
     )
-    work = rows_of.repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+    work = rows_of.repartition("n1", "n2").sortWithinPartitions("n1", "n2")
 
     def join_up(batches):
         at, held, low = None, [], (1 << 32) - 1
         for b in batches:
             out = []
-            for k1, k2, m, x, y in zip(*(c.to_pylist() for c in b.columns)):
-                if (k1, k2) != at:
+            for n1, n2, m, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                if (n1, n2) != at:
                     if held:
                         out += [(at[0], *r[:2], at[1], *r[2:]) for r in regions(held)]
-                    at, held = (k1, k2), []
+                    at, held = (n1, n2), []
                 held.append((m >> 32, x >> 32, (m & low) - (1 << 30), x & low, y >> 32, 0, y & low))
             if out:
-                yield _rows(out)
+                yield _packed(_REGION, out)
         if held and (out := [(at[0], *r[:2], at[1], *r[2:]) for r in regions(held)]):
-            yield _rows(out)
+            yield _packed(_REGION, out)
 
-    def _rows(out):
-        kinds = (pa.int64(), pa.int32(), pa.int32()) * 2
-        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), kinds)], names=["k1", "l1", "r1", "k2", "l2", "r2"])
+    return work.mapInArrow(shared.tidy(join_up), _REGION)
 
-    near = shared.write_table(work.mapInArrow(shared.tidy(join_up), _REGION), folder, "regions")
-    for i in "12":
-        near = near.join(docs_at.select(F.col("k").alias(f"k{i}"), F.struct("file", "at", "n").alias(f"p{i}")), f"k{i}")
 
-    near = near.repartition(4 * shared.partitions(docs.sparkSession), "k1", "k2")  # few bytes, much work
+def _verified(pairs: DataFrame, places: DataFrame, store: str) -> DataFrame:
+    """Links of the regions of pairs of texts that are similar."""
+    for i in "12":
+        pairs = pairs.join(places.select(F.col("node").alias(f"n{i}"), F.struct("file", "at", "n").alias(f"p{i}")), f"n{i}")
+    pairs = pairs.repartition(4 * shared.partitions(pairs.sparkSession), "n1", "n2")  # few bytes, much work
 
     def match(batches):
         for b in batches:
             out = []
-            for k1, l1, r1, k2, l2, r2, p1, p2 in zip(*(b.column(c).to_pylist() for c in ("k1", "l1", "r1", "k2", "l2", "r2", "p1", "p2"))):
+            for n1, l1, r1, n2, l2, r2, p1, p2 in zip(*(b.column(c).to_pylist() for c in ("n1", "l1", "r1", "n2", "l2", "r2", "p1", "p2"))):
                 for got in verify(_tokens(store, tuple(p1.values()), l1, r1), _tokens(store, tuple(p2.values()), l2, r2)):
-                    out.append((k1, got[0], got[1] + WORDS, k2, got[2], got[3] + WORDS))
+                    out.append((n1, got[0], got[1] + WORDS, n2, got[2], got[3] + WORDS))
             if out:
-                yield _links(out)
+                yield _packed(_LINK, out)
 
-    def _links(out):
-        kinds = (pa.int64(), pa.int32(), pa.int32()) * 2
-        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), kinds)], names=["k1", "s1", "e1", "k2", "s2", "e2"])
+    return pairs.mapInArrow(shared.tidy(match), _LINK)
 
-    links = shared.write_table(near.mapInArrow(shared.tidy(match), "k1 long, s1 int, e1 int, k2 long, s2 int, e2 int"), folder, "links")
-    ends = links.select(F.col("k1").alias("k"), F.col("s1").alias("s"), F.col("e1").alias("e")).unionByName(links.select(F.col("k2").alias("k"), F.col("s2").alias("s"), F.col("e2").alias("e"))).distinct()
+
+def _classes(links: DataFrame, folder: str) -> DataFrame:
+    """(node, from, to, id, label): the passages of the links, overlapping ones of a text as one, and their classes."""
+    ends = links.select(F.col("n1").alias("node"), F.col("s1").alias("s"), F.col("e1").alias("e")).unionByName(links.select(F.col("n2").alias("node"), F.col("s2").alias("s"), F.col("e2").alias("e"))).distinct()
     spans = shared.write_table(_islands(ends), folder, "spans")
-    ids = spans.select("k", "s", "e", F.xxhash64("k", "from").alias("id"), "from", "to")
-    one = links.join(ids.select(F.col("k").alias("k1"), F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("id").alias("u")), ["k1", "s1", "e1"])
-    edges = one.join(ids.select(F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("id").alias("v")), ["k2", "s2", "e2"]).select("u", "v")
-    label = components(edges, f"{folder}/components")
-    placed = ids.select("k", "from", "to", "id").distinct().join(label, F.col("id") == F.col("node"))
-    sizes = placed.select("label", "k").distinct().groupBy("label").agg(F.min("k").alias("class_id"), F.count("*").alias("class_docs"))
-    return placed.join(sizes, "label").select(F.col("k").alias(key), F.col("from").alias("start_word"), F.col("to").alias("end_word"), "class_id", "class_docs")
+    ids = spans.select("node", "s", "e", F.xxhash64("node", "from").alias("id"), "from", "to")
+    one = links.join(ids.select(F.col("node").alias("n1"), F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("id").alias("u")), ["n1", "s1", "e1"])
+    edges = one.join(ids.select(F.col("node").alias("n2"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("id").alias("v")), ["n2", "s2", "e2"]).select("u", "v")
+    label = components(edges, f"{folder}/components").select(F.col("node").alias("id"), "label")
+    return shared.write_table(ids.select("node", "from", "to", "id").distinct().join(label, "id"), folder, "labelled")
+
+
+def _unsettled(found: DataFrame, passages: DataFrame, folder: str) -> DataFrame:
+    """(sig, node, l, c, r, content, label, most, many, apart): the windows of groups that are not of one class; ``most`` is the group's most frequent label."""
+    within = passages.select("node", "from", "to", "label")
+    inside = lambda w: w.join(within, (w["node"] == within["node"]) & (within["from"] <= w["c"]) & (w["c"] + WORDS <= within["to"]), "left").drop(within["node"]).withColumn("label", F.coalesce("label", -1 - F.col("node")))
+    state = inside(found.select("sig", "node", "c")).groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    unsettled = shared.write_table(state.where("lo <> hi").select("sig"), folder, "unsettled")
+    return shared.write_table(inside(found.join(unsettled, "sig").select("sig", "node", "l", "c", "r", "content")).select("sig", "node", "l", "c", "r", "content", "label"), folder, "rest")
+
+
+def _rest_pairs(rest: DataFrame, places: DataFrame, store: str, folder: str, block: int = BLOCK) -> DataFrame:
+    """Regions of pairs of texts that may be similar and that no link connects, from the windows of unsettled groups.
+
+    Windows of equal contents are similar to the same others, so one of them stands for all; they meet it.
+    """
+    one = F.min(F.struct("node", "l", "r", "label"))
+    same = shared.write_table(rest.groupBy("sig", "content").agg(one.alias("one"), F.count("*").alias("many")), folder, "contents")
+    total = rest.count()
+    met = join_sized(rest.withColumn("key", F.xxhash64("sig", "content")), same.where("many > 1").select(F.xxhash64("sig", "content").alias("key"), "one", "many"), "key", "many", total)
+    equal = met.where("node <> one.node AND label <> one.label").select(F.least("node", "one.node").alias("n1"), *_sides(1, F.col("node") < F.col("one.node")), F.greatest("node", "one.node").alias("n2"), *_sides(2, F.col("node") < F.col("one.node")))
+    votes = same.select("sig", "one.label").groupBy("sig", "label").agg(F.count("*").alias("votes"))
+    most = votes.groupBy("sig").agg(F.sum("votes").alias("many"), F.max(F.struct("votes", "label")).alias("top"))
+    most = shared.write_table(most.where("many > top.votes").select("sig", F.col("top.label").alias("most"), "many", (F.col("many") - F.col("top.votes")).alias("apart")), folder, "groups")
+    members = join_sized(same.select("sig", "one.*"), most, "sig", "many", total).join(places.select("node", "file", "at", "n"), "node")
+    members = shared.write_table(members, folder, "members")
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node", "l"), n).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    kept = ["node", "l", "r", "label", "file", "at", "n"]
+    left = members.where("label <> most").select("sig", own(blocks("apart")).alias("i"), to(blocks("many")).alias("j"), F.lit(True).alias("left"), *kept)
+    right = members.select("sig", to(blocks("apart")).alias("i"), own(blocks("many")).alias("j"), F.lit(False).alias("left"), *kept)
+    work = left.unionByName(right).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+    def pairs(batches):
+        at, held = None, []
+        for b in batches:
+            out = []
+            for sig, i, j, *rest in zip(*(c.to_pylist() for c in b.columns)):
+                if (sig, i, j) != at:
+                    out += _similar_pairs(held, store)
+                    at, held = (sig, i, j), []
+                held.append(rest)
+            if out:
+                yield _packed(_REGION, out)
+        if out := _similar_pairs(held, store):
+            yield _packed(_REGION, out)
+
+    return equal.unionByName(work.mapInArrow(shared.tidy(pairs), _REGION)).distinct()
+
+
+def _sides(i: int, low) -> list:
+    """The window of the first (1) or the second text of a pair; ``low`` says whether the row's own text is the first."""
+    own = low if i == 1 else ~low
+    return [F.when(own, F.col(c)).otherwise(F.col(f"one.{c}")).alias(f"{c}{i}") for c in "lr"]
+
+
+def _similar_pairs(rows: list[list], store: str) -> list[tuple]:
+    """Regions (n1, l1, r1, n2, l2, r2) of left and right rows of a block, of different labels, that share COMMON shingles and are similar.
+
+    A pair whose texts a similar pair of the block has connected is skipped.
+    """
+    if not rows:
+        return []
+    forest, names = Forest(2 * len(rows)), {}
+    for x, r in enumerate(rows):  # texts, and the labels that connect them
+        forest.join(x, names.setdefault(r[4], x))
+    tokens = [_tokens(store, tuple(r[5:8]), r[2], r[3]) for r in rows]
+    sides = [[x for x, r in enumerate(rows) if r[0] == side] for side in (True, False)]
+    kinds = [np.unique(tokens[x][0]) for x in range(len(rows))]
+    right = np.concatenate([kinds[x] for x in sides[1]]) if sides[1] else np.empty(0, np.uint32)
+    owner = np.repeat(np.arange(len(sides[1])), [len(kinds[x]) for x in sides[1]])
+    order = np.argsort(right, kind="stable")
+    right, owner = right[order], owner[order]
+    out = []
+    for x in sides[0]:
+        lo, hi = np.searchsorted(right, kinds[x]), np.searchsorted(right, kinds[x], "right")
+        size = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+        both = np.bincount(owner[at], minlength=len(sides[1]))
+        for i in np.flatnonzero(both >= COMMON).tolist():
+            y = sides[1][i]
+            a, b = (x, y) if rows[x][1] < rows[y][1] else (y, x)
+            if rows[a][1] == rows[b][1] or forest.root(a) == forest.root(b):
+                continue
+            if verify(tokens[a], tokens[b]):
+                forest.join(a, b)
+                out.append((rows[a][1], rows[a][2], rows[a][3], rows[b][1], rows[b][2], rows[b][3]))
+    return out
+
+
+def repeated(docs: DataFrame, folder: str, column: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, start_word, end_word, class_id, class_docs): repeated passages, ends exclusive.
+
+    class_id is the least doc_id of the passage's class and class_docs the number of its documents.
+    """
+    rows = counts.text_rows(docs, column, key)
+    documents = docs.count()
+    files, bits = frequencies(rows, f"{folder}/frequencies", documents)
+    store = f"{folder}/tokens"
+    made = shared.write_table(windows(rows, store, files, bits, documents), folder, "windows")
+    found = made.where("sig IS NOT NULL").select("sig", "fn", "node", "l", "c", "r", "content")
+    places = made.where("sig IS NULL").select("node", "k", "file", "at", "n")
+    regions_of = shared.write_table(_meet_at_ends(found), folder, "regions")
+    links = shared.write_table(_verified(regions_of, places, store), folder, "links")
+    rest = _unsettled(found, _classes(links, f"{folder}/first"), folder)
+    more = shared.write_table(_verified(_rest_pairs(rest, places, store, f"{folder}/rest_of"), places, store), folder, "more_links")
+    placed = _classes(links.unionByName(more), f"{folder}/all").join(places.select("node", "k"), "node")
+    placed = shared.write_table(placed.select("label", "k", "from", "to").distinct(), folder, "placed")
+    sizes = placed.groupBy("label", "k").agg(F.count("*").alias("rows")).groupBy("label").agg(F.min("k").alias("class_id"), F.count("*").alias("class_docs"), F.sum("rows").alias("rows"))
+    sizes = shared.write_table(sizes.where("class_docs > 1"), folder, "sizes")
+    return join_sized(placed, sizes, "label", "rows", placed.count()).select(F.col("k").alias(key), F.col("from").alias("start_word"), F.col("to").alias("end_word"), "class_id", "class_docs")
 
 
 def _islands(ends: DataFrame) -> DataFrame:
-    """ends (k, s, e) with from and to: overlapping stretches of one document are one."""
-    order = W.partitionBy("k").orderBy("s", "e")
+    """ends (node, s, e) with from and to: overlapping stretches of one text are one."""
+    order = W.partitionBy("node").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
     marked = ends.withColumn("new", F.when(reach.isNull() | (F.col("s") >= reach), 1).otherwise(0))
     numbered = marked.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    island = W.partitionBy("k", "island")
-    return numbered.select("k", "s", "e", F.min("s").over(island).alias("from"), F.max("e").over(island).alias("to"))
+    island = W.partitionBy("node", "island")
+    return numbered.select("node", "s", "e", F.min("s").over(island).alias("from"), F.max("e").over(island).alias("to"))

@@ -250,6 +250,49 @@ def test_repeated_lines_within_a_passage():
     assert passages.verify(*region(x, y)) == [(0, 95, 0, 115)]
 
 
+def test_passages_between_fragments_equal_brute_force(spark, folder):
+    rng = random.Random(8)
+    word = lambda n: [f"{rng.choice(VOCABULARY)}{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(30):  # two documents share a passage; more share only fragments of it, and some stand first and last
+        p = word(54)
+        part = [word(20) + p[a : a + 44] + word(20) for a in (0, 10, 5, 3)]
+        rows.append((part[0], word(30) + p + word(25), word(12) + p + word(40), part[1], part[2], part[3]))
+    docs = [(100 * k + g, " ".join(r[k])) for g, r in enumerate(rows) for k in range(6)]
+    runs = {}
+    for i, t in docs:  # all runs of 50 words, which is what the method must find
+        w = t.split()
+        for j in range(len(w) - 49):
+            runs.setdefault(tuple(w[j : j + 50]), set()).add(i)
+    want = {frozenset(x) for x in runs.values() if len(x) > 1}
+    got = {}
+    for r in passages.repeated(spark.createDataFrame(docs, "doc_id long, text string"), folder).collect():
+        got.setdefault(r.class_id, set()).add(r.doc_id)
+    assert len(want) == 30 and {frozenset(x) for x in got.values()} == want
+
+
+def test_rest_pairs_in_blocks(spark, folder, monkeypatch):
+    rng = random.Random(9)
+    word = lambda n: [f"{rng.choice(VOCABULARY)}{rng.randrange(10**6)}" for _ in range(n)]
+    p = word(90)
+    cut = lambda a, n: word(15) + p[a : a + n] + word(15)
+    rows = [cut(0, 42)] * 2 + [cut(40, 50), cut(38, 52), cut(0, 46), cut(25, 46)] + [cut(41, 44) for _ in range(12)] + [cut(46, 44)]
+    rest = passages._rest_pairs
+    monkeypatch.setattr(passages, "_rest_pairs", lambda *a: rest(*a, 3))
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in passages.repeated(df, folder).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_repeated_rows_are_one_document(spark, folder):
+    p = text(70)
+    rows = [(1, " ".join(p)), (1, " ".join(p)), (2, " ".join(text(60))), (2, "x " + " ".join(p)), (4, " ".join(text(80))), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.start_word, r.class_id, r.class_docs) for r in passages.repeated(df, folder).collect()}
+    assert got == {(1, 0, 1, 2), (2, 1, 1, 2)}
+    assert passages.repeated(spark.createDataFrame(rows[:3], df.schema), f"{folder}2").count() == 0
+
+
 def test_passages_of_odd_rows(spark, odd_docs, no_docs, folder):
     assert passages.repeated(odd_docs, folder).count() == 0
     assert passages.repeated(no_docs, f"{folder}2").count() == 0
