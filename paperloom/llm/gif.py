@@ -4,8 +4,13 @@ Codes of a stream have widths that depend only on how many have followed the las
 stretch is cut out of the bit string by one array operation; only the dictionary itself is sequential.
 
 ``store_samples`` keeps any bytes losslessly: 64 samples a row, a grey palette, frames of at most 1024
-rows.  ``frames`` and ``read_samples`` give defined results for broken media: the frames before the
-damage, and the reason in ``error``.  Null media have no frames and no error.
+rows; in all but the first frame the samples that the canvas shows already are transparent.  ``frames`` and
+``read_samples`` give timed frames with colour histograms, and defined results for broken media: the
+frames before the damage, and the reason in ``error``.  Null media have no frames and no error.
+
+A null or empty text is one row of zero bytes; a text of any length is whole.  Equal texts give equal
+media; repeated rows repeat, an empty table gives no rows, and columns with the names of added ones are
+replaced.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,6 +29,8 @@ from .frames import add_columns, slices
 
 WIDTH, ROWS, DELAY_MS = 64, 1024, 100
 _FULL = 4096
+#: Samples of a canvas or a frame; media that claim more are taken for damaged.
+MOST = 1 << 24
 
 
 @dataclass
@@ -179,9 +186,17 @@ def encode_grey(samples: bytes, width: int = WIDTH, rows: int = ROWS, delay_ms:
         raise ValueError("the samples must fill whole rows")
     height = len(samples) // width
     out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, height), 0xF7, 0, 0), np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()]
+    screen = np.zeros(0, np.uint8)
     for top in range(0, height, rows):
         part = samples[top * width : (top + rows) * width]
-        out += [b"\x21\xf9\x04", struct.pack("<BHBB", 1 << 2, delay_ms // 10, 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0), b"\x08", _blocks(lzw_encode(part))]
+        x, clear = np.frombuffer(part, np.uint8), None
+        if top:  # what the canvas shows already is transparent, by a value that the frame does not hold
+            free = np.flatnonzero(np.bincount(x, minlength=256) == 0)
+            if len(free):
+                clear = int(free[-1])
+                part = np.where(x == screen[: len(x)], np.uint8(clear), x).tobytes()
+        screen = np.concatenate([x, screen[len(x) :]])
+        out += [b"\x21\xf9\x04", struct.pack("<BHBB", 1 << 2 | (clear is not None), delay_ms // 10, clear or 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0), b"\x08", _blocks(lzw_encode(part))]
     return b"".join([*out, b"\x3b"])
 
 
@@ -213,22 +228,42 @@ def _deinterlace(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode(data: bytes, canvas: bool = True) -> tuple[int, int, list[Frame], str | None]:
-    """(width, height, frames, error).  Each frame's canvas is RGBA after drawing it, before its disposal."""
-    frames: list[Frame] = []
-    if len(data) < 13 or data[:6] not in (b"GIF87a", b"GIF89a"):
-        return 0, 0, frames, "no GIF header"
-    width, height, flags = struct.unpack_from("<HHB", data, 6)
-    screen, delay, disposal, clear = np.zeros((height, width, 4), np.uint8) if canvas else None, 0, 0, None
-    try:
-        common, at = _palette(data, 13, flags)
+class Reader:
+    """The frames of a GIF, one after the other; width, height and error are known once they have been read.
+
+    A frame's canvas is RGBA after drawing it, before its disposal; one canvas is held at a time, of
+    ``most`` samples at most: a larger canvas or frame is an error.
+    """
+
+    def __init__(self, data: bytes, most: int | None = None) -> None:
+        self.data, self.most = data, most or MOST
+        self.width, self.height, self.error = 0, 0, None
+        if len(data) < 13 or data[:6] not in (b"GIF87a", b"GIF89a"):
+            self.error = "no GIF header"
+        else:
+            self.width, self.height = struct.unpack_from("<HH", data, 6)
+
+    def __iter__(self):
+        if self.error:
+            return
+        try:
+            yield from self._frames()
+        except (ValueError, struct.error, IndexError) as e:
+            self.error = str(e)
+
+    def _frames(self):
+        data, width, height = self.data, self.width, self.height
+        if width * height > self.most:
+            raise ValueError("the canvas is too large")
+        screen, delay, disposal, clear = np.zeros((height, width, 4), np.uint8), 0, 0, None
+        common, at = _palette(data, 13, data[10])
         while True:
             if at >= len(data):
                 raise ValueError("the trailer is missing")
             kind = data[at]
             at += 1
             if kind == 0x3B:
-                return width, height, frames, None
+                return
             if kind == 0x21:
                 label = data[at] if at < len(data) else 0
                 body, at = _gather(data, at + 1)
@@ -239,6 +274,8 @@ def decode(data: bytes, canvas: bool = True) -> tuple[int, int, list[Frame], str
             if kind != 0x2C or at + 10 > len(data):
                 raise ValueError("an unknown or cut-off block")
             left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at)
+            if w * h > self.most:
+                raise ValueError("a frame is too large")
             own, at = _palette(data, at + 9, flags)
             palette, least = own if own is not None else common, data[at] if at < len(data) else 0
             if palette is None or not 1 <= least <= 8:
@@ -251,28 +288,30 @@ def decode(data: bytes, canvas: bool = True) -> tuple[int, int, list[Frame], str
             x = _deinterlace(x) if flags & 0x40 else x
             if x.size and int(x.max()) >= len(palette):
                 raise ValueError("a sample is out of the palette")
-            frame = Frame(left, top, x, palette, delay, disposal, clear)
-            if canvas:
-                before = screen.copy() if disposal == 3 else None
-                y1, x1 = min(top + h, height), min(left + w, width)
-                part = x[: max(0, y1 - top), : max(0, x1 - left)]
-                area = screen[top:y1, left:x1]
-                if clear is None:
-                    area[..., :3] = palette[part]
-                    area[..., 3] = 255
-                else:
-                    seen = part != clear
-                    area[seen, :3] = palette[part[seen]]
-                    area[seen, 3] = 255
-                frame.canvas = screen.copy()
-                if disposal == 2:
-                    area[:] = 0
-                elif disposal == 3:
-                    screen = before
-            frames.append(frame)
+            before = screen.copy() if disposal == 3 else None
+            y1, x1 = min(top + h, height), min(left + w, width)
+            part = x[: max(0, y1 - top), : max(0, x1 - left)]
+            area = screen[top:y1, left:x1]
+            if clear is None:
+                area[..., :3] = palette[part]
+                area[..., 3] = 255
+            else:
+                seen = part != clear
+                area[seen, :3] = palette[part[seen]]
+                area[seen, 3] = 255
+            yield Frame(left, top, x, palette, delay, disposal, clear, screen)
+            if disposal == 2:
+                area[:] = 0
+            elif disposal == 3:
+                screen = before
             delay, disposal, clear = 0, 0, None
-    except (ValueError, struct.error, IndexError) as e:
-        return width, height, frames, str(e)
+
+
+def decode(data: bytes) -> tuple[int, int, list[Frame], str | None]:
+    """(width, height, frames, error) with a canvas for each frame."""
+    reader = Reader(data)
+    frames = [replace(f, canvas=f.canvas.copy()) for f in reader]
+    return reader.width, reader.height, frames, reader.error
 
 
 def histogram(canvas: np.ndarray, bins: int = 8, channels: int = 3) -> list[list[int]]:
@@ -294,62 +333,71 @@ def store_samples(df: DataFrame, column: str = "text", keep: list[str] | None =
 
 
 _FRAME = T.StructType(
-    [T.StructField(n, T.IntegerType()) for n in ("frame_no", "left", "top", "width", "height", "delay_ms", "start_ms", "disposal")]
+    [T.StructField(n, T.IntegerType()) for n in ("frame_no", "left", "top", "width", "height", "delay_ms", "start_ms", "disposal", "transparent")]
     + [T.StructField(f"hist_{c}", T.ArrayType(T.IntegerType())) for c in ("red", "green", "blue")]
-    + [T.StructField("canvas", T.BinaryType())]
 )
+_CANVAS = T.StructField("canvas", T.BinaryType())
 
 
-def frames(df: DataFrame, column: str = "media") -> DataFrame:
-    """df without the media column, with ``frames`` (array of timed frames: RGBA canvas and histograms) and ``error``."""
-    kept = [f for f in df.schema.fields if f.name not in (column, "frames", "error")]
-    schema = T.StructType(kept + [T.StructField("frames", T.ArrayType(_FRAME)), T.StructField("error", T.StringType())])
+def _row(number: int, start: int, f: Frame) -> dict:
+    red, green, blue = histogram(f.canvas)
+    return {"frame_no": number, "left": f.left, "top": f.top, "width": f.indices.shape[1], "height": f.indices.shape[0], "delay_ms": f.delay_ms, "start_ms": start, "disposal": f.disposal, "transparent": f.transparent, "hist_red": red, "hist_green": green, "hist_blue": blue}
 
-    def one(data: bytes | None):
-        if data is None:
-            return [], None
-        _, _, found, error = decode(data)
-        rows, start = [], 0
-        for i, f in enumerate(found):
-            red, green, blue = histogram(f.canvas)
-            rows.append({"frame_no": i, "left": f.left, "top": f.top, "width": f.indices.shape[1], "height": f.indices.shape[0], "delay_ms": f.delay_ms, "start_ms": start, "disposal": f.disposal, "hist_red": red, "hist_green": green, "hist_blue": blue, "canvas": f.canvas.tobytes()})
-            start += f.delay_ms
-        return rows, error
+
+def _with(df: DataFrame, column: str, added: list[T.StructField], one) -> DataFrame:
+    """df without the media column, with the fields that the function finds in each row's media."""
+    names = [x.name for x in added]
+    kept = [f for f in df.schema.fields if f.name != column and f.name not in names]
+    schema = T.StructType(kept + added)
 
     def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
-        kind = to_arrow_type(T.ArrayType(_FRAME))
+        kinds = [to_arrow_type(f.dataType) for f in added]
         for whole in batches:
             for b in slices(whole, column, 1 << 20):
                 got = [one(x) for x in b.column(column).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array([x for x, _ in got], kind), pa.array([e for _, e in got], pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array([g[n] for g in got], k) for n, k in zip(names, kinds)], names=schema.names)
 
     return df.mapInArrow(shared.tidy(run), schema)
 
 
-def read_samples(df: DataFrame, column: str = "media") -> DataFrame:
-    """df without the media, with digests of the samples read back from its frames and of the stored bytes."""
-    added = [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
-    kept = [f for f in df.schema.fields if f.name != column and f.name not in [x.name for x in added]]
-    schema = T.StructType(kept + added)
+def frames(df: DataFrame, column: str = "media", canvas: bool = True) -> DataFrame:
+    """df without the media column, with ``frames`` (array of timed frames with colour histograms and, if asked for, RGBA canvases) and ``error``."""
+    frame = T.StructType([*_FRAME.fields, _CANVAS]) if canvas else _FRAME
 
-    def one(data: bytes):
-        width, height, found, error = decode(data)
-        parts = [f.canvas[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1], 0].tobytes() for f in found]
-        total = np.sum([histogram(f.canvas[f.top : f.top + f.indices.shape[0]], channels=1)[0] for f in found], axis=0).tolist() if found else []
-        samples = b"".join(parts)
-        feature = error or f"gif {width}x{height} frames={len(found)} ms={sum(f.delay_ms for f in found)} grey={','.join(map(str, total))}"
-        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature
+    def one(data: bytes | None):
+        if data is None:
+            return {"frames": [], "error": None}
+        reader, rows, start = Reader(data), [], 0
+        for i, f in enumerate(reader):
+            rows.append(_row(i, start, f) | ({"canvas": f.canvas.tobytes()} if canvas else {}))
+            start += f.delay_ms
+        return {"frames": rows, "error": reader.error}
 
-    def run(batches):
-        import pyarrow as pa
+    return _with(df, column, [T.StructField("frames", T.ArrayType(frame)), T.StructField("error", T.StringType())], one)
 
-        for whole in batches:
-            for b in slices(whole, column, 1 << 20):
-                got = [one(x) for x in b.column(column).to_pylist()]
-                cols = [pa.array([g[i] for g in got], pa.int64() if isinstance(f.dataType, T.LongType) else pa.string()) for i, f in enumerate(added)]
-                yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + cols, names=schema.names)
 
-    return df.mapInArrow(shared.tidy(run), schema)
+def read_samples(df: DataFrame, column: str = "media") -> DataFrame:
+    """df without the media, with digests of the samples read back from its frames and of the stored bytes, and its timed frames.
+
+    Null media have null digests and no frames.
+    """
+    kinds = {"payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType(), "frames": T.ArrayType(_FRAME)}
+
+    def one(data: bytes | None):
+        if data is None:
+            return dict.fromkeys(kinds) | {"frames": []}
+        reader, whole, size, tail, rows, start = Reader(data), hashlib.sha256(), 0, b"", [], 0
+        for i, f in enumerate(reader):
+            part = f.canvas[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1], 0].tobytes()
+            whole.update(part)
+            size, tail = size + len(part), (tail + part)[-WIDTH:]
+            rows.append(_row(i, start, f))
+            start += f.delay_ms
+        grey = np.sum([r["hist_red"] for r in rows], axis=0).tolist() if rows else []
+        feature = reader.error or f"gif {reader.width}x{reader.height} frames={len(rows)} ms={start} grey={','.join(map(str, grey))}"
+        return {"payload_bytes": size, "payload_sha256": whole.hexdigest(), "tail_crc32": zlib.crc32(tail), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "feature": feature, "frames": rows}
+
+    return _with(df, column, [T.StructField(n, k) for n, k in kinds.items()], one)

@@ -55,6 +55,24 @@ def test_interlace_and_damage():
     assert gif.decode(data[:-9])[3] and gif.decode(b"no")[3] == "no GIF header"
 
 
+def test_later_frames_are_transparent_where_nothing_changes():
+    rows = bytes(range(64)) * 1024 + bytes(range(64)) * 1000 + bytes(64) * 24 + bytes([255] * 64)
+    data = gif.encode_grey(rows)
+    _, _, frames, error = gif.decode(data)
+    assert error is None and [f.transparent for f in frames] == [None, 255, 254]
+    assert b"".join(f.canvas[: f.indices.shape[0], :, 0].tobytes() for f in frames) == rows
+    assert (frames[1].indices[:1000] == 255).all()
+    noise = random.Random(1).randbytes(64 * 3000)
+    assert b"".join(f.canvas[: f.indices.shape[0], :, 0].tobytes() for f in gif.decode(gif.encode_grey(noise))[2]) == noise
+
+
+def test_null_and_huge_media(spark):
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x81, 0, 0) + bytes(12) + b"\x3b"
+    df = spark.createDataFrame([(1, None), (2, huge), (3, b"")], "doc_id long, media binary")
+    assert [(r.payload_bytes, r.feature, r.frames) for r in gif.read_samples(df).collect()] == [(None, None, []), (0, "the canvas is too large", []), (0, "no GIF header", [])]
+    assert [(r.frames, r.error) for r in gif.frames(df).collect()] == [([], None), ([], "the canvas is too large"), ([], "no GIF header")]
+
+
 def test_stored_texts(spark, odd_docs, no_docs):
     docs = odd_docs.collect()
     stored = gif.store_samples(odd_docs, keep=["doc_id", "lang"])
@@ -63,7 +81,7 @@ def test_stored_texts(spark, odd_docs, no_docs):
         raw = (d.text or "").encode()
         p = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-        assert r.feature.startswith("gif 64x")
+        assert r.feature.startswith("gif 64x") and sum(r.frames[0].hist_red) == 64 * r.frames[0].height
     assert gif.read_samples(gif.store_samples(no_docs)).count() == 0
     frames = gif.frames(stored.where("doc_id = 4")).first().frames
     assert len(frames) > 3 and frames[1].start_ms == gif.DELAY_MS and sum(frames[0].hist_red) == frames[0].width * frames[0].height
