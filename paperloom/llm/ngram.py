@@ -6,11 +6,15 @@ end token and starts in a start context.  The vocabulary is a store of sorted wo
 context that holds more than one bucket's share of all tokens is spread over all buckets by its words,
 and only its numbers of followers, of which there are as many as such contexts, pass the driver.
 
+Words are known by 64-bit hashes.  Counts have 64 bits, and bigrams are keys of (place of the context in its
+bucket, word id), so nothing is cut at any size.
+
 p(w | v) = max(c(vw) - D(c), 0) / c(v) + (D1 N1(v) + D2 N2(v) + D3 N3+(v)) / c(v) * q(w), where q is the same
 over numbers of distinct contexts, interpolated with 1 / (V + 1); an unseen context gives q(w).
 
 Null and empty texts have the end token only.  Without training documents every word has
-probability 1.  Repeated rows count again, and each is scored.
+probability 1.  Repeated rows count again, and each is scored; an empty table gives no rows.  Columns other
+than the key, the text and those of the held-out test play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ class Vocabulary:
     """Word counts, ids (from 1; 0 is the start context) and, once counted, numbers of distinct contexts."""
 
     def __init__(self, files: list[dict], bits: int, contexts: dict[int, str] | None = None) -> None:
-        self.store, self.contexts, self.open = counts.Store(files, bits), contexts, {}
+        self.store, self.contexts, self.open = counts.Store(files, bits), contexts, shared.Views()
         self.tokens = sum(f["total"] for f in files)
         self.bases = np.array([f["base"] for f in self.store.files.values()], np.int64)
         self.names = list(self.store.files)
@@ -61,10 +65,8 @@ class Vocabulary:
         known = np.flatnonzero(ids > 0)
         where = self.word_bucket(ids[known])
         for b in np.unique(where).tolist():
-            if b not in self.open:
-                self.open[b] = shared.array_at(shared.mapped(self.contexts[b]), "<u4", 0, self.store.files[self.names[b]]["n"])
             some = known[where == b]
-            out[some] = self.open[b][ids[some] - 1 - self.bases[b]]
+            out[some] = shared.array_at(self.open(self.contexts[b]), "<u8", 0, self.store.files[self.names[b]]["n"])[ids[some] - 1 - self.bases[b]]
         return out
 
 
@@ -80,9 +82,46 @@ def _steps(vocabulary: Vocabulary, col: pa.Array, documents: int):
     return n, ids, many, before, ends
 
 
-def _route(context: np.ndarray, word: np.ndarray, hot: np.ndarray, buckets: int, size: int) -> np.ndarray:
-    """The bucket of a bigram: by context, or by word where the context is hot."""
-    return np.where(hot, (word * 0x9E3779B1 >> 7) % buckets, context * buckets // (size + 1))
+class Codes:
+    """Bigrams as (bucket, 64-bit key): a context's place among those of its bucket, or among the hot ones, before the word's id.
+
+    Contexts are dealt to buckets in order; a hot one's bigrams are dealt by word.  Ids are not cut: a
+    vocabulary too large for the keys of so few buckets raises ValueError.
+    """
+
+    def __init__(self, size: int, buckets: int, hot: list[int]) -> None:
+        self.size, self.buckets, self.hot = size, buckets, np.array(sorted(hot), np.int64)
+        self.word_bits, self.local_bits = (size + 1).bit_length(), max((size // buckets + 2).bit_length(), len(hot).bit_length())
+        if 1 + self.local_bits + self.word_bits > 64:
+            raise ValueError("so many words need more buckets: raise spark.sql.shuffle.partitions")
+
+    def place(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether hot, index among the hot contexts)."""
+        if not len(self.hot):
+            return np.zeros(len(context), bool), np.zeros(len(context), np.int64)
+        at = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
+        return self.hot[at] == context, at
+
+    def first(self, bucket: np.ndarray | int) -> np.ndarray | int:
+        """The first context of a bucket."""
+        return -(-bucket * (self.size + 1) // self.buckets)
+
+    def __call__(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, key) of each bigram."""
+        hot, index = self.place(context)
+        bucket = np.where(hot, (word * 0x9E3779B1 >> 7) % self.buckets, context * self.buckets // (self.size + 1))
+        local = np.where(hot, index + (1 << self.local_bits), context - self.first(bucket))
+        return bucket, local.astype(U) << U(self.word_bits) | word.astype(U)
+
+    def context_of(self, bucket: int, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(context, whether hot) of places in a bucket."""
+        hot = local >> self.local_bits > 0
+        index = np.where(hot, local & ((1 << self.local_bits) - 1), 0)
+        return np.where(hot, self.hot[index] if len(self.hot) else 0, local + self.first(bucket)), hot
+
+    def split(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, word) of keys."""
+        return (key >> U(self.word_bits)).astype(np.int64), (key & U((1 << self.word_bits) - 1)).astype(np.int64)
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -102,51 +141,54 @@ def train(docs: DataFrame, folder: str, column: str = "text") -> dict:
     words = counts.map_blobs(rows, lambda b: _sequences(b.column("t"))[0], bits, _SOME)
     files = counts.count(words, f"{folder}/words", bits)
     tokens, size = sum(f["total"] for f in files), sum(f["n"] for f in files)
-    model = {"bits": bits, "files": files, "tokens": tokens, "size": size, "documents": 0, "bigrams": {}, "hot": {}, "contexts": {}, "d": [[0.0, 0.5, 1.0, 1.5]] * 2, "distinct": 0, "base_left": 1.0}
+    model = {"bits": bits, "files": files, "tokens": tokens, "size": size, "documents": 0, "bigrams": {}, "hot": {}, "hot_ids": [], "contexts": {}, "d": [[0.0, 0.5, 1.0, 1.5]] * 2, "distinct": 0, "base_left": 1.0}
     if not tokens:
         return model
     h = np.array([END], U)
     documents = int(counts.Store(files, bits).lookup(h)[0][0])
     model["documents"] = documents
-    share = max(1, tokens // buckets)
+    hot = model["hot_ids"] = _hot(spark, files, max(1, tokens // buckets), documents)
 
     def pairs(batches):
-        v = Vocabulary(files, bits)
-        held, hot, held_n = [], [], 0
+        v, codes = Vocabulary(files, bits), Codes(size, buckets, hot)
+        held, held_n = [], 0
 
         def flush():
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            context, word = (k >> U(32)).astype(np.int64), (k & U(0xFFFFFFFF)).astype(np.int64)
-            is_hot = np.isin(context, np.unique(np.concatenate(hot)))
-            return counts.blobs(k, n, _route(context, word, is_hot, buckets, size))
+            context, word = (np.concatenate(x) for x in zip(*held))
+            own, at = np.unique(context, return_inverse=True)
+            k, n = np.unique(at.astype(U) << U(codes.word_bits) | word.astype(U), return_counts=True)
+            at, word = codes.split(k)
+            bucket, key = codes(own[at], word)
+            order = np.argsort(key)
+            return counts.blobs(key[order], n[order], bucket[order])
 
         for whole in batches:
             for b in slices(whole, "t", _SOME):
-                _, ids, many, before, _ = _steps(v, b.column("t"), documents)
-                held.append(before.astype(U) << U(32) | ids.astype(U))
-                hot.append(np.unique(before[many >= share]))
+                _, ids, _, before, _ = _steps(v, b.column("t"), documents)
+                held.append((before, ids))
                 held_n += len(ids)
                 if held_n >= counts.FLUSH:
                     yield flush()
-                    held, hot, held_n = [], [], 0
+                    held, held_n = [], 0
         if held_n:
             yield flush()
 
     def reduce(batches):
-        v = Vocabulary(files, bits)
+        v, codes = Vocabulary(files, bits), Codes(size, buckets, hot)
         for bucket, k, n in counts.merged(batches):
-            context, word = (k >> U(32)).astype(np.int64), (k & U(0xFFFFFFFF)).astype(np.int64)
+            if len(k) >= 1 << 32:
+                raise ValueError("so many bigrams need more buckets: raise spark.sql.shuffle.partitions")
+            place, word = codes.split(k)
             kind = np.minimum(n, 3)
-            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            own = context[first]
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            own = place[first]
             by = [np.add.reduceat((kind == j).astype(np.int64), first) for j in (1, 2, 3)]
             path = f"{folder}/bigrams/{bucket:06d}-{shared.attempt_name()}"
             large = np.flatnonzero(n >= 255)
-            shared.put(path, [k.astype("<u8").tobytes(), own.astype("<u4").tobytes(), *(x.astype("<u4").tobytes() for x in by), large.astype("<u4").tobytes(), n[large].astype("<u8").tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes()])
-            # contexts at home here are complete; what is here of a spread one is added up elsewhere
-            away = np.flatnonzero(own * buckets // (size + 1) != bucket)
-            guests = np.flatnonzero(_is_spread(v, own, share, documents))
-            note = {"bucket": bucket, "path": path, "n": len(k), "own": len(own), "large": len(large), "seen": [int((n == j).sum()) for j in (1, 2, 3, 4)], "hot": [[int(own[i]), *(int(x[i]) for x in by)] for i in np.union1d(away, guests).tolist()]}
+            shared.put(path, [k.astype("<u8").tobytes(), own.astype("<u8").tobytes(), *(x.astype("<u4").tobytes() for x in by), large.astype("<u4").tobytes(), n[large].astype("<u8").tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes()])
+            # a hot context is here in part: its parts are added up elsewhere
+            context, spread = codes.context_of(bucket, own)
+            note = {"bucket": bucket, "path": path, "n": len(k), "own": len(own), "large": len(large), "seen": [int((n == j).sum()) for j in (1, 2, 3, 4)], "hot": [[int(context[i]), *(int(x[i]) for x in by)] for i in np.flatnonzero(spread).tolist()]}
             yield _rows([note])
             w, times = np.unique(word, return_counts=True)
             out = counts.blobs(w.astype(U), times, v.word_bucket(w))
@@ -174,7 +216,7 @@ def train(docs: DataFrame, folder: str, column: str = "text") -> dict:
             out = np.zeros(v.store.files[v.names[b]]["n"], np.int64)
             out[k.astype(np.int64) - 1 - v.bases[b]] = n
             path = f"{folder}/contexts/{b:06d}-{shared.attempt_name()}"
-            shared.put(path, [out.astype("<u4").tobytes()])
+            shared.put(path, [out.astype("<u8").tobytes()])
             yield _rows([{"bucket": b, "path": path, "seen": [int((n == j).sum()) for j in (1, 2, 3, 4)]}])
 
     held = counts.by_bucket(made.where("note IS NULL"), buckets).mapInArrow(shared.tidy(contexts), f"{counts.BLOBS}, note string")
@@ -190,43 +232,41 @@ def train(docs: DataFrame, folder: str, column: str = "text") -> dict:
     return model
 
 
-def _is_spread(v: Vocabulary, ids: np.ndarray, share: int, documents: int) -> np.ndarray:
-    """Whether a context's tokens exceed a bucket's share."""
-    out = np.zeros(len(ids), bool)
-    out[ids == 0] = documents >= share
-    known = np.flatnonzero(ids > 0)
-    where = v.word_bucket(ids[known])
-    for b in np.unique(where).tolist():
-        _, n, base = v.store.arrays(v.names[b])
-        some = known[where == b]
-        out[some] = n[ids[some] - 1 - base] >= share
-    return out
+def _hot(spark, files: list[dict], share: int, documents: int) -> list[int]:
+    """Contexts that stand before ``share`` tokens or more; there are as many as buckets at most."""
+
+    def large(batches):
+        for b in batches:
+            for path, n, wide, base in zip(*(b.column(c).to_pylist() for c in ("path", "n", "wide", "base"))):
+                times = shared.array_at(shared.mapped(path), "<u8" if wide else "<u4", 8 * n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(times >= share) + base + 1)], names=["id"])
+
+    base = np.cumsum([0] + [f["n"] for f in files]).tolist()
+    rows = [(f["path"], f["n"], f["wide"], at) for f, at in zip(files, base)]
+    found = spark.createDataFrame(rows, "path string, n long, wide boolean, base long").repartition(min(len(rows), 64)).mapInArrow(shared.tidy(large), "id long")
+    return sorted([r.id for r in found.collect()] + [0] * (documents >= share))
 
 
 class Scorer:
     """Probabilities of a trained model."""
 
     def __init__(self, model: dict) -> None:
-        self.m, self.open = model, {}
+        self.m, self.open = model, shared.Views()
         self.vocabulary = Vocabulary(model["files"], model["bits"], model["contexts"])
         self.buckets = 1 << model["bits"]
-        self.share = max(1, model["tokens"] // self.buckets)
-        self.hot = np.array(sorted(model["hot"]), np.int64)
-        self.hot_by = np.array([model["hot"][x] for x in self.hot.tolist()], np.int64).reshape(-1, 3)
+        self.codes = Codes(model["size"], self.buckets, model["hot_ids"])
+        self.hot_by = np.array([model["hot"].get(x, [0, 0, 0]) for x in self.codes.hot.tolist()], np.int64).reshape(-1, 3)
 
     def _bucket(self, b: int):
-        if b not in self.open:
-            f = self.m["bigrams"].get(b)
-            if f is None:
-                self.open[b] = None
-            else:
-                view, n, own, large = shared.mapped(f["path"]), f["n"], f["own"], f["large"]
-                at = 8 * n + 16 * own
-                self.open[b] = (
-                    shared.array_at(view, "<u8", 0, n), shared.array_at(view, "<u4", 8 * n, own), [shared.array_at(view, "<u4", 8 * n + 4 * own * (j + 1), own) for j in range(3)],
-                    shared.array_at(view, "<u4", at, large), shared.array_at(view, "<u8", at + 4 * large, large), shared.array_at(view, np.uint8, at + 12 * large, n),
-                )
-        return self.open[b]
+        f = self.m["bigrams"].get(b)
+        if f is None:
+            return None
+        view, n, own, large = self.open(f["path"]), f["n"], f["own"], f["large"]
+        at = 8 * n + 20 * own
+        return (
+            shared.array_at(view, "<u8", 0, n), shared.array_at(view, "<u8", 8 * n, own), [shared.array_at(view, "<u4", 8 * n + 8 * own + 4 * own * j, own) for j in range(3)],
+            shared.array_at(view, "<u4", at, large), shared.array_at(view, "<u8", at + 4 * large, large), shared.array_at(view, np.uint8, at + 12 * large, n),
+        )
 
     def low(self, ids: np.ndarray) -> np.ndarray:
         """q(w): the lower order, over numbers of distinct contexts."""
@@ -241,13 +281,15 @@ class Scorer:
         p = self.low(ids)
         ctx = np.flatnonzero((before >= 0) & (many > 0))
         c, w = before[ctx], ids[ctx]
-        hot = many[ctx] >= self.share
-        home = _route(c, c, np.zeros(len(c), bool), self.buckets, m["size"])
+        hot, index = self.codes.place(c)
+        home, _ = self.codes(np.where(hot, 0, c), np.zeros(len(c), np.int64))
+        own_place = c - self.codes.first(home)
+        to, key = self.codes(c, np.maximum(w, 0))
         by = np.zeros((len(ctx), 3), np.int64)
-        if len(self.hot) and hot.any():
-            by[hot] = self.hot_by[np.searchsorted(self.hot, c[hot])]
+        if hot.any():
+            by[hot] = self.hot_by[index[hot]]
         seen = np.zeros(len(ctx), np.int64)
-        for kind, where in (("context", np.where(hot, -1, home)), ("pair", np.where(w > 0, _route(c, np.maximum(w, 0), hot, self.buckets, m["size"]), -1))):
+        for kind, where in (("context", np.where(hot, -1, home)), ("pair", np.where(w > 0, to, -1))):
             order = np.argsort(where, kind="stable")
             edge = np.searchsorted(where[order], np.arange(self.buckets + 1))
             for b in range(self.buckets):
@@ -257,12 +299,13 @@ class Scorer:
                     continue
                 keys, own, stats, large, large_n, small = got
                 if kind == "context":
-                    pos = np.minimum(np.searchsorted(own, c[some].astype(np.uint32)), len(own) - 1)
-                    hit = own[pos] == c[some]
+                    q = own_place[some].astype(U)
+                    pos = np.minimum(np.searchsorted(own, q), len(own) - 1)
+                    hit = own[pos] == q
                     for j in range(3):
                         by[some, j] = np.where(hit, stats[j][pos], 0)
                 else:
-                    q = c[some].astype(U) << U(32) | w[some].astype(U)
+                    q = key[some]
                     sort = np.argsort(q)
                     pos = np.empty(len(q), np.int64)
                     pos[sort] = np.minimum(np.searchsorted(keys, q[sort]), len(keys) - 1)
