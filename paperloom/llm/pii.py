@@ -1,10 +1,12 @@
 """Personal data by regular expressions, checksums and context, in DataFrame functions only.
 
 A pattern proposes spans; Luhn (cards), ranges (addresses), digit counts (phones) and mod-97 (bank
-accounts) confirm them; words shortly before a span raise its score.  Positions come from the lengths
-of what a split leaves between the matches, in code points, end exclusive.  Null text is empty and has
-no spans; spans of different kinds may overlap, those of one kind do not.  A column with the
-name of the new one is replaced; repeated rows repeat.
+accounts) confirm them; words shortly before a span raise its score, and spans below the least score are
+left out: a run of hexadecimal digits is a secret only where a word like token or key stands before it.
+Positions come from the lengths of what a split leaves between the matches, in code points, end
+exclusive.  Null and empty texts have no spans; texts of any length are whole; spans of different kinds may
+overlap, those of one kind do not.  A column with the name of the new one is replaced; repeated rows repeat,
+and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ KINDS = (
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", 0.6, "ip|host|server|address|adresse|login"),
     Kind("card", r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9]){15,}+", r"[0-9](?:[\x20-]?[0-9])+", 0.8, "card|visa|mastercard|credit|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.5, "phone|tel|call|mobile|fax|telefon|appel"),
+    Kind("secret", r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])", "[0-9A-Za-z]{32,}", 0.4, "token|secret|key|apikey|password|passwd|bearer|schlüssel|clave", False),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])", "", 0.9, "iban|account|bank|konto|compte|cuenta", False),
 )
 CONTEXT_CHARS, CONTEXT_BONUS = 40, 0.1
@@ -119,10 +122,11 @@ def listed(spans: Column) -> Column:
 
 
 def digest(df: DataFrame, column: str = "text") -> DataFrame:
-    """doc_id, counts of base kinds, the hash of base spans and all spans as text."""
+    """doc_id, counts of base kinds, the hash of base spans, all spans as text with their scores, and counts of secrets and of all spans."""
     base = [k.name for k in KINDS if k.base]
+    scores = F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores")
     count = lambda name: F.size(F.filter("pii", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
-    return find(df, column).select("doc_id", *[count(n) for n in base], F.sha2(listed(F.filter("pii", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return find(df, column).select("doc_id", *[count(n) for n in base], F.sha2(listed(F.filter("pii", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), scores, count("secret"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def redact(df: DataFrame, column: str = "text") -> DataFrame:
@@ -141,14 +145,17 @@ def redact(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def _sql_kind(n: int, k: Kind, test: str) -> str:
-    return f"SELECT * FROM (SELECT doc_id, {n} AS n, '{k.name}' AS kind, ms[i] AS m, CAST(coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{k.plain}') AS ms, regexp_split_to_array(t, '{k.plain}') AS gs FROM d))) WHERE {test}"
+    score = f"CASE WHEN regexp_matches(substr(t, greatest(s - {CONTEXT_CHARS}, 0) + 1, least(s, {CONTEXT_CHARS})), '(?i)(?:^|[^a-z])(?:{k.context})(?:$|[^a-z])') THEN {round(k.score + CONTEXT_BONUS, 2)} ELSE {k.score} END"
+    return f"SELECT *, CAST({score} AS DOUBLE) AS score FROM (SELECT doc_id, t, {n} AS n, '{k.name}' AS kind, ms[i] AS m, CAST(coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{k.plain}') AS ms, regexp_split_to_array(t, '{k.plain}') AS gs FROM d))) WHERE {test}"
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST({_DIGITS}[-i] AS INT) WHEN CAST({_DIGITS}[-i] AS INT) > 4 THEN CAST({_DIGITS}[-i] AS INT) * 2 - 9 ELSE CAST({_DIGITS}[-i] AS INT) * 2 END)) % 10 = 0"
-_TESTS = ("true", "list_max(list_transform(string_split(m, '.'), lambda p: CAST(p AS HUGEINT))) <= 255", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}", f"length({_DIGITS}) BETWEEN 8 AND 15")
+_TESTS = ("true", "list_max(list_transform(string_split(m, '.'), lambda p: CAST(p AS HUGEINT))) <= 255", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}", f"length({_DIGITS}) BETWEEN 8 AND 15", "regexp_full_match(m, '[0-9a-f]{32,64}')")
+_SQL_KINDS = [k for k in KINDS if k.plain]
 _BASE = [k for k in KINDS if k.base]
-#: The base kinds; the synthetic tables hold no bank accounts, so all spans are base spans there.
-ORACLE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(_sql_kind(i, k, t) for i, (k, t) in enumerate(zip(_BASE, _TESTS)))}),
-g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in _BASE)}, string_agg(kind || ':' || s || ':' || (s + length(m)), ',' ORDER BY n, s) AS spans FROM f GROUP BY doc_id)
-SELECT d.doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in _BASE)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+_LIST = "string_agg(kind || ':' || s || ':' || (s + length(m)), ',' ORDER BY n, s)"
+#: All kinds but bank accounts, of which the synthetic tables hold none.
+ORACLE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(_sql_kind(i, k, t) for i, (k, t) in enumerate(zip(_SQL_KINDS, _TESTS)))}),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in _SQL_KINDS)}, count(*) AS n_spans, {_LIST} AS spans, {_LIST} FILTER (n < {len(_BASE)}) AS base, string_agg(CAST(score AS VARCHAR), ',' ORDER BY n, s) AS scores FROM f WHERE score >= 0.5 GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in _SQL_KINDS)}, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN g USING (doc_id)"""
