@@ -6,7 +6,8 @@ inverted index from each rule's rarest token to the rule finds the candidates of
 other tokens are all present block it.
 
 Null and token-less URLs have no candidates and are allowed.  Equal URLs get equal verdicts; repeated
-rows repeat; an empty label table gives no rules.  Extra columns are not carried.
+rows repeat; an empty label table gives no rules, and an empty table of pages no rows.  URLs of any length
+are whole.  Extra columns are not carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,28 +80,32 @@ def mine(urls: DataFrame, bad: str = "bad", support: float = 0.002, least: int =
 
 
 def blocked(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, confidence, rule_id) of each distinct URL that a rule fits: its most confident rule, then the lowest id."""
+    """(url, confidence, support, rule_id) of each distinct URL that a rule fits: its most confident rule, then the lowest id."""
     distinct = urls.select("url").where("url IS NOT NULL").distinct().select("url", tokens(F.col("url")).alias("_tokens"))
-    index = rules.select("rule_id", "items", F.col("key").alias("_key"), F.col("confidence").alias("_sure"))
+    index = rules.select("rule_id", "items", "support", F.col("key").alias("_key"), F.col("confidence").alias("_sure"))
     near = distinct.select("*", F.explode("_tokens").alias("_key")).join(index, "_key")
     fits = near.where(F.size(F.array_except("items", "_tokens")) == 0)
-    return fits.groupBy("url").agg(F.max("_sure").alias("confidence"), F.min_by("rule_id", F.struct(-F.col("_sure"), F.col("rule_id"))).alias("rule_id"))
+    best = F.min_by(F.struct(F.col("_sure").alias("confidence"), "support", "rule_id"), F.struct(-F.col("_sure"), F.col("rule_id")))
+    return fits.groupBy("url").agg(best.alias("b")).select("url", "b.*")
 
 
 def listed_rule(h: Column, p: Column, rules: list[Listed]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest listed rule that fits, else nulls; of equal length the first listed."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: len(r.host + r.path)):
+    for r in sorted(reversed(rules), key=lambda r: len(r.host + r.path)):
         fits = ((h == r.host) | h.endswith(f".{r.host}")) & p.startswith(r.path)
         name, verdict = F.when(fits, r.host + r.path).otherwise(name), F.when(fits, r.verdict).otherwise(verdict)
     return name, verdict
 
 
 def judge(pages: DataFrame, labelled: DataFrame, listed: list[Listed], **mining) -> DataFrame:
-    """(page_id, host, path, rule, verdict, confidence) of every page; labelled: (url, bad)."""
-    bad = blocked(pages, mine(labelled, **mining)).select(F.col("url").alias("_url"), "confidence")
+    """(page_id, host, path, rule, verdict, mined_rule, confidence, support) of every page; labelled: (url, bad).
+
+    mined_rule is the id of the mined rule that fits best, whether or not a listed rule decides.
+    """
+    bad = blocked(pages, mine(labelled, **mining)).select(F.col("url").alias("_url"), F.col("rule_id").alias("mined_rule"), "confidence", "support")
     h, p = host(F.col("url")), path(F.col("url"))
     rule, verdict = listed_rule(F.col("host"), F.col("path"), listed)
-    rows = pages.select("page_id", "url").join(bad, F.col("url") == F.col("_url"), "left").select("page_id", h.alias("host"), p.alias("path"), "confidence")
+    rows = pages.select("page_id", "url").join(bad, F.col("url") == F.col("_url"), "left").select("page_id", h.alias("host"), p.alias("path"), "mined_rule", "confidence", "support")
     own = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "confidence")
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "mined_rule", "confidence", "support")
