@@ -3,7 +3,9 @@
 The vocabulary is a byte-level BPE file of the tokenizers library; its path is a parameter.  A text
 is cut where one space stands between other characters: no piece of the byte-level pattern crosses
 such a place, so ids of the parts join to the ids of the text, and a bounded memo keeps those of
-frequent parts.  Null text is empty and has no ids.  Truncation and padding are not used.
+frequent parts.  Null and empty texts have no ids; texts of any length are whole; repeated rows repeat;
+an empty table gives no rows.  Truncation and padding are not used.  A file with settings other than plain
+byte-level ones is refused.
 """
 
 from __future__ import annotations
@@ -48,11 +50,27 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def settings(path: str) -> dict:
+    """The file's settings; those that would give other ids than this module makes raise ValueError."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+    wrong = [k for k, v in plain.items() if (model.get(k) or v) != v]
+    wrong += [k for k, v in (("normalizer", None), ("post_processor", None)) if spec.get(k) != v]
+    if model.get("type", "BPE") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    wrong += [x["content"] for x in spec.get("added_tokens") or [] if x.get("single_word") or x.get("lstrip") or x.get("rstrip")]
+    if wrong:
+        raise ValueError(f"not a plain byte-level vocabulary: {', '.join(wrong)}")
+    return spec
+
+
 class Vocabulary:
     """Merge ranks and vocabulary strings of one file."""
 
     def __init__(self, path: str) -> None:
-        spec = json.load(open(path, encoding="utf-8"))
+        spec = settings(path)
         ids, letters = spec["model"]["vocab"], byte_letters()
         back = {c: b for b, c in letters.items()}
         added = {x["content"]: x["id"] for x in spec.get("added_tokens") or []}

@@ -8,6 +8,10 @@ of all tokens of all documents (ties: lower id first).
 Ids are made once: a first pass sorts the documents by id, writes shards whose blocks are ranked by
 their own counts, and counts; a second pass ranks the shards anew by the corpus counts.  A task
 writes under a name of its attempt and returns it, so a lost executor leaves at most an unused file.
+
+Null texts are empty; null ids stand first; equal ids follow each other by a hash of the text, and may stand in several
+files.  An empty table gives no files.  Columns other than the key and the text play no part, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -112,8 +116,9 @@ def library_encoder(path: str):
     """Text to ids by the tokenizers library; single words go straight to its merge model."""
     from tokenizers import Tokenizer
 
-    from .bpe import byte_letters
+    from .bpe import byte_letters, settings
 
+    settings(path)
     whole = Tokenizer.from_file(path)
     whole.no_truncation()
     whole.no_padding()
@@ -136,7 +141,7 @@ def library_encoder(path: str):
     return ids
 
 
-_MADE = T.StructType([T.StructField(*x) for x in (("token", T.IntegerType()), ("n", T.LongType()), ("path", T.StringType()), ("first", T.LongType()), ("tokens", T.LongType()))])
+_MADE = T.StructType([T.StructField(*x) for x in (("token", T.IntegerType()), ("n", T.LongType()), ("path", T.StringType()), ("first", T.LongType()), ("hash", T.LongType()), ("tokens", T.LongType()))])
 
 
 @lru_cache(maxsize=1)
@@ -148,12 +153,12 @@ def worker_encoder(path: str) -> Encoder:
 def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = None, column: str = "text", key: str = "doc_id") -> DataFrame:
     """Writes the ids of all documents below folder, by ascending key; returns (path, start, tokens), a row for each file.
 
-    Null text is empty; a null key sorts first and stays null; equal keys follow each other, by text.
+    Null text is empty; a null key sorts first and stays null; equal keys follow each other, by a hash of the text.
     ``end_id`` is appended to each document.  An empty table gives no files.
     """
     spark = docs.sparkSession
     shared.fewer_rows_per_batch(spark)
-    ordered = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{column}`"), F.lit("")).alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
+    ordered = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{column}`"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t")).repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t")
     stop = struct.pack("<I", end_id) if end_id is not None else b""
 
     def encode(batches):
@@ -176,8 +181,8 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None
             size = 0
             for whole in batches:
                 for b in slices(whole, "t", 1 << 22):
+                    first = first or (b.column("k")[0].as_py(), b.column("h")[0].as_py())
                     for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist()):
-                        first = (k,) if first is None else first
                         names.append(k)
                         ids.append(encoder(t) + stop)
                         size += len(ids[-1]) // 4
@@ -196,14 +201,14 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None
         shared.put(path, _chain(head, body, out))
         used = np.flatnonzero(counts)
         none = [None] * len(used)
-        yield pa.RecordBatch.from_arrays([pa.array([*used.tolist(), None], pa.int32()), pa.array([*counts[used].tolist(), None], pa.int64()), pa.array([*none, path], pa.string()), pa.array([*none, first[0]], pa.int64()), pa.array([*none, total], pa.int64())], names=_MADE.names)
+        yield pa.RecordBatch.from_arrays([pa.array([*used.tolist(), None], pa.int32()), pa.array([*counts[used].tolist(), None], pa.int64()), pa.array([*none, path], pa.string()), pa.array([*none, first[0]], pa.int64()), pa.array([*none, first[1]], pa.int64()), pa.array([*none, total], pa.int64())], names=_MADE.names)
 
     made = shared.write_table(ordered.mapInArrow(shared.tidy(encode), _MADE), folder, "counts")
     # as many rows as the vocabulary has ids, and as there are files
     counts = made.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).collect()
     order = ranking(np.array([r.token for r in counts], np.int64), np.array([r.n for r in counts], np.int64)).tobytes() if counts else b""
     files, start = [], 0
-    for r in sorted(made.where("path IS NOT NULL").collect(), key=lambda r: (r["first"] is not None, r["first"])):
+    for r in sorted(made.where("path IS NOT NULL").collect(), key=lambda r: (r["first"] is not None, r["first"] or 0, r["hash"])):
         files.append((r.path, start, r.tokens))
         start += r.tokens
 
