@@ -99,3 +99,33 @@ def test_odd_rows(spark, odd_docs, no_docs, folder):
     untrained = ngram.score(odd_docs, F.lit(True), f"{folder}3").collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in untrained)
     json.dumps([r.doc_id for r in untrained])
+
+
+def test_counts_above_32_bits(spark, folder):
+    keys = np.array([3, 5, 1 << 63], np.uint64)
+    n = np.array([1, (1 << 33) + 7, 1 << 40])
+
+    def blobs(batches):
+        for _ in batches:
+            yield counts.blobs(keys, n, counts.bucket_of(keys, 2))
+
+    rows = spark.range(1).repartition(1).mapInArrow(blobs, counts.BLOBS)
+    files = counts.count(rows.unionByName(rows), folder, 2)
+    got, rank = counts.Store(files, 2).lookup(np.array([5, 4, 1 << 63, 3], np.uint64))
+    assert got.tolist() == [2 * ((1 << 33) + 7), 0, 1 << 41, 2] and rank[1] == -1
+
+
+def test_bigram_keys_of_many_words():
+    size, buckets = (1 << 36) - 5, 1 << 10
+    codes = ngram.Codes(size, buckets, [0, 17, 1 << 35])
+    rng = np.random.default_rng(6)
+    context = np.concatenate([[0, 17, 1 << 35, 1, size], rng.integers(0, size, 500)])
+    word = np.concatenate([[size, 1, 1 << 33, 1, 1], rng.integers(1, size, 500)])
+    bucket, key = codes(context, word)
+    assert (bucket >= 0).all() and (bucket < buckets).all()
+    for c, w, b, k in zip(context.tolist(), word.tolist(), bucket.tolist(), key):
+        place, back = codes.split(np.array([k]))
+        own, hot = codes.context_of(b, place)
+        assert (int(own[0]), int(back[0]), bool(hot[0])) == (c, w, c in (0, 17, 1 << 35))
+    with pytest.raises(ValueError):
+        ngram.Codes(1 << 40, 8, [])
