@@ -31,60 +31,91 @@ def divide(a: Column, b: Column) -> Column:
     return F.when(b == 0, at_zero).otherwise(a / F.when(b == 0, F.lit(1.0)).otherwise(b))
 
 
-def _bits(op: str, a: Column, b: Column) -> Column:
-    x, y = a.cast("bigint"), b.cast("bigint")
-    return {"and": x.bitwiseAND(y), "or": x.bitwiseOR(y), "xor": x.bitwiseXOR(y)}[op].cast("double")
+class Truth:
+    """A boolean on the stack of a program: logical operators treat it otherwise than a number."""
 
+    def __init__(self, column: Column) -> None:
+        self.column = column
 
-def _shift(a: Column, b: Column) -> Column:
-    x, n = a.cast("int"), b.cast("int")
+
+def _whole(x: Column) -> Column:
+    """The integer part, of infinities and NaN themselves."""
+    return F.when(F.abs(x) < 2.0**62, x.cast("bigint").cast("double")).otherwise(x)
+
+
+def _logical(op: str):
+    def work(a, b):
+        if isinstance(a, Truth) and isinstance(b, Truth):
+            return Truth({"and": a.column & b.column, "or": a.column | b.column, "xor": a.column != b.column}[op])
+        x, y = _number(a).cast("int"), _number(b).cast("int")
+        return {"and": x.bitwiseAND(y), "or": x.bitwiseOR(y), "xor": x.bitwiseXOR(y)}[op].cast("double")
+
+    return work
+
+
+def _shift(a, b) -> Column:
+    x, n = _number(a).cast("int"), _number(b).cast("int")
     left, right = F.call_function("shiftleft", x, F.greatest(n, F.lit(0))), F.call_function("shiftright", x, F.greatest(-n, F.lit(0)))
     return F.when(n >= 0, left).otherwise(right).cast("double")
 
 
-def _truth(x: Column) -> Column:
-    return x != 0
+def _not(a):
+    return Truth(~a.column) if isinstance(a, Truth) else F.bitwise_not(_number(a).cast("int")).cast("double")
+
 
+def _number(x) -> Column:
+    if isinstance(x, Truth):
+        return F.when(x.column, 1.0).otherwise(0.0)
+    return _c(float(x)) if isinstance(x, (int, float)) else x
 
-def _flag(x: Column) -> Column:
-    return F.when(x, 1.0).otherwise(0.0)
+
+def _test(x) -> Column:
+    return x.column if isinstance(x, Truth) else _number(x) != 0
+
+
+def _numeric(f):
+    return lambda *values: f(*map(_number, values))
+
+
+def _relation(f):
+    return lambda a, b: Truth(f(_number(a), _number(b)))
 
 
 _TWO = {
-    "add": lambda a, b: a + b,
-    "sub": lambda a, b: a - b,
-    "mul": lambda a, b: a * b,
-    "div": divide,
-    "idiv": lambda a, b: F.try_divide(a, b).cast("bigint").cast("double"),
-    "mod": lambda a, b: F.when(b != 0, a % F.when(b == 0, F.lit(1.0)).otherwise(b)),
-    "exp": lambda a, b: F.pow(a, b),
-    "atan": lambda a, b: F.degrees(F.atan2(a, b)),
-    "eq": lambda a, b: _flag(a == b),
-    "ne": lambda a, b: _flag(a != b),
-    "gt": lambda a, b: _flag(a > b),
-    "ge": lambda a, b: _flag(a >= b),
-    "lt": lambda a, b: _flag(a < b),
-    "le": lambda a, b: _flag(a <= b),
-    "and": lambda a, b: _bits("and", a, b),
-    "or": lambda a, b: _bits("or", a, b),
-    "xor": lambda a, b: _bits("xor", a, b),
+    "add": _numeric(lambda a, b: a + b),
+    "sub": _numeric(lambda a, b: a - b),
+    "mul": _numeric(lambda a, b: a * b),
+    "div": _numeric(divide),
+    "idiv": _numeric(lambda a, b: _whole(divide(a, b))),
+    "mod": _numeric(lambda a, b: a - _whole(divide(a, b)) * b),
+    "exp": _numeric(lambda a, b: F.pow(a, b)),
+    "atan": _numeric(lambda a, b: F.degrees(F.atan2(a, b))),
+    "eq": _relation(lambda a, b: a == b),
+    "ne": _relation(lambda a, b: a != b),
+    "gt": _relation(lambda a, b: a > b),
+    "ge": _relation(lambda a, b: a >= b),
+    "lt": _relation(lambda a, b: a < b),
+    "le": _relation(lambda a, b: a <= b),
+    "and": _logical("and"),
+    "or": _logical("or"),
+    "xor": _logical("xor"),
     "bitshift": _shift,
 }
 _ONE = {
-    "abs": F.abs,
-    "neg": lambda a: -a,
-    "ceiling": lambda a: F.ceil(a).cast("double"),
-    "floor": lambda a: F.floor(a).cast("double"),
-    "round": lambda a: F.floor(a + 0.5).cast("double"),
-    "truncate": lambda a: a.cast("bigint").cast("double"),
-    "cvi": lambda a: a.cast("bigint").cast("double"),
-    "cvr": lambda a: a.cast("double"),
-    "sqrt": F.sqrt,
-    "ln": F.ln,
-    "log": F.log10,
-    "sin": lambda a: F.sin(F.radians(a)),
-    "cos": lambda a: F.cos(F.radians(a)),
-    "not": lambda a: _flag(a == 0),
+    "abs": _numeric(F.abs),
+    "neg": _numeric(lambda a: -a),
+    "ceiling": _numeric(lambda a: F.ceil(a).cast("double")),
+    "floor": _numeric(lambda a: F.floor(a).cast("double")),
+    "round": _numeric(lambda a: F.floor(a + 0.5).cast("double")),
+    "truncate": _numeric(_whole),
+    "cvi": _numeric(_whole),
+    "cvr": _numeric(lambda a: a.cast("double")),
+    "sqrt": _numeric(F.sqrt),
+    "ln": _numeric(F.ln),
+    "log": _numeric(F.log10),
+    "sin": _numeric(lambda a: F.sin(F.radians(a))),
+    "cos": _numeric(lambda a: F.cos(F.radians(a))),
+    "not": _not,
 }
 
 
@@ -110,25 +141,24 @@ def _constant(x) -> int:
 
 
 def program(source: str, *inputs: Number) -> list[Column]:
-    """The columns that a program ``{ … }`` leaves for its inputs; numbers that only the stack uses must be literals."""
+    """The columns that a program ``{ … }`` leaves for its inputs (booleans as 1 and 0); numbers that only the stack uses must be literals."""
     body, _ = _blocks(re.findall(r"[{}]|[^\s{}]+", source))
-    return [_c(float(x)) if isinstance(x, (int, float)) else x for x in _run(body[0] if body and isinstance(body[0], list) else body, [x if isinstance(x, (int, float)) else x.cast("double") for x in inputs])]
+    return [_number(x) for x in _run(body[0] if body and isinstance(body[0], list) else body, [x if isinstance(x, (int, float)) else x.cast("double") for x in inputs])]
 
 
 def _run(body: list, stack: list) -> list:
     stack = list(stack)
     pop = stack.pop
-    lit = lambda x: _c(float(x)) if isinstance(x, (int, float)) else x
     for t in body:
         if isinstance(t, list):
             stack.append(t)
         elif t in _TWO:
-            b, a = lit(pop()), lit(pop())
+            b, a = pop(), pop()
             stack.append(_TWO[t](a, b))
         elif t in _ONE:
-            stack.append(_ONE[t](lit(pop())))
+            stack.append(_ONE[t](pop()))
         elif t in ("true", "false"):
-            stack.append(float(t == "true"))
+            stack.append(Truth(F.lit(t == "true")))
         elif t == "pop":
             pop()
         elif t == "exch":
@@ -147,16 +177,24 @@ def _run(body: list, stack: list) -> list:
                 stack[-n:] = part[-(j % n) :] + part[: -(j % n)] if j % n else part
         elif t in ("if", "ifelse"):
             other = pop() if t == "ifelse" else []
-            first, test = pop(), lit(pop())
+            first, test = pop(), _test(pop())
             yes, no = _run(first, stack), _run(other, stack)
             if len(yes) != len(no):
                 raise ValueError("both branches must leave as many values")
-            stack[:] = [a if a is b else F.when(_truth(test), lit(a)).otherwise(lit(b)) for a, b in zip(yes, no)]
+            stack[:] = [_either(test, a, b) for a, b in zip(yes, no)]
         else:
             stack.append(float(t))
     return stack
 
 
+def _either(test: Column, a, b):
+    if a is b:
+        return a
+    if isinstance(a, Truth) and isinstance(b, Truth):
+        return Truth(F.when(test, a.column).otherwise(b.column))
+    return F.when(test, _number(a)).otherwise(_number(b))
+
+
 def exponential(x: Number, c0: list[float] | None = None, c1: list[float] | None = None, n: float = 1.0, domain: tuple[float, float] = (0.0, 1.0)) -> list[Column]:
     """c0 + x**n * (c1 - c0)."""
     c0, c1, x = c0 or [0.0], c1 or [1.0], clamp(x, domain)
