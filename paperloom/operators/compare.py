@@ -125,21 +125,27 @@ def _merge(ops: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return out
 
 
+def _moved(kind: str, left: str, edit: str, right: str) -> list[tuple[str, str]] | None:
+    """The edit moved over a whole equal run beside it, which the text around it allows; None where it stays."""
+    around, n = left + edit + right, len(edit)
+    if len(left) <= n and around[n : n + len(left)] == left:
+        return [(kind, around[:n]), (EQUAL, around[n:])]
+    if len(right) <= n and edit[: len(right)] == right:
+        return [(EQUAL, around[:-n]), (kind, around[-n:])]
+    return None
+
+
 def _slide(ops: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """A single edit between equal runs that ends with the run before it, or begins with the one after, swallows that run."""
-    ops = list(ops)
-    i = 1
-    while i < len(ops) - 1:
-        (o1, before), (op, edit), (o2, after) = ops[i - 1 : i + 2]
-        if o1 == o2 == EQUAL and op != EQUAL:
-            if edit.endswith(before):
-                ops[i - 1 : i + 2] = [(op, before + edit[: len(edit) - len(before)]), (EQUAL, before + after)]
-                continue
-            if edit.startswith(after):
-                ops[i - 1 : i + 2] = [(EQUAL, before + after), (op, edit[len(after) :] + after)]
-                continue
-        i += 1
-    return ops
+    """Single edits between two equal runs stand where one run is gone, if they can be moved there."""
+    done: list[tuple[str, str]] = []
+    for x in ops:
+        done.append(x)
+        while len(done) > 2 and done[-1][0] == done[-3][0] == EQUAL != done[-2][0]:
+            two = _moved(done[-2][0], done[-3][1], done[-2][1], done[-1][1])
+            if two is None:
+                break
+            done[-3:] = two
+    return done
 
 
 def diff_text(a: str | None, b: str | None) -> list[tuple[str, str]]:

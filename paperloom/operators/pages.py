@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 
 def renumber(df: DataFrame, *order: str | Column, doc: str = "doc") -> DataFrame:
-    """page_no from 1 in the given order; the columns that begin with an underscore go."""
+    """page_no from 1 in the given order; the operators' own columns, which begin with _paperloom_, go."""
     out = df.withColumn("page_no", F.row_number().over(W.partitionBy(doc).orderBy(*order)))
-    return out.drop(*[c for c in df.columns if c.startswith("_")])
+    return out.drop(*[c for c in df.columns if c.startswith("_paperloom_")])
 
 
 def page_count(df: DataFrame) -> Column:
@@ -25,26 +25,26 @@ def page_count(df: DataFrame) -> Column:
 
 def concat(parts: list[DataFrame]) -> DataFrame:
     """The pages of the same document in each part, one part after the other."""
-    tagged = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
-    return renumber(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged), "_part", "page_no")
+    tagged = [p.withColumn("_paperloom_part", F.lit(i)) for i, p in enumerate(parts)]
+    return renumber(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged), "_paperloom_part", "page_no")
 
 
 def merge(df: DataFrame, into: Column, order: Column) -> DataFrame:
     """Documents joined to the document ``into``, in the given order."""
-    return renumber(df.withColumn("_order", order).withColumn("doc", into), "_order", "page_no")
+    return renumber(df.withColumn("_paperloom_order", order).withColumn("doc", into), "_paperloom_order", "page_no")
 
 
 def blank_between(first: DataFrame, blank: list[str], second: DataFrame, column: str = "text") -> DataFrame:
     """First, blank, second, for documents that are in both; blank holds the texts of the pages that stand between."""
     docs = first.select("doc").distinct().join(second.select("doc").distinct(), "doc")
-    between = docs.select("doc", F.posexplode(F.array(*[F.lit(t) for t in blank])).alias("_i", column)).select("doc", (F.col("_i") + 1).alias("page_no"), column)
+    between = docs.select("doc", F.posexplode(F.array(*[F.lit(t) for t in blank])).alias("_paperloom_i", column)).select("doc", (F.col("_paperloom_i") + 1).alias("page_no"), column)
     return concat([first, between, second])
 
 
 def extract_range(df: DataFrame, start: int, end: int) -> DataFrame:
     """Pages start..end, clamped to the document."""
     n = page_count(df)
-    out = df.withColumn("_n", n).where(F.col("page_no").between(max(start, 1), F.least(F.lit(end), F.col("_n"))))
+    out = df.withColumn("_paperloom_n", n).where(F.col("page_no").between(max(start, 1), F.least(F.lit(end), F.col("_paperloom_n"))))
     return renumber(out, "page_no")
 
 
@@ -59,19 +59,19 @@ def append_range(df: DataFrame, source: DataFrame, start: int, end: int) -> Data
 
 def insert_after(df: DataFrame, page: int, source: DataFrame) -> DataFrame:
     """The source's pages after page ``page``, clamped to 0..n; 0 puts them first."""
-    sized = df.withColumn("_n", page_count(df))
-    at = F.least(F.lit(max(page, 0)), F.col("_n"))
-    head = sized.where(F.col("page_no") <= at).drop("_n").withColumn("_part", F.lit(0))
-    tail = sized.where(F.col("page_no") > at).drop("_n").withColumn("_part", F.lit(2))
-    return renumber(head.unionByName(source.withColumn("_part", F.lit(1)), allowMissingColumns=True).unionByName(tail, allowMissingColumns=True), "_part", "page_no")
+    sized = df.withColumn("_paperloom_n", page_count(df))
+    at = F.least(F.lit(max(page, 0)), F.col("_paperloom_n"))
+    head = sized.where(F.col("page_no") <= at).drop("_paperloom_n").withColumn("_paperloom_part", F.lit(0))
+    tail = sized.where(F.col("page_no") > at).drop("_paperloom_n").withColumn("_paperloom_part", F.lit(2))
+    return renumber(head.unionByName(source.withColumn("_paperloom_part", F.lit(1)), allowMissingColumns=True).unionByName(tail, allowMissingColumns=True), "_paperloom_part", "page_no")
 
 
 def delete(df: DataFrame, pages: list[int], strict: bool = True) -> DataFrame:
     """The other pages.  With strict, a number out of a document's range fails the query."""
     gone = sorted(set(pages))
     if strict and gone:
-        bad = (F.lit(gone[0]) < 1) | (F.lit(gone[-1]) > F.col("_n"))
-        df = df.withColumn("_n", page_count(df)).where(F.when(bad, F.raise_error(F.lit("a page number is out of range"))).otherwise(F.lit(True)))
+        bad = (F.lit(gone[0]) < 1) | (F.lit(gone[-1]) > F.col("_paperloom_n"))
+        df = df.withColumn("_paperloom_n", page_count(df)).where(F.when(bad, F.raise_error(F.lit("a page number is out of range"))).otherwise(F.lit(True)))
     return renumber(df.where(~F.col("page_no").isin(gone)), "page_no")
 
 
@@ -94,8 +94,8 @@ def split_bulks(df: DataFrame, bulks: list[tuple[int, int]]) -> DataFrame:
         raise ValueError("bulks need pairs of a first and a last page")
     parts = F.array(*[F.struct(F.lit(i + 1).alias("part"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for i, (a, b) in enumerate(bulks)])
     fits = F.filter(parts, lambda x: F.col("page_no").between(x["lo"], x["hi"]))
-    out = df.select("*", F.explode(fits).alias("_b")).withColumn("part", F.col("_b.part"))
-    return out.withColumn("page_no", F.row_number().over(W.partitionBy("doc", "part").orderBy("page_no"))).drop("_b")
+    out = df.select("*", F.explode(fits).alias("_paperloom_b")).withColumn("part", F.col("_paperloom_b.part"))
+    return out.withColumn("page_no", F.row_number().over(W.partitionBy("doc", "part").orderBy("page_no"))).drop("_paperloom_b")
 
 
 def booklet(df: DataFrame) -> DataFrame:
@@ -136,8 +136,8 @@ def page_breaks(df: DataFrame, breaks: list[float]) -> DataFrame:
     height = F.col("ury") - F.col("lly")
     cuts = F.array(F.lit(0.0), *[F.least(F.lit(float(b)), height) for b in sorted(breaks)], height)
     strips = F.filter(F.transform(F.slice(cuts, 1, len(breaks) + 1), lambda c, i: F.struct(c.alias("top"), F.element_at(cuts, i + 2).alias("bottom"))), lambda s: s["bottom"] > s["top"])
-    out = df.select("*", F.posexplode(strips).alias("_strip", "_s"))
-    return renumber(out.withColumns({"top": F.col("_s.top"), "bottom": F.col("_s.bottom")}), "page_no", "_strip")
+    out = df.select("*", F.posexplode(strips).alias("_paperloom_strip", "_paperloom_s"))
+    return renumber(out.withColumns({"top": F.col("_paperloom_s.top"), "bottom": F.col("_paperloom_s.bottom")}), "page_no", "_paperloom_strip")
 
 
 def with_errors(parts: list[tuple[str, DataFrame | None]], skip: bool = False) -> tuple[DataFrame, list[str]]:
@@ -150,12 +150,12 @@ def with_errors(parts: list[tuple[str, DataFrame | None]], skip: bool = False) -
 
 def labels(df: DataFrame, ranges: DataFrame) -> DataFrame:
     """Pages with ``label``: the last range (doc, start from 0, style, prefix, first) that starts at or before the page."""
-    starts = ranges.select("doc", (F.col("start") + 1).alias("page_no"), F.struct("start", "style", "prefix", "first").alias("range"), F.lit(0).alias("_kind"))
-    both = df.withColumn("_kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
-    last = F.last("range", ignorenulls=True).over(W.partitionBy("doc").orderBy("page_no", "_kind").rowsBetween(W.unboundedPreceding, 0))
-    out = both.withColumn("r", last).where("_kind = 1")
+    starts = ranges.select("doc", (F.col("start") + 1).alias("page_no"), F.struct("start", "style", "prefix", "first").alias("range"), F.lit(0).alias("_paperloom_kind"))
+    both = df.withColumn("_paperloom_kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    last = F.last("range", ignorenulls=True).over(W.partitionBy("doc").orderBy("page_no", "_paperloom_kind").rowsBetween(W.unboundedPreceding, 0))
+    out = both.withColumn("r", last).where("_paperloom_kind = 1")
     n = F.col("page_no") - 1 - F.col("r.start") + F.col("r.first")
-    return out.withColumn("label", label(F.col("r.style"), F.col("r.prefix"), n)).drop("range", "r", "_kind")
+    return out.withColumn("label", label(F.col("r.style"), F.col("r.prefix"), n)).drop("range", "r", "_paperloom_kind")
 
 
 def label(style: Column, prefix: Column, n: Column) -> Column:
