@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import zlib
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-#: Decoded bytes of one stream, at most.
+#: Decoded bytes of one stream, at most; a larger one raises ValueError.
 LIMIT = 256 << 20
 
 
@@ -19,6 +23,8 @@ def flate(data: bytes, limit: int = LIMIT) -> bytes:
         out = b""
         try:
             out = d.decompress(data, limit)
+            if d.unconsumed_tail:
+                raise ValueError("a decoded stream is larger than the limit")
             return out
         except zlib.error:
             d, parts = zlib.decompressobj(bits), []
@@ -28,7 +34,7 @@ def flate(data: bytes, limit: int = LIMIT) -> bytes:
             except zlib.error:
                 pass
             if any(parts):
-                return b"".join(parts)[:limit]
+                return b"".join(parts)
     return b""
 
 
@@ -80,8 +86,10 @@ def lzw(data: bytes, early: int = 1, limit: int = LIMIT) -> bytes:
         if code == 256:
             table, width, previous = table[:258], 9, b""
             continue
-        if code == 257 or size > limit:
+        if code == 257:
             break
+        if size > limit:
+            raise ValueError("a decoded stream is larger than the limit")
         if code < len(table):
             now = table[code]
         elif previous and code == len(table):
@@ -146,7 +154,12 @@ def decode(data: bytes, filters: list[str], parameters: list[dict] | None = None
 
 def prefix(data: bytes, n: int) -> bytes:
     """The first n inflated bytes."""
-    return flate(data, n)[:n]
+    for bits in (15, -15):
+        try:
+            return zlib.decompressobj(bits).decompress(data, n)
+        except zlib.error:
+            continue
+    return flate(data)[:n]
 
 
 def image_size(data: bytes) -> tuple[str, int, int, int] | None:
@@ -174,3 +187,148 @@ def image_size(data: bytes) -> tuple[str, int, int, int] | None:
             tags[u16(p, order)] = u16(p + 8, order) if kind == 3 else int.from_bytes(data[p + 8 : p + 12], order)
         return "tiff", tags.get(256, 0), tags.get(257, 0), tags.get(258, 1)
     return None
+
+
+def _png(data: bytes) -> tuple[int, int, int, bytes]:
+    width, height, bits, kind, _, _, laced = struct.unpack_from(">IIBBBBB", data, 16)
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
+    if channels is None or bits != 8 or laced:
+        raise ValueError("only plain PNG of 8 bits is decoded")
+    at, body, palette = 8, [], b""
+    while at + 8 <= len(data):
+        size, name = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        if name == b"IDAT":
+            body.append(data[at + 8 : at + 8 + size])
+        elif name == b"PLTE":
+            palette = data[at + 8 : at + 8 + size]
+        at += 12 + size
+    out = predict(flate(b"".join(body)), 15, channels, 8, width)[: width * height * channels]
+    if kind == 3:
+        table = np.frombuffer(palette.ljust(768, b"\0"), np.uint8).reshape(-1, 3)
+        return width, height, 3, table[np.frombuffer(out, np.uint8)].tobytes()
+    return width, height, channels, out
+
+
+def _bmp(data: bytes) -> tuple[int, int, int, bytes]:
+    start, size = struct.unpack_from("<II", data, 10)
+    width, height, _, bits, packed = struct.unpack_from("<iiHHI", data, 18)
+    if bits not in (8, 24, 32) or packed:
+        raise ValueError("only plain BMP of 8, 24 or 32 bits is decoded")
+    n, rows = bits // 8, abs(height)
+    stride = (width * n + 3) // 4 * 4
+    x = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)[:, : width * n]
+    x = (x[::-1] if height > 0 else x).reshape(rows, width, n)
+    if bits == 8:
+        colours = np.zeros((256, 4), np.uint8)
+        table = np.frombuffer(data[14 + size : start], np.uint8)
+        colours[: len(table) // 4] = table[: len(table) // 4 * 4].reshape(-1, 4)
+        x = colours[x[..., 0]]
+    return width, rows, 3, np.ascontiguousarray(x[..., 2::-1]).tobytes()
+
+
+def pixels(data: bytes) -> tuple[int, int, int, bytes]:
+    """(width, height, channels, samples) of a PNG or BMP image, rows from the top; other kinds raise ValueError."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return _png(data)
+    if data[:2] == b"BM":
+        return _bmp(data)
+    raise ValueError("not a PNG or BMP image")
+
+
+def png(width: int, height: int, channels: int, samples: bytes) -> bytes:
+    """A PNG of 8-bit samples: 1, 3 or 4 in a pixel."""
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    row = width * channels
+    lines = b"".join(b"\0" + samples[i : i + row] for i in range(0, row * height, row))
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+_PIXELS = "struct<width:int,height:int,channels:int,samples:binary,error:string>"
+
+
+def image(content: Column) -> Column:
+    """The pixels of a column of images, or the reason why there are none, in Arrow batches."""
+
+    def run(x: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in x:
+            try:
+                rows.append((*pixels(v), None) if v is not None else (None, None, None, None, None))
+            except (ValueError, struct.error, IndexError) as e:
+                rows.append((None, None, None, None, str(e)))
+        return pd.DataFrame(rows, columns=["width", "height", "channels", "samples", "error"]).astype({c: "Int32" for c in ("width", "height", "channels")})
+
+    return F.pandas_udf(run, _PIXELS)(content)
+
+
+def decoded(content: Column, filters: list[str]) -> Column:
+    """A binary column after its stream filters, applied in order; null where they fail."""
+
+    def run(x: pd.Series) -> pd.Series:
+        def one(v):
+            try:
+                return None if v is None else decode(v, filters)
+            except (ValueError, IndexError, OverflowError):
+                return None
+
+        return x.map(one)
+
+    return F.pandas_udf(run, "binary")(content)
+
+
+def encode(data: bytes, name: str) -> bytes:
+    """A stream for one filter: FlateDecode, ASCII85Decode, ASCIIHexDecode, RunLengthDecode or LZWDecode."""
+    if name == "FlateDecode":
+        return zlib.compress(data)
+    if name == "ASCII85Decode":
+        return base64.a85encode(data) + b"~>"
+    if name == "ASCIIHexDecode":
+        return data.hex().encode() + b">"
+    if name == "RunLengthDecode":
+        return b"".join(bytes([len(data[i : i + 128]) - 1]) + data[i : i + 128] for i in range(0, len(data), 128)) + b"\x80"
+    if name == "LZWDecode":
+        return _lzw_encode(data)
+    raise ValueError(f"no encoder for {name}")
+
+
+def _lzw_encode(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first; the table is emptied before it is full."""
+    out, bits, have = bytearray(), 256, 9
+    table, prefix, size = {bytes([i]): i for i in range(256)}, b"", 258
+
+    def put(code: int) -> None:
+        nonlocal bits, have
+        width = min(12, max(9, size.bit_length()))
+        bits, have = bits << width | code, have + width
+        while have >= 8:
+            have -= 8
+            out.append(bits >> have)
+            bits &= (1 << have) - 1
+
+    for i in range(len(data)):
+        more = prefix + data[i : i + 1]
+        if more in table:
+            prefix = more
+            continue
+        put(table[prefix])
+        table[more] = size
+        size += 1
+        if size >= 4094:
+            put(256)
+            table, size = {bytes([k]): k for k in range(256)}, 258
+        prefix = data[i : i + 1]
+    if prefix:
+        put(table[prefix])
+        size += 1
+    put(257)
+    return bytes(out) + (bytes([bits << 8 - have & 255]) if have else b"")
+
+
+def encoded(content: Column, name: str) -> Column:
+    """A binary column as streams for one filter, in Arrow batches."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else encode(v, name))
+
+    return F.pandas_udf(run, "binary")(content)

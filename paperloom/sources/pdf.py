@@ -1,7 +1,8 @@
 """PDF files as relations: objects, pages, content operators, text runs, metadata.
 
 One file is one unit of work, since its cross-references and content state are sequential; files are
-spread over tasks.  A file that cannot be read gives a row of errors and no other.  Objects are read
+spread over tasks.  A file that cannot be read gives a row of errors and no other; ``status`` tells for each
+relation of a file how many rows it has and what stopped it.  Objects are read
 from the cross-reference chain; where that is damaged the whole file is scanned for them.
 """
 
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from .codecs import decode as decode_stream
 
 #: Bounds for untrusted files.
-DEPTH, OPERATORS = 10, 1_000_000
+DEPTH, OPERATORS, PAGE_DEPTH = 10, 1_000_000, 400
+#: Files of an Arrow batch, and rows that are sent on together.
+FILES, ROWS = 64, 4096
 _SPACE, _DELIMITERS = b"\0\t\n\f\r ", b"()<>[]{}/%"
 _STOP = re.compile(rb"[\0\t\n\f\r ()<>\[\]{}/%]")
 
@@ -200,40 +203,63 @@ class File:
         self.key: bytes | None = None
         try:
             self._chain()
-            if not isinstance(self.get(self.trailer.get("Root")), dict):
+            if "Encrypt" not in self.trailer and not isinstance(self.get(self.trailer.get("Root")), dict):
                 raise ValueError("no catalog")
         except (ValueError, IndexError, KeyError, TypeError, RecursionError):
             self._scan()
         if "Encrypt" in self.trailer:
             self._unlock(password.encode("latin-1", "replace"))
+            if not isinstance(self.get(self.trailer.get("Root")), dict):
+                self._scan()
 
     def _unlock(self, password: bytes) -> None:
-        """Takes the key of the standard handler with RC4; other handlers are left locked."""
+        """Takes the key of the standard handler: RC4, AES-128 or AES-256, by crypt filters from version 4 on."""
         from paperloom.functions import crypto
 
-        e = self.get(self.trailer["Encrypt"]) or {}
-        if e.get("Filter") != "Standard" or e.get("V") not in (1, 2):
+        e = {k: self.get(v) for k, v in (self.get(self.trailer["Encrypt"]) or {}).items()}
+        version, revision = e.get("V", 0), e.get("R", 2)
+        if e.get("Filter") != "Standard" or version not in (1, 2, 4, 5):
             raise ValueError("this encryption is not supported")
-        first = (self.get(self.trailer.get("ID")) or [b""])[0]
-        revision = e.get("R", 2)
-        key = crypto.file_key(password, e.get("O", b""), e.get("P", 0), first, revision, e.get("Length", 40) // 8)
-        n = 32 if revision == 2 else 16
-        if crypto.user_entry(key, first, revision)[:n] != e.get("U", b"")[:n]:
+        method = {"RC4": "RC4"}
+        if version >= 4:
+            filters = e.get("CF") or {}
+            kind = lambda name: str(self.get((self.get(filters.get(str(name))) or {}).get("CFM")) or "Identity") if name != "Identity" else "Identity"
+            method = {"Stream": kind(e.get("StmF", "Identity")), "String": kind(e.get("StrF", "Identity"))}
+        self.method = {k: method.get(k, "RC4") for k in ("Stream", "String")}
+        if version == 5:
+            key = crypto.strong_key(password, e)
+        else:
+            first, whole = (self.get(self.trailer.get("ID")) or [b""])[0], e.get("EncryptMetadata") is not False
+            size = 16 if version == 4 else e.get("Length", 40) // 8
+            key = crypto.file_key(password, e.get("O", b""), e.get("P", 0), first, revision, size, whole)
+            n = 32 if revision == 2 else 16
+            key = key if crypto.user_entry(key, first, revision)[:n] == e.get("U", b"")[:n] else None
+        if key is None:
             raise ValueError("the password does not fit")
         self.cache, self.key = {}, key
         self.locked = self.trailer["Encrypt"].number if isinstance(self.trailer["Encrypt"], Ref) else 0
 
-    def _open(self, x, key: bytes):
+    def _open(self, x, number: int, generation: int):
         """x with its strings and stream data decrypted."""
         from paperloom.functions import crypto
 
-        if isinstance(x, bytes):
-            return crypto.rc4(key, x)
-        if isinstance(x, Stream):
-            return Stream({k: self._open(v, key) for k, v in x.info.items()}, crypto.rc4(key, x.raw))
-        if isinstance(x, dict):
-            return {k: self._open(v, key) for k, v in x.items()}
-        return [self._open(v, key) for v in x] if isinstance(x, list) else x
+        def plain(data: bytes, kind: str) -> bytes:
+            if kind == "AESV3":
+                return crypto.aes_open(self.key, data)
+            if kind == "AESV2":
+                return crypto.aes_open(crypto.object_key(self.key, number, generation, b"sAlT"), data)
+            return data if kind in ("Identity", "None") else crypto.rc4(crypto.object_key(self.key, number, generation), data)
+
+        def walk(x):
+            if isinstance(x, bytes):
+                return plain(x, self.method["String"])
+            if isinstance(x, Stream):
+                return Stream({k: walk(v) for k, v in x.info.items()}, plain(x.raw, self.method["Stream"]))
+            if isinstance(x, dict):
+                return {k: walk(v) for k, v in x.items()}
+            return [walk(v) for v in x] if isinstance(x, list) else x
+
+        return walk(x)
 
     def _chain(self) -> None:
         at = self.data.rfind(b"startxref")
@@ -330,9 +356,7 @@ class File:
                         if number != n:
                             raise ValueError("another object stands there")
                         if self.key and n != self.locked and not (isinstance(value, Stream) and value.info.get("Type") == "XRef"):
-                            from paperloom.functions import crypto
-
-                            value = self._open(value, crypto.object_key(self.key, n, self.places[n][1]))
+                            value = self._open(value, n, self.places[n][1])
                         self.cache[n] = value
                     elif n in self.inside:
                         box, i = self.inside[n]
@@ -352,21 +376,25 @@ class File:
         return sorted({*self.places, *self.inside})
 
     def pages(self) -> list[dict]:
-        """Page dictionaries in order, with what they inherit."""
-        out, seen = [], set()
-        root = self.get(self.get(self.trailer.get("Root", {})).get("Pages"))
-
-        def walk(node, above, depth):
-            node = self.get(node)
-            if not isinstance(node, dict) or id(node) in seen or depth > 100:
+        """Page dictionaries in order, with what they inherit; page_numbers has their numbers by object."""
+        out, seen, self.page_numbers = [], set(), {}
+        root = self.get(self.trailer.get("Root", {})).get("Pages")
+
+        def walk(ref, above, depth):
+            node = self.get(ref)
+            name = ref.number if isinstance(ref, Ref) else id(node)
+            if not isinstance(node, dict) or name in seen:
                 return
-            seen.add(id(node))
+            if depth > PAGE_DEPTH:
+                raise ValueError("the page tree is too deep")
+            seen.add(name)
             own = above | {k: node[k] for k in ("MediaBox", "CropBox", "Rotate", "Resources") if k in node}
             if "Kids" in node:
                 for kid in self.get(node["Kids"]) or []:
                     walk(kid, own, depth + 1)
             else:
                 out.append(own | node)
+                self.page_numbers[name] = len(out)
 
         walk(root, {}, 0)
         return out
@@ -588,9 +616,9 @@ def _number(x) -> float:
     return float(x) if isinstance(x, (int, float)) else 0.0
 
 
-def _file_rows(doc: str, data: bytes):
+def _file_rows(doc: str, data: bytes, password: str = ""):
     try:
-        f = File(data)
+        f = File(data, password)
         info = f.get(f.trailer.get("Info")) or {}
         names = {k: text_of(f.get(v)) for k, v in info.items()} if isinstance(info, dict) else {}
         yield doc, len(data), f.version, "Encrypt" in f.trailer, f.recovered, f.revisions, len(f.pages()), list(names.items()), None
@@ -598,8 +626,8 @@ def _file_rows(doc: str, data: bytes):
         yield doc, len(data), None, None, None, None, None, [], str(e)
 
 
-def _page_rows(doc, data):
-    f = File(data)
+def _page_rows(doc, data, password=""):
+    f = File(data, password)
     for i, p in enumerate(f.pages(), 1):
         box = [_number(f.get(x)) for x in f.get(p.get("MediaBox")) or [0, 0, 612, 792]]
         yield doc, i, *box[:4], int(f.get(p.get("Rotate")) or 0) % 360
@@ -623,8 +651,8 @@ def _plain(x) -> str:
     return "[" + " ".join(map(_plain, x)) + "]" if isinstance(x, list) else repr(x)
 
 
-def _object_rows(doc, data):
-    f = File(data)
+def _object_rows(doc, data, password=""):
+    f = File(data, password)
     for n in f.numbers():
         x = f.get(Ref(n, 0))
         info = x.info if isinstance(x, Stream) else x
@@ -633,22 +661,22 @@ def _object_rows(doc, data):
         yield doc, n, {"nonetype": "null", "bytes": "string"}.get(kind, kind), str(f.get(info.get("Type")) or "") if isinstance(info, dict) else "", sorted(_refs(x, set())), hashlib.sha256(body).hexdigest()
 
 
-def _op_rows(doc, data):
-    f = File(data)
+def _op_rows(doc, data, password=""):
+    f = File(data, password)
     for i, p in enumerate(f.pages(), 1):
         for seq, (op, args) in enumerate(operators(f.content(p)), 1):
             yield doc, i, seq, op, [a.decode("latin-1") if isinstance(a, bytes) else str(a) for a in args]
 
 
-def _run_rows(doc, data):
-    f = File(data)
+def _run_rows(doc, data, password=""):
+    f = File(data, password)
     for i, p in enumerate(f.pages(), 1):
         for seq, r in enumerate(runs(f, p), 1):
             yield doc, i, seq, r["text"], r["x"], r["y"], r["w"], r["font"], r["size"]
 
 
-def _field_rows(doc, data):
-    f = File(data)
+def _field_rows(doc, data, password=""):
+    f = File(data, password)
     form = f.get((f.get(f.trailer.get("Root")) or {}).get("AcroForm")) or {}
 
     def walk(x, above, kind, value, depth):
@@ -669,51 +697,80 @@ def _field_rows(doc, data):
         yield from walk(x, "", "", None, 0)
 
 
-def _relation(files: DataFrame, schema: str, rows, key: str, content: str) -> DataFrame:
+def _relation(files: DataFrame, schema: str, rows, key: str, content: str, password: str = "") -> DataFrame:
+    """The rows that a function finds in each file, up to a damage; ``status`` tells where one is."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    spark = files.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > FILES:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", FILES)
     out = files.select(F.col(key).cast("string").alias("doc_id"), F.col(content).alias("content"))
-    kind = files.sparkSession.createDataFrame([], schema).schema
-    arrow = to_arrow_schema(kind)
+    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+    def table(found):
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*found), arrow)], schema=arrow)
 
     def run(batches):
         for b in batches:
             found = []
-            for doc, data in zip(b.column("doc_id").to_pylist(), b.column("content").to_pylist()):
+            for doc, data in zip(b.column("doc_id").to_pylist(), b.column("content")):
                 try:
-                    found += rows(doc, data or b"")
-                except Exception:  # its row of files has the error
+                    for row in rows(doc, data.as_py() or b"", password):
+                        found.append(row)
+                        if len(found) >= ROWS:
+                            yield table(found)
+                            found = []
+                except Exception:  # status has the error
                     continue
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*found), arrow)], schema=arrow)
+                yield table(found)
 
     return out.mapInArrow(run, schema)
 
 
-def files(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+def files(df: DataFrame, key: str = "path", content: str = "content", password: str = "") -> DataFrame:
     """A row for each file: version, encryption, recovery, pages, information; ``error`` where it cannot be read."""
-    return _relation(df, _FILES, _file_rows, key, content)
+    return _relation(df, _FILES, _file_rows, key, content, password)
 
 
-def pages(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    return _relation(df, _PAGES, _page_rows, key, content)
+def pages(df: DataFrame, key: str = "path", content: str = "content", password: str = "") -> DataFrame:
+    return _relation(df, _PAGES, _page_rows, key, content, password)
 
 
-def objects(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+def objects(df: DataFrame, key: str = "path", content: str = "content", password: str = "") -> DataFrame:
     """Objects with what they refer to and a hash of decoded content and dictionary."""
-    return _relation(df, _OBJECTS, _object_rows, key, content)
+    return _relation(df, _OBJECTS, _object_rows, key, content, password)
+
 
+def content_ops(df: DataFrame, key: str = "path", content: str = "content", password: str = "") -> DataFrame:
+    return _relation(df, _OPS, _op_rows, key, content, password)
 
-def content_ops(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    return _relation(df, _OPS, _op_rows, key, content)
 
+def text_runs(df: DataFrame, key: str = "path", content: str = "content", password: str = "") -> DataFrame:
+    return _relation(df, _RUNS, _run_rows, key, content, password)
 
-def text_runs(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    return _relation(df, _RUNS, _run_rows, key, content)
 
+def form_fields(df: DataFrame, key: str = "path", content: str = "content", password: str = "") -> DataFrame:
+    return _relation(df, _FIELDS, _field_rows, key, content, password)
 
-def form_fields(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    return _relation(df, _FIELDS, _field_rows, key, content)
+
+_READERS = {"pages": _page_rows, "objects": _object_rows, "content_ops": _op_rows, "text_runs": _run_rows, "form_fields": _field_rows}
+
+
+def _status_rows(doc, data, password=""):
+    for name, rows in _READERS.items():
+        n, error = 0, None
+        try:
+            for _ in rows(doc, data, password):
+                n += 1
+        except Exception as e:  # told in the row
+            error = str(e) or type(e).__name__
+        yield doc, name, n, error
+
+
+def status(df: DataFrame, key: str = "path", content: str = "content", password: str = "") -> DataFrame:
+    """(doc_id, relation, n_rows, error): for each file and relation the rows that it gives, and why it gives no more."""
+    return _relation(df, "doc_id string, relation string, n_rows long, error string", _status_rows, key, content, password)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -753,20 +810,20 @@ def page_text(rows: DataFrame) -> DataFrame:
 # --- writing ----------------------------------------------------------------------------------------
 
 
-def build(page_texts: list[list[tuple[float, float, float, str]]], compress: bool = True, info: dict[str, str] | None = None, fields: dict[str, str] | None = None) -> bytes:
-    """A file of pages of (x, y, size, text) in one standard font: for sinks and tests."""
+def build(page_texts: list[list[tuple[float, float, float, str]]], compress: bool = True, info: dict[str, str] | None = None, fields: dict[str, str] | None = None, boxes: list[tuple[float, float, int]] | None = None) -> bytes:
+    """A file of pages of (x, y, size, text) in one standard font: for sinks and tests.  boxes: width, height and turn of each page."""
     import zlib
 
     esc = lambda t: t.encode("latin-1", "replace").replace(b"\\", rb"\\").replace(b"(", rb"\(").replace(b")", rb"\)")
     bodies: list[bytes] = [b"", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
     kids, form = [], b""
-    for runs_ in page_texts:
+    for runs_, (wide, high, turn) in zip(page_texts, boxes or [(612, 792, 0)] * len(page_texts)):
         data = b"".join(b"BT /F1 %g Tf %g %g Td (%s) Tj ET\n" % (size, x, y, esc(t)) for x, y, size, t in runs_)
         extra = b""
         if compress:
             data, extra = zlib.compress(data), b" /Filter /FlateDecode"
         bodies.append(b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(data), extra, data))
-        bodies.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % len(bodies))
+        bodies.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %g %g] /Rotate %d /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (wide, high, turn, len(bodies)))
         kids.append(len(bodies))
     if fields:
         refs = []
@@ -791,13 +848,17 @@ def build(page_texts: list[list[tuple[float, float, float, str]]], compress: boo
 
 
 def write_pages(df: DataFrame, doc: str = "doc", page: str = "page_no", column: str = "text") -> DataFrame:
-    """(doc, content): a file for each document, its pages' lines from the top in size 12; a document is one row's work."""
-    rows = df.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(F.col(column), F.lit("")).alias("t")))).alias("r"))
+    """(doc, content): a file for each document, its pages' lines from the top in size 12; a document is one row's work.
+
+    Columns width, height and rotate of df, where it has them, are those of the pages.
+    """
+    box = [F.coalesce(F.col(c).cast(t), F.lit(d)).alias(c) if c in df.columns else F.lit(d).alias(c) for c, t, d in (("width", "double", 612.0), ("height", "double", 792.0), ("rotate", "int", 0))]
+    rows = df.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(F.col(column), F.lit("")).alias("t"), *box))).alias("r"))
     schema = f"{doc} {df.schema[doc].dataType.simpleString()}, content binary"
 
     def run(batches):
         for b in batches:
-            made = [build([[(72.0, 720.0 - 14.4 * i, 12.0, line) for i, line in enumerate(r["t"].splitlines())] for r in pages_]) for pages_ in b.column("r").to_pylist()]
+            made = [build([[(72.0, r["height"] - 72.0 - 14.4 * i, 12.0, line) for i, line in enumerate(r["t"].splitlines())] for r in pages_], boxes=[(r["width"], r["height"], r["rotate"]) for r in pages_]) for pages_ in b.column("r").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(doc), pa.array(made, pa.binary())], names=[doc, "content"])
 
     return rows.mapInArrow(run, schema)

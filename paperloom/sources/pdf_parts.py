@@ -6,6 +6,8 @@ that cannot be read gives no rows here.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,26 +18,24 @@ def _root(f: File) -> dict:
     return f.get(f.trailer.get("Root")) or {}
 
 
-def _tree(f: File, node, key: str, depth: int = 0):
-    """(key, value) pairs of a name or number tree."""
-    node = f.get(node)
-    if not isinstance(node, dict) or depth > 50:
-        return
-    items = f.get(node.get(key)) or []
-    yield from zip(items[::2], items[1::2])
-    for kid in f.get(node.get("Kids")) or []:
-        yield from _tree(f, kid, key, depth + 1)
+def _tree(f: File, node, key: str, seen: set | None = None):
+    """(key, value) pairs of a name or number tree; a node that contains itself is read once."""
+    seen = set() if seen is None else seen
+    todo = [node]
+    while todo:
+        node = f.get(todo.pop())
+        if not isinstance(node, dict) or id(node) in seen:
+            continue
+        seen.add(id(node))
+        items = f.get(node.get(key)) or []
+        yield from zip(items[::2], items[1::2])
+        todo += list(f.get(node.get("Kids")) or [])[::-1]
 
 
 def _page_of(f: File) -> dict[int, int]:
-    """Page numbers by the identity of page objects."""
-    seen = {}
-    for n in f.numbers():
-        x = f.get(Ref(n, 0))
-        if isinstance(x, dict) and x.get("Type") == "Page":
-            seen[n] = x
-    order = {tuple(sorted((k, repr(v)) for k, v in p.items() if k not in ("MediaBox", "CropBox", "Rotate", "Resources"))): i for i, p in enumerate(f.pages(), 1)}
-    return {n: order.get(tuple(sorted((k, repr(v)) for k, v in x.items() if k not in ("MediaBox", "CropBox", "Rotate", "Resources"))), 0) for n, x in seen.items()}
+    """Page numbers by the numbers of page objects."""
+    f.pages()
+    return f.page_numbers
 
 
 def _target(f: File, pages: dict[int, int], dest) -> int | None:
@@ -44,8 +44,8 @@ def _target(f: File, pages: dict[int, int], dest) -> int | None:
     return pages.get(dest[0].number) if isinstance(dest, list) and dest and isinstance(dest[0], Ref) else None
 
 
-def _annotations(doc, data):
-    f = File(data)
+def _annotations(doc, data, password=""):
+    f = File(data, password)
     for i, p in enumerate(f.pages(), 1):
         for k, a in enumerate(f.get(p.get("Annots")) or [], 1):
             a = f.get(a)
@@ -54,13 +54,13 @@ def _annotations(doc, data):
                 yield doc, i, k, str(f.get(a.get("Subtype")) or ""), text_of(f.get(a.get("Contents"))), text_of(f.get(a.get("T"))), text_of(f.get((f.get(a.get("A")) or {}).get("URI"))), *box
 
 
-def _outlines(doc, data):
-    f, ids = File(data), iter(range(1, 1_000_000))
+def _outlines(doc, data, password=""):
+    f, ids = File(data, password), itertools.count(1)
     pages = _page_of(f)
 
     def walk(node, parent, depth, seen):
         node = f.get(node)
-        while isinstance(node, dict) and id(node) not in seen and depth < 50:
+        while isinstance(node, dict) and id(node) not in seen:
             seen.add(id(node))
             own = next(ids)
             yield doc, own, parent, text_of(f.get(node.get("Title"))), depth, _target(f, pages, node.get("Dest") or (f.get(node.get("A")) or {}).get("D"))
@@ -71,8 +71,8 @@ def _outlines(doc, data):
     yield from walk((f.get(_root(f).get("Outlines")) or {}).get("First"), None, 0, set())
 
 
-def _destinations(doc, data):
-    f = File(data)
+def _destinations(doc, data, password=""):
+    f = File(data, password)
     pages = _page_of(f)
     for name, dest in (f.get(_root(f).get("Dests")) or {}).items():
         yield doc, name, _target(f, pages, dest)
@@ -80,23 +80,23 @@ def _destinations(doc, data):
         yield doc, text_of(f.get(name)), _target(f, pages, dest)
 
 
-def _attachments(doc, data):
-    f = File(data)
+def _attachments(doc, data, password=""):
+    f = File(data, password)
     for name, spec in _tree(f, (f.get(_root(f).get("Names")) or {}).get("EmbeddedFiles"), "Names"):
         spec = f.get(spec) or {}
         body = f.get((f.get(spec.get("EF")) or {}).get("F"))
         yield doc, text_of(f.get(name)), text_of(f.get(spec.get("Desc"))), body.data(f) if isinstance(body, Stream) else None
 
 
-def _scripts(doc, data):
-    f = File(data)
+def _scripts(doc, data, password=""):
+    f = File(data, password)
     for name, action in _tree(f, (f.get(_root(f).get("Names")) or {}).get("JavaScript"), "Names"):
         code = f.get((f.get(action) or {}).get("JS"))
         yield doc, text_of(f.get(name)), text_of(code.data(f) if isinstance(code, Stream) else code)
 
 
-def _fonts(doc, data):
-    f, seen = File(data), set()
+def _fonts(doc, data, password=""):
+    f, seen = File(data, password), set()
     for p in f.pages():
         for font in (f.get((f.get(p.get("Resources")) or {}).get("Font")) or {}).values():
             font = f.get(font) or {}
@@ -105,8 +105,8 @@ def _fonts(doc, data):
     yield from sorted(seen)
 
 
-def _images(doc, data):
-    f = File(data)
+def _images(doc, data, password=""):
+    f = File(data, password)
     for i, p in enumerate(f.pages(), 1):
         forms, k, ctm, saved = f.get((f.get(p.get("Resources")) or {}).get("XObject")) or {}, 0, (1.0, 0, 0, 1.0, 0, 0), []
         for op, args in operators(f.content(p)):
@@ -125,8 +125,8 @@ def _images(doc, data):
                     yield doc, i, k, str(args[0]), w, h, *map(float, ctm), w / wide * 72 if wide else None, h / tall * 72 if tall else None
 
 
-def _paths(doc, data):
-    f = File(data)
+def _paths(doc, data, password=""):
+    f = File(data, password)
     paint = {"S": "stroke", "s": "stroke", "f": "fill", "F": "fill", "f*": "fill", "B": "both", "B*": "both", "b": "both", "b*": "both", "n": "none"}
     for i, p in enumerate(f.pages(), 1):
         ctm, saved, points, k = (1.0, 0, 0, 1.0, 0, 0), [], [], 0
@@ -151,16 +151,16 @@ def _paths(doc, data):
                 points = []
 
 
-def _labels(doc, data):
-    f = File(data)
+def _labels(doc, data, password=""):
+    f = File(data, password)
     for start, x in _tree(f, _root(f).get("PageLabels"), "Nums"):
         x = f.get(x) or {}
         style = f.get(x.get("S"))
         yield doc, int(f.get(start)), str(style) if isinstance(style, Name) else None, text_of(f.get(x.get("P"))), int(f.get(x.get("St")) or 1)
 
 
-def _signatures(doc, data):
-    f = File(data)
+def _signatures(doc, data, password=""):
+    f = File(data, password)
     for n in f.numbers():
         x = f.get(Ref(n, 0))
         if isinstance(x, dict) and "ByteRange" in x and "Contents" in x:
@@ -169,14 +169,15 @@ def _signatures(doc, data):
                 yield doc, n, r[0], r[-2] + r[-1], r[0] == 0 and r[-2] + r[-1] == len(data), text_of(f.get(x.get("Name")))
 
 
-def _structure(doc, data):
-    f, ids = File(data), iter(range(1, 1_000_000))
+def _structure(doc, data, password=""):
+    f, ids, seen = File(data, password), itertools.count(1), set()
 
     def walk(node, parent, level):
         node = f.get(node)
         for kid in node if isinstance(node, list) else [node]:
             kid = f.get(kid)
-            if isinstance(kid, dict) and "S" in kid and level < 50:
+            if isinstance(kid, dict) and "S" in kid and id(kid) not in seen:
+                seen.add(id(kid))
                 own = next(ids)
                 yield doc, own, parent, level, str(f.get(kid["S"])), text_of(f.get(kid.get("T"))), text_of(f.get(kid.get("Alt"))), text_of(f.get(kid.get("ActualText")))
                 yield from walk(kid.get("K"), own, level + 1)
@@ -184,18 +185,18 @@ def _structure(doc, data):
     yield from walk((f.get(_root(f).get("StructTreeRoot")) or {}).get("K"), None, 0)
 
 
-def _layers(doc, data):
-    f = File(data)
+def _layers(doc, data, password=""):
+    f = File(data, password)
     groups = f.get(_root(f).get("OCProperties")) or {}
     off = {x.number for x in f.get((f.get(groups.get("D")) or {}).get("OFF")) or [] if isinstance(x, Ref)}
     for x in f.get(groups.get("OCGs")) or []:
         yield doc, text_of(f.get((f.get(x) or {}).get("Name"))), not (isinstance(x, Ref) and x.number in off)
 
 
-def _xmp(doc, data):
+def _xmp(doc, data, password=""):
     import re
 
-    f = File(data)
+    f = File(data, password)
     x = f.get(_root(f).get("Metadata"))
     text = x.data(f).decode("utf-8", "replace") if isinstance(x, Stream) else ""
     for name, value in re.findall(r"<([A-Za-z]+:[A-Za-z]+)>([^<]*)</\1>", text) + re.findall(r'\s((?!xmlns|rdf|xml:|x:)[A-Za-z]+:[A-Za-z]+)="([^"]*)"', text):
@@ -206,8 +207,8 @@ def _xmp(doc, data):
             yield doc, name, value.strip()
 
 
-def _colours(doc, data):
-    f = File(data)
+def _colours(doc, data, password=""):
+    f = File(data, password)
     for i, p in enumerate(f.pages(), 1):
         kind = 0  # 1 black and white, 2 grey, 3 colour
         for op, args in operators(f.content(p)):
@@ -239,10 +240,10 @@ _SCHEMAS = {
 }
 
 
-def part(df: DataFrame, name: str, key: str = "path", content: str = "content") -> DataFrame:
+def part(df: DataFrame, name: str, key: str = "path", content: str = "content", password: str = "") -> DataFrame:
     """One of the relations named above."""
     schema, rows = _SCHEMAS[name]
-    return _relation(df, schema, rows, key, content)
+    return _relation(df, schema, rows, key, content, password)
 
 
 def by_type(annotations: DataFrame, types: list[str], first: int = 1, last: int = 1 << 30) -> DataFrame:
