@@ -60,3 +60,24 @@ def wrap(df: DataFrame, width: int, key: str = "doc_id", column: str = "text") -
     """(key, line_no, line): pieces of ``width`` characters of each line; empty lines stay."""
     each = F.transform(F.split(F.coalesce(F.col(column), F.lit("")), "\n", -1), lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(x) / width).cast("int") - 1, F.lit(0))), lambda i: F.substring(x, i * width + 1, F.lit(width))))
     return df.select(key, F.posexplode(F.flatten(each)).alias("i", "line")).select(key, (F.col("i") + 1).alias("line_no"), "line")
+
+
+def wrap_words(df: DataFrame, width: int, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, text): lines broken at single spaces so that none is longer than the width, but for longer words."""
+
+    def add(acc: Column, w: Column) -> Column:
+        fits = (F.length(acc["line"]) + 1 + F.length(w) <= width) & acc["begun"]
+        line = F.when(fits, F.concat(acc["line"], F.lit(" "), w)).otherwise(w)
+        done = F.when(fits | ~acc["begun"], acc["done"]).otherwise(F.concat(acc["done"], acc["line"], F.lit("\n")))
+        return F.struct(done.alias("done"), line.alias("line"), F.lit(True).alias("begun"))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"), F.lit(False).alias("begun"))
+    flow = lambda x: F.aggregate(F.split(x, " ", -1), start, add, lambda a: F.concat(a["done"], a["line"]))
+    return df.select(key, F.array_join(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), "\n", -1), flow), "\n").alias(column))
+
+
+def reflow(df: DataFrame, phrase: str, new: str, width: int, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, text) with a phrase replaced and its paragraphs, which single line ends do not part, broken anew to the width."""
+    parts = F.split(replace_all(F.coalesce(F.col(column), F.lit("")), phrase, new), r"\n[ \t]*\n", -1)
+    flat = F.array_join(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), "\n")
+    return wrap_words(df.select(key, flat.alias(column)), width, key, column).select(key, F.replace(column, F.lit("\n\n"), F.lit("\n")).alias(column))

@@ -7,11 +7,15 @@ gaps, indents and short lines; blocks are read in the order of recursive cuts.
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-#: Tolerances in points (fixed values): distance and gap of collinear rules, positions of one boundary, thickness of a rule.
-ALIGN, GAP, EDGE, THIN = 0.6, 1.5, 6.0, 3.0
+#: Tolerances in points (fixed values): distance and gap of collinear rules, positions of one boundary, thickness of a rule, lower edges of one level.
+ALIGN, GAP, EDGE, THIN, LEVEL = 0.6, 1.5, 6.0, 3.0, 2.0
 
 
 def _merged(rules: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
@@ -58,9 +62,11 @@ def lattices(boxes: list[tuple[float, float, float, float]], width: float, heigh
             i = up[i]
         return i
 
+    v.sort()
+    xs = [x for x, _, _ in v]
     for i, (y, a, b) in enumerate(h):
-        for j, (x, c, d) in enumerate(v):
-            if a - GAP <= x <= b + GAP and c - GAP <= y <= d + GAP:
+        for j in range(bisect.bisect_left(xs, a - GAP), bisect.bisect_right(xs, b + GAP)):
+            if v[j][1] - GAP <= y <= v[j][2] + GAP:
                 up[root(i)] = root(len(h) + j)
     out = []
     for r in sorted({root(i) for i in range(len(up))}):
@@ -73,7 +79,8 @@ def lattices(boxes: list[tuple[float, float, float, float]], width: float, heigh
 
 def _cells(runs: pd.DataFrame, boxes: pd.DataFrame) -> list[tuple]:
     rows = []
-    found = lattices(list(boxes[["llx", "lly", "urx", "ury"]].itertuples(index=False, name=None)), 612.0, 792.0)
+    wide, high = (float(boxes[c].max()) if len(boxes) and c in boxes else d for c, d in (("page_width", 612.0), ("page_height", 792.0)))
+    found = lattices(list(boxes[["llx", "lly", "urx", "ury"]].itertuples(index=False, name=None)), wide, high)
     runs = runs.sort_values(["y", "x"], ascending=[False, True])
     for t, (xs, ys) in enumerate(found, 1):
         for i in range(len(ys) - 1):
@@ -84,8 +91,11 @@ def _cells(runs: pd.DataFrame, boxes: pd.DataFrame) -> list[tuple]:
     return rows
 
 
-def table_cells(runs: DataFrame, paths: DataFrame) -> DataFrame:
-    """(doc_id, page_no, table_no, row_no, col_no, text, box) of ruled tables, from text runs and path boxes."""
+def table_cells(runs: DataFrame, paths: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_no, table_no, row_no, col_no, text, box) of ruled tables, from text runs, path boxes and the pages' boxes (without them: 612 x 792)."""
+    if pages is not None:
+        paths = paths.join(pages.select("doc_id", "page_no", (F.col("urx") - F.col("llx")).alias("page_width"), (F.col("ury") - F.col("lly")).alias("page_height")), ["doc_id", "page_no"])
+    paths = paths.select(*[F.col(c).alias(c) for c in paths.columns])  # both may come from one relation
     schema = "doc_id string, page_no int, table_no int, row_no int, col_no int, text string, llx double, lly double, urx double, ury double"
 
     def page(key, r: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -115,7 +125,18 @@ def reading_order(blocks: list[tuple]) -> list[tuple]:
         parts = _cuts(blocks, across)
         if len(parts) > 1:
             return [b for p in parts for b in reading_order(p)]
-    return sorted(blocks, key=lambda b: (-b[1], b[0]))
+    return _level(sorted(blocks, key=lambda b: (-b[1], b[0])))
+
+
+def _level(blocks: list[tuple]) -> list[tuple]:
+    """Blocks from the top, those whose lower edges are within the tolerance of the first of their level from the left."""
+    out: list[list[tuple]] = []
+    for b in blocks:
+        if out and out[-1][0][1] - b[1] <= LEVEL:
+            out[-1].append(b)
+        else:
+            out.append([b])
+    return [b for level in out for b in sorted(level, key=lambda b: b[0])]
 
 
 def paragraphs(lines: list[tuple[float, float, float, float, str]], size: float) -> list[str]:
@@ -157,3 +178,103 @@ def page_paragraphs(runs: DataFrame) -> DataFrame:
         return pd.DataFrame([(*key, i, t) for i, t in enumerate(out, 1)], columns=["doc_id", "page_no", "para_no", "text"])
 
     return runs.groupBy("doc_id", "page_no").applyInPandas(page, "doc_id string, page_no int, para_no int, text string")
+
+
+#: A text line's tolerance in points and the gap between cells in sizes (fixed values) of tables without rules, and their least rows.
+LINE, CELL, ROWS = 2.0, 0.5, 2
+
+
+def _flow_lines(runs: pd.DataFrame) -> list[list[list]]:
+    """Lines of cells [x1, x2, y, top, texts] from the top: runs parted by more than half a size."""
+    lines: list[list] = []
+    for r in runs[runs.text.str.strip() != ""].sort_values(["y", "x"], ascending=[False, True]).itertuples():
+        if not lines or abs(lines[-1][0].y - r.y) > LINE:
+            lines.append([])
+        lines[-1].append(r)
+    out = []
+    for line in lines:
+        size = max(r.size if r.size > 0 else 12.0 for r in line)
+        cells: list[list] = []
+        for r in sorted(line, key=lambda r: r.x):
+            if not cells or r.x - cells[-1][1] > CELL * size:
+                cells.append([r.x, r.x + r.w, r.y, r.y + r.size, []])
+            c = cells[-1]
+            c[1], c[2], c[3] = max(c[1], r.x + r.w), min(c[2], r.y), max(c[3], r.y + r.size)
+            c[4].append(r.text)
+        out.append(cells)
+    return out
+
+
+def _bridged(columns: list[tuple[float, float]], cells: list[list]) -> list[tuple[float, float]]:
+    """The columns widened by cells: overlapping extents are one."""
+    out: list[list[float]] = []
+    for a, b in sorted([*columns, *((c[0], c[1]) for c in cells)]):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [tuple(x) for x in out]
+
+
+def flow_tables(runs: pd.DataFrame) -> list[tuple[list[tuple[float, float]], list[list[list]]]]:
+    """(columns, rows of cells) of tables that alignment alone shows: lines of two cells or more, at least half of them in known columns.
+
+    A line with fewer than half as many cells as there are columns continues the row above it.
+    """
+    meets = lambda c, columns: any(c[1] > a and c[0] < b for a, b in columns)
+    found, columns, rows = [], [], []
+
+    def close():
+        if len(rows) >= ROWS:
+            found.append((columns, rows))
+
+    for cells in [*_flow_lines(runs), []]:
+        sparse = bool(rows) and len(cells) >= 2 and 2 * len(cells) < len(columns)
+        if len(cells) < 2 or (rows and not sparse and 2 * sum(meets(c, columns) for c in cells) < len(cells)):
+            close()
+            columns, rows = [], []
+            if len(cells) < 2:
+                continue
+        if sparse:
+            rows[-1] += cells
+        else:
+            rows.append(list(cells))
+        columns = _bridged(columns, cells)
+    return found
+
+
+def borderless_cells(runs: DataFrame) -> DataFrame:
+    """(doc_id, page_no, table_no, row_no, col_no, text, llx, lly, urx, ury) of tables without rules, from text runs."""
+    schema = "doc_id string, page_no int, table_no int, row_no int, col_no int, text string, llx double, lly double, urx double, ury double"
+
+    def page(key, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for t, (columns, rows) in enumerate(flow_tables(r), 1):
+            for i, row in enumerate(rows, 1):
+                bottom, top = min(c[2] for c in row), max(c[3] for c in row)
+                for j, (a, b) in enumerate(columns, 1):
+                    inside = sorted((c for c in row if c[1] > a and c[0] < b), key=lambda c: (-c[3], c[0]))
+                    if inside:
+                        out.append((*key, t, i, j, " ".join(x for c in inside for x in c[4]).strip(), min(c[0] for c in inside), bottom, max(c[1] for c in inside), top))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return runs.groupBy("doc_id", "page_no").applyInPandas(page, schema)
+
+
+def outside_tables(rows: DataFrame, cells: DataFrame, tables: list[int] | None = None) -> DataFrame:
+    """Text runs or path boxes that no cell of the tables (all, or those of some numbers) holds: a page without its tables."""
+    cells = cells.select(*[F.col(c).alias(c) for c in cells.columns])
+    chosen = cells.where(F.col("table_no").isin(tables)) if tables else cells
+    box = chosen.groupBy("doc_id", "page_no", "table_no").agg(F.min("llx").alias("_a"), F.min("lly").alias("_b"), F.max("urx").alias("_c"), F.max("ury").alias("_d")).withColumnsRenamed({"doc_id": "_doc", "page_no": "_page"}).drop("table_no")
+    x, y = (F.col("x") + F.col("w") / 2, F.col("y") + F.col("size") / 2) if "x" in rows.columns else ((F.col("llx") + F.col("urx")) / 2, (F.col("lly") + F.col("ury")) / 2)
+    inside = (F.col("doc_id") == F.col("_doc")) & (F.col("page_no") == F.col("_page")) & x.between(F.col("_a"), F.col("_c")) & y.between(F.col("_b"), F.col("_d"))
+    return rows.join(box, inside, "left_anti")
+
+
+def headings(runs: DataFrame) -> DataFrame:
+    """Text runs with ``tag``: the size that most characters of a document have is P, larger sizes are H1 to H6 from the largest."""
+    sizes = runs.groupBy("doc_id", "size").agg(F.sum(F.length("text")).alias("_chars"))
+    body = sizes.groupBy("doc_id").agg(F.max_by("size", F.struct("_chars", -F.col("size"))).alias("_body"))
+    large = sizes.join(body, "doc_id").where("size > _body").withColumn("_rank", F.dense_rank().over(W.partitionBy("doc_id").orderBy(F.desc("size"))))
+    ranked = large.select("doc_id", "size", F.least(F.col("_rank"), F.lit(6)).alias("_rank"))
+    return runs.join(ranked, ["doc_id", "size"], "left").withColumn("tag", F.when(F.col("_rank").isNull(), "P").otherwise(F.concat(F.lit("H"), F.col("_rank").cast("string")))).drop("_rank")

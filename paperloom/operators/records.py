@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -123,3 +124,97 @@ def edit(fields: DataFrame, add: DataFrame | None = None, remove: list[str] | No
     if add is not None:
         out = out.unionByName(add, allowMissingColumns=True)
     return out.where(~F.col("name").isin(remove)) if remove else out
+
+
+_TOKEN = re.compile(r"\s*(?:([0-9]+(?:\.[0-9]+)?)|([A-Za-z_][A-Za-z0-9_.]*)|([-+*/(),]))")
+
+
+def arithmetic(expression: str, fields: dict[str, Column]) -> Column:
+    """An expression over fields (+ - * / and brackets, with the usual ranks) as a column of doubles; a missing field counts 0, and so does a division by 0."""
+    tokens, at = [], 0
+    while at < len(expression.rstrip()):
+        m = _TOKEN.match(expression, at)
+        if not m:
+            raise ValueError(f"not an expression: {expression[at:]}")
+        tokens.append(m)
+        at = m.end()
+    tokens.append(None)
+    place = 0
+
+    def mark() -> str | None:
+        return tokens[place][3] if tokens[place] else None
+
+    def take():
+        nonlocal place
+        place += 1
+        return tokens[place - 1]
+
+    def atom() -> Column:
+        m = take()
+        if m is None:
+            raise ValueError("the expression ends too soon")
+        if m[1]:
+            return F.lit(float(m[1]))
+        if m[2]:
+            if m[2] not in fields:
+                raise ValueError(f"no field {m[2]}")
+            return F.coalesce(fields[m[2]].cast("double"), F.lit(0.0))
+        if m[3] == "-":
+            return -atom()
+        if m[3] == "(":
+            inside = total()
+            if (end := take()) is None or end[3] != ")":
+                raise ValueError("a bracket is not closed")
+            return inside
+        raise ValueError(f"{m[3]} stands where a value must")
+
+    def product() -> Column:
+        out = atom()
+        while mark() in ("*", "/"):
+            times = take()[3] == "*"
+            other = atom()
+            out = out * other if times else F.coalesce(F.try_divide(out, other), F.lit(0.0))
+        return out
+
+    def total() -> Column:
+        out = product()
+        while mark() in ("+", "-"):
+            plus = take()[3] == "+"
+            other = product()
+            out = out + other if plus else out - other
+        return out
+
+    out = total()
+    if tokens[place] is not None:
+        raise ValueError("the expression goes on after its end")
+    return out
+
+
+def bind_xml(df: DataFrame, key: str, column: str, row: str, fields: dict[str, str]) -> DataFrame:
+    """(key, row_no, fields): for each element of a name the text of the paths below it; a missing one is null.  Elements of the name hold none of the same name."""
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.:-]*", row):
+        raise ValueError(f"not an element's name: {row}")
+    element = rf"(?s)<{row}(?:\s[^>]*)?(?:/>|>.*?</{row}>)"
+    rows = df.select(key, F.posexplode(F.regexp_extract_all(F.col(column), F.lit(element), F.lit(0))).alias("_i", "_x"))
+    values = [F.get(F.xpath("_x", F.lit(f"/{row}/{path}/text()")), 0).alias(name) for name, path in fields.items()]
+    return rows.select(key, (F.col("_i") + 1).alias("row_no"), *values)
+
+
+def xfa_value(xml: Column, path: str) -> Column:
+    """The value at a dotted path of form data (name[i] counts from 0); null where there is none."""
+    steps = [re.fullmatch(r"([^\[]+)(?:\[([0-9]+)\])?", s) for s in path.split(".")]
+    if not all(steps):
+        raise ValueError(f"not a path: {path}")
+    place = "/".join(f"*[local-name()='{m[1]}'][{int(m[2] or 0) + 1}]" for m in steps)
+    return F.get(F.xpath(xml, F.lit(f"//*[local-name()='data']/{place}/text()")), 0)
+
+
+def with_xfa_value(xml: Column, name: str, value: Column) -> Column:
+    """Form data with the text of the first element of a name replaced."""
+    pattern = rf"(?s)^(.*?<{re.escape(name)}(?:\s[^>]*)?>)[^<]*(</{re.escape(name)}>.*)$"
+    return F.when(xml.rlike(pattern), F.concat(F.regexp_extract(xml, pattern, 1), _escape(value), F.regexp_extract(xml, pattern, 2))).otherwise(xml)
+
+
+def totals(df: DataFrame, keys: list[str], **measures: Column) -> DataFrame:
+    """Measures of each group, with rows of subtotals (the last keys null) and of the whole."""
+    return df.rollup(*keys).agg(*[c.alias(n) for n, c in measures.items()])

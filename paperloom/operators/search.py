@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NBSP = "\u00a0"
@@ -109,3 +110,44 @@ def in_boxes(rows: DataFrame, boxes: DataFrame, keep: bool = True) -> DataFrame:
     b = boxes.select(F.col("doc").alias("_d"), F.col("page_no").alias("_p"), "llx", "lly", "urx", "ury")
     on = (F.col("doc") == F.col("_d")) & (F.col("page_no") == F.col("_p")) & F.col("x").between(F.col("llx"), F.col("urx")) & F.col("y").between(F.col("lly"), F.col("ury"))
     return rows.join(b, on, "left_semi" if keep else "left_anti")
+
+
+def placed(runs: DataFrame, p: str) -> DataFrame:
+    """(doc_id, page_no, match_no, match, llx, lly, urx, ury): matches on the lines of pages, with their boxes.
+
+    A line is the runs of one height and its text their texts, with a space where a gap is wider than a fifth of
+    the size.  A match's box begins and ends in proportion within the runs that hold its ends.
+    """
+    line = W.partitionBy("doc_id", "page_no", "y").orderBy("x", "seq")
+    gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(line)
+    spaced = runs.withColumn("_space", F.when(gap > F.col("size") * 0.2, 1).otherwise(0))
+    rows = spaced.groupBy("doc_id", "page_no", "y").agg(F.array_sort(F.collect_list(F.struct("x", "seq", "text", "w", "size", "_space"))).alias("r"))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,x:double,w:double,size:double>>").alias("out"))
+
+    def place(acc: Column, r: Column) -> Column:
+        start = acc["at"] + r["_space"]
+        end = start + F.length(r["text"])
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), r["x"].alias("x"), r["w"].alias("w"), r["size"].alias("size"))).alias("out"))
+
+    text = F.array_join(F.transform("r", lambda r: F.concat(F.when(r["_space"] == 1, " ").otherwise(""), r["text"])), "")
+    lines = rows.select("doc_id", "page_no", "y", text.alias("_t"), F.aggregate("r", empty, place, lambda a: a["out"]).alias("_runs"))
+    hits_ = lines.select("doc_id", "page_no", "y", "_runs", F.explode(spans(F.col("_t"), p)).alias("s"))
+    own = F.filter("_runs", lambda r: (r["end"] > F.col("s.start")) & (r["start"] < F.col("s.end")))
+    part = lambda r, at: r["x"] + r["w"] * (F.least(F.greatest(at, r["start"]), r["end"]) - r["start"]) / (r["end"] - r["start"])
+    boxed = hits_.withColumn("_own", own).select("doc_id", "page_no", "y", "s", F.array_min(F.transform("_own", lambda r: part(r, F.col("s.start")))).alias("llx"), F.array_max(F.transform("_own", lambda r: part(r, F.col("s.end")))).alias("urx"), F.array_max(F.transform("_own", lambda r: r["size"])).alias("_size"))
+    number = F.row_number().over(W.partitionBy("doc_id", "page_no").orderBy(F.desc("y"), "s.start"))
+    return boxed.select("doc_id", "page_no", number.alias("match_no"), F.col("s.match").alias("match"), "llx", F.col("y").alias("lly"), "urx", (F.col("y") + F.col("_size")).alias("ury"))
+
+
+def on_page(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows (doc_id, page_no, x, y, ...) whose point lies on their page's box."""
+    box = pages.select("doc_id", "page_no", F.col("llx").alias("_a"), F.col("lly").alias("_b"), F.col("urx").alias("_c"), F.col("ury").alias("_d"))
+    inside = F.col("x").between(F.col("_a"), F.col("_c")) & F.col("y").between(F.col("_b"), F.col("_d"))
+    return rows.join(box, ["doc_id", "page_no"]).where(inside).drop("_a", "_b", "_c", "_d")
+
+
+def without_shadows(runs: DataFrame, offset: float = 0.2) -> DataFrame:
+    """Text runs but for those that repeat the text before them at nearly its place (within ``offset`` sizes): shadows and bold by double printing."""
+    before = W.partitionBy("doc_id", "page_no", "text", "size").orderBy("seq")
+    near = (F.abs(F.col("x") - F.lag("x").over(before)) <= offset * F.col("size")) & (F.abs(F.col("y") - F.lag("y").over(before)) <= offset * F.col("size"))
+    return runs.withColumn("_shadow", F.coalesce(near, F.lit(False))).where("NOT _shadow").drop("_shadow")

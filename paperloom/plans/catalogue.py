@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions import calculator, geometry, numbering, strings
+from paperloom.functions import calculator, crypto, geometry, numbering, strings
 from paperloom.operators import checks, compare, edits, graphs, pages, records, search
 from paperloom.sources import html, markdown, pdf
 from paperloom.streaming import files as streams
@@ -97,7 +97,7 @@ def replace_first(spark, d):
 
 @query("SELECT doc_id, regexp_replace(text, '[0-9]', '#', 'g') AS text FROM documents")
 def redact_mask(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[0-9]", "#").alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(edits.redact(F.col("text"), "[0-9]", "#"), "text").alias("text"))
 
 
 @query("SELECT doc_id, (i - 1) // 20 + 1 AS page_no, string_agg(l[i], chr(10) ORDER BY i) AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents)) GROUP BY doc_id, (i - 1) // 20 + 1")
@@ -202,27 +202,24 @@ def lookup_equi(spark, d):
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def lookup_semi(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left_semi")
+    return graphs.referenced(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", table(spark, d, "labels"), "doc_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def lookup_anti(spark, d):
-    return graphs.unreferenced(table(spark, d, "customer").select("c_custkey"), "c_custkey", table(spark, d, "orders"), "o_custkey")
+    return graphs.unreferenced(table(spark, d, "documents").select("doc_id"), "doc_id", table(spark, d, "labels"), "doc_id")
 
 
 @query("SELECT p_partkey, b AS band FROM part JOIN (VALUES (1, 900.0, 1000.0), (2, 1000.0, 1500.0), (3, 1500.0, 2500.0)) v(b, lo, hi) ON p_retailprice >= lo AND p_retailprice < hi")
 def lookup_range(spark, d):
-    price = F.col("p_retailprice")
-    band = F.when(price < 1000, 1).when(price < 1500, 2).otherwise(3)
-    return table(spark, d, "part").where((price >= 900) & (price < 2500)).select("p_partkey", band.alias("band"))
+    bands = [(1, 900.0, 1000.0), (2, 1000.0, 1500.0), (3, 1500.0, 2500.0)]
+    return graphs.banded(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", bands, "band").select("p_partkey", "band")
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_purchase FROM events")
 def lookup_asof(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("last_purchase"))
+    bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return graphs.as_of(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], bought, "last_purchase").select("event_id", "last_purchase")
 
 
 # --- records ----------------------------------------------------------------------------------------
@@ -322,7 +319,7 @@ def string_functions_xfa(spark, d):
 
 @query("SELECT event_id, md5(props) AS md5, sha1(props) AS sha1, sha256(props) AS sha256 FROM events")
 def hash_functions(spark, d):
-    return table(spark, d, "events").select("event_id", F.md5("props").alias("md5"), F.sha1("props").alias("sha1"), F.sha2("props", 256).alias("sha256"))
+    return table(spark, d, "events").select("event_id", *[crypto.digest(F.col("props"), n).alias(n) for n in ("md5", "sha1", "sha256")])
 
 
 # --- layout, graphs ---------------------------------------------------------------------------------
@@ -339,19 +336,16 @@ def merge_collinear(spark, d):
     return graphs.merge_intervals(rows, ["user_id"], "a", "b", 1.5)
 
 
-@query("SELECT DISTINCT lang, source FROM documents")
-def fonts_distinct(spark, d):
-    return table(spark, d, "documents").select("lang", "source").distinct()
-
-
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical FROM documents")
 def dedup_canonical(spark, d):
     return graphs.canonical(table(spark, d, "documents"), "doc_id", F.col("text"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R')")
 def prune_unreferenced(spark, d):
-    return graphs.unreferenced(table(spark, d, "part").select("p_partkey"), "p_partkey", table(spark, d, "lineitem"), "l_partkey")
+    """Parts that no large return refers to."""
+    returns = table(spark, d, "lineitem").where("l_quantity > 45 AND l_returnflag = 'R'")
+    return graphs.unreferenced(table(spark, d, "part").select("p_partkey"), "p_partkey", returns, "l_partkey")
 
 
 @query("WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS id, CAST(NULL AS VARCHAR) AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), t AS (SELECT id, 0 AS level FROM n WHERE parent IS NULL UNION ALL SELECT n.id, t.level + 1 FROM n JOIN t ON n.parent = t.id) SELECT id, level FROM t")
@@ -372,12 +366,14 @@ def outline_tree(spark, d):
 
 # --- comparison -------------------------------------------------------------------------------------
 
-_PAIRS = f"(SELECT coalesce(a.doc, b.doc) AS doc, coalesce(a.page_no, b.page_no) AS page_no, coalesce(a.text, '') AS source, coalesce(b.text, '') AS destination FROM (SELECT * FROM {_P} WHERE page_no % 3 > 0) a FULL JOIN (SELECT doc, page_no, replace(text, 'on', 'en') AS text FROM {_P} WHERE page_no % 3 < 2) b ON a.doc = b.doc AND a.page_no = b.page_no)"
+_PAIRS = f"(SELECT coalesce(a.doc, b.doc) AS doc, coalesce(a.page_no, b.page_no) AS page_no, coalesce(a.text, '') AS source, coalesce(b.text, '') AS destination FROM {_P} a FULL JOIN (SELECT doc, CASE WHEN page_no = n THEN page_no + 1 ELSE page_no END AS page_no, replace(text, 'on', 'en') AS text FROM (SELECT *, count(*) OVER (PARTITION BY doc) AS n FROM {_P})) b ON a.doc = b.doc AND a.page_no = b.page_no)"
 
 
 def _pairs(spark, d) -> DataFrame:
+    """Documents and their edited copies, whose last pages have moved by one: each has a deleted and an added page."""
     p = _pages(spark, d)
-    return compare.pair_pages(p.where("page_no % 3 > 0"), p.where("page_no % 3 < 2").withColumn("text", F.replace("text", F.lit("on"), F.lit("en"))))
+    moved = p.withColumn("page_no", F.when(F.col("page_no") == pages.page_count(p), F.col("page_no") + 1).otherwise(F.col("page_no")).cast("int"))
+    return compare.pair_pages(p, moved.withColumn("text", F.replace("text", F.lit("on"), F.lit("en"))))
 
 
 @query(f"SELECT * FROM {_PAIRS}")
@@ -400,12 +396,44 @@ def compare_rebuild(spark, d):
     return ops.select("doc", "page_no", compare.rebuild(F.col("ops"), compare.DELETE).alias("a"), compare.rebuild(F.col("ops"), compare.INSERT).alias("b"))
 
 
-@query()
+_HALF = "CAST(length(text) // 2 AS INT)"
+_EDITED = f"(SELECT doc, page_no, text, substr(text, 1, {_HALF}) AS l, substr(text, {_HALF} + 1) AS r FROM {_P})"
+
+
+def _edited(spark, d) -> DataFrame:
+    """Pages with a mark at their end, and with another in their middle instead."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    p = _pages(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
+    two = F.concat(F.substring("text", F.lit(1), half), F.lit("§§"), F.substring(F.col("text"), half + 1, F.length("text")))
+    return p.select("doc", "page_no", F.concat("text", F.lit("¤")).alias("source"), two.alias("destination"))
+
+
+@query(f"SELECT doc, page_no, CAST(i AS INT) AS op_no, ops[i].op AS op, ops[i].text AS text FROM (SELECT doc, page_no, ops, unnest(range(1, len(ops) + 1)) AS i FROM (SELECT doc, page_no, list_filter([{{'op': 'equal', 'text': l}}, {{'op': 'insert', 'text': '§§'}}, {{'op': 'equal', 'text': r}}, {{'op': 'delete', 'text': '¤'}}], lambda x: x.text <> '') AS ops FROM {_EDITED} WHERE text <> ''))")
+def compare_edit_script(spark, d):
+    ops = _edited(spark, d).where("source <> '¤'").select("doc", "page_no", F.posexplode(compare.diff("source", "destination")).alias("i", "o"))
+    return ops.select("doc", "page_no", (F.col("i") + 1).alias("op_no"), "o.op", "o.text")
+
+
+@query(f"SELECT doc, page_no, CAST(length(text) + 1 AS INT) AS total_chars, 1 AS deleted_chars, 2 AS inserted_chars, 1 AS deletions, 1 AS insertions FROM {_P} WHERE text <> '' UNION ALL SELECT doc, NULL, CAST(sum(length(text) + 1) AS INT), CAST(count(*) AS INT), CAST(2 * count(*) AS INT), CAST(count(*) AS INT), CAST(count(*) AS INT) FROM {_P} WHERE text <> '' GROUP BY doc")
 def compare_statistics(spark, d):
-    ops = _pairs(spark, d).select("doc", "page_no", compare.diff("source", "destination").alias("ops"))
+    ops = _edited(spark, d).where("source <> '¤'").select("doc", "page_no", compare.diff("source", "destination").alias("ops"))
     return compare.summed(ops.select("doc", "page_no", *compare.statistics(F.col("ops"))))
 
 
+@query(f"SELECT doc, page_no, l || '<ins>§§</ins>' || r || '<del>¤</del>' AS html, l || '**§§**' || r || '~~¤~~' AS markdown FROM {_EDITED} WHERE text <> '' AND NOT regexp_matches(text, '[<>&]')")
+def compare_reports(spark, d):
+    rows = _edited(spark, d).where("source <> '¤'").where(~F.col("source").rlike("[<>&]"))
+    ops = rows.select("doc", "page_no", compare.diff("source", "destination").alias("ops"))
+    return ops.select("doc", "page_no", F.regexp_replace(compare.html(F.col("ops")), "</?span>", "").alias("html"), compare.markdown(F.col("ops")).alias("markdown"))
+
+
+@query(f"SELECT doc, page_no, 'delete' AS op, 'zzz' AS text FROM {_P} WHERE text <> ''")
+def compare_words(spark, d):
+    p = _pages(spark, d).where("text <> ''")
+    ops = p.select("doc", "page_no", F.explode(compare.side_by_side(F.concat("text", F.lit(" zzz")), F.concat("text", F.lit(" ")))).alias("o"))
+    return ops.where("o.op <> 'equal'").select("doc", "page_no", "o.op", "o.text")
+
+
 @query("SELECT vec_id, list_sum(list_transform(range(1, len(e) + 1), lambda i: CASE WHEN abs(e[i] - e[len(e) + 1 - i]) > 26 THEN 1 ELSE 0 END)) AS changed FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(x * 255)) AS e FROM embeddings)")
 def pixel_diff_threshold(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 255)).alias("e"))
@@ -455,7 +483,7 @@ def validate_rules(spark, d):
 
 @query("SELECT lang, source, count(*) AS docs, sum(n_chars) AS chars, avg(n_chars) AS mean FROM documents GROUP BY ROLLUP (lang, source)")
 def stats_rollup(spark, d):
-    return table(spark, d, "documents").rollup("lang", "source").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.avg("n_chars").alias("mean"))
+    return records.totals(table(spark, d, "documents"), ["lang", "source"], docs=F.count("*"), chars=F.sum("n_chars"), mean=F.avg("n_chars"))
 
 
 @query("SELECT l_orderkey, min(l_quantity) AS llx, min(l_discount) AS lly, max(l_quantity + l_tax) AS urx, max(l_discount + l_tax) AS ury FROM lineitem GROUP BY l_orderkey")
@@ -502,11 +530,10 @@ def event_sessions(spark, d):
     return streams.sessions(table(spark, d, "events"))
 
 
-@query("SELECT conv_id, count(*) AS blocks, count(*) FILTER (turn = 0) AS headings FROM conversations, (SELECT 1) GROUP BY conv_id")
+@query(r"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS block_no, CASE WHEN turn = 0 THEN 'heading' ELSE 'paragraph' END AS kind, CAST(turn = 0 AS INT) AS level, t AS text FROM (SELECT conv_id, turn, regexp_replace(text, '\s+', ' ', 'g') AS t FROM conversations)")
 def markdown_blocks(spark, d):
     one_line = table(spark, d, "conversations").withColumn("text", F.regexp_replace("text", "\\s+", " ")).withColumn("size", F.when(F.col("turn") == 0, 24).otherwise(10))
-    found = markdown.blocks(checks.markdown(one_line, "conv_id", ["turn"], "size"), "conv_id", "markdown")
-    return found.groupBy("conv_id").agg(F.count("*").alias("blocks"), F.count(F.when(F.col("kind") == "heading", 1)).alias("headings"))
+    return markdown.blocks(checks.markdown(one_line, "conv_id", ["turn"], "size"), "conv_id", "markdown")
 
 
 @query(f"SELECT CAST(doc AS VARCHAR) AS doc_id, 'Helvetica' AS font, count(*) AS pages FROM {_P} GROUP BY doc")
@@ -515,6 +542,11 @@ def pdf_fonts(spark, d):
     return runs.groupBy("doc_id", "font").agg(F.countDistinct("page_no").alias("pages"))
 
 
-@query(f"SELECT CAST(doc AS VARCHAR) AS doc_id, page_no, 0.0 AS llx, 612.0 AS urx, 792.0 AS ury FROM {_P}")
+@query(f"SELECT CAST(doc AS VARCHAR) AS doc_id, page_no, 0.0 AS llx, CAST(400 + 10 * page_no AS DOUBLE) AS urx, CAST(500 + doc % 7 AS DOUBLE) AS ury, CAST(90 * (page_no % 4) AS INT) AS rotate FROM {_P}")
 def pdf_pages(spark, d):
-    return pdf.pages(_files(spark, d)).select("doc_id", "page_no", "llx", "urx", "ury")
+    boxes = {"width": 400 + 10 * F.col("page_no"), "height": 500 + F.col("doc") % 7, "rotate": 90 * (F.col("page_no") % 4)}
+    made = pdf.write_pages(_pages(spark, d).withColumns(boxes)).withColumnRenamed("doc", "path")
+    return pdf.pages(made).select("doc_id", "page_no", "llx", "urx", "ury", "rotate")
+
+
+from paperloom.plans import documents, layouts  # noqa: E402, F401  (they register their queries here)

@@ -29,6 +29,8 @@ def extract_to(stream: DataFrame, target: str, checkpoint: str, once: bool = Tru
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(user_id, start, end, events, value) of sessions parted by a gap; events later than the watermark are dropped in a stream."""
+    if events.isStreaming:  # watermarks need an instant, not a local time
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     marked = events.withWatermark("ts", late) if events.isStreaming else events
     out = marked.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
     return out.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "events", "value")
