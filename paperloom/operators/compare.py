@@ -179,6 +179,16 @@ def pair_pages(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, ["doc", "page_no"], "full").select("doc", "page_no", *[F.coalesce(c, F.lit("")).alias(c) for c in ("source", "destination")])
 
 
+def text_without(runs: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(doc, page_no, text): the lines of pages without the runs whose centres lie in excluded boxes (doc, page_no, llx, lly, urx, ury)."""
+    from paperloom.operators.search import in_boxes
+    from paperloom.sources.pdf import page_text
+
+    centres = runs.withColumnRenamed("doc_id", "doc").withColumns({"_x": F.col("x"), "_y": F.col("y"), "x": F.col("x") + F.col("w") / 2, "y": F.col("y") + F.col("size") / 2})
+    kept = in_boxes(centres, boxes, keep=False).withColumns({"x": F.col("_x"), "y": F.col("_y")}).withColumnRenamed("doc", "doc_id")
+    return page_text(kept.drop("_x", "_y")).withColumnRenamed("doc_id", "doc")
+
+
 def flat(df: DataFrame) -> DataFrame:
     """(doc, text): pages in order, joined without a separator."""
     rows = df.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("t")))).alias("r"))

@@ -6,8 +6,10 @@ is a window over one document's pages.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -163,3 +165,16 @@ def label(style: Column, prefix: Column, n: Column) -> Column:
 
     body = F.when(style == "D", n.cast("string")).when(style == "R", roman(n)).when(style == "r", F.lower(roman(n))).when(style == "A", alpha(n)).when(style == "a", F.lower(alpha(n))).otherwise("")
     return F.when(style.isNotNull(), F.concat(F.coalesce(prefix, F.lit("")), body))
+
+
+def attempt(operation: Callable[..., DataFrame], *args, **options) -> tuple[bool, DataFrame | None]:
+    """(whether it worked, pages): an operation whose arguments are refused gives no pages instead of an error.
+
+    The result is counted once, so that errors of the data show here too.
+    """
+    try:
+        out = operation(*args, **options)
+        out.count()
+    except (ValueError, PySparkException):
+        return False, None
+    return True, out

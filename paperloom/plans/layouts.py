@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import bidi, calculator, surface
-from paperloom.operators import checks, edits, graphs, layout, pages, records
+from paperloom.operators import checks, compare, edits, graphs, layout, pages, records
 from paperloom.plans.catalogue import _P, _pages, query, table
-from paperloom.sources import archives, codecs, hocr
+from paperloom.sources import archives, codecs, hocr, pdf
 from paperloom.streaming import files as streams
 
 _D = "CAST(doc AS VARCHAR) AS doc_id"
@@ -91,6 +91,24 @@ def bidi_reading_order(spark, d):
     return rows.select("doc_id", bidi.reordered(F.col("v")).alias("logical"), F.col("v").alias("turned"), bidi.reordered(F.concat(F.lit("abc "), F.reverse("v"), F.lit(" 12"))).alias("mixed"), bidi.reordered(F.col("lang")).alias("plain"))
 
 
+@query(f"SELECT {_D}, page_no, 'name' || repeat(' ', 16) || 'price' || chr(13) || chr(10) || '  page' || page_no || repeat(' ', CAST(14 - length(CAST(page_no AS VARCHAR)) AS INT)) || '12' || chr(13) || chr(10) || 'end' AS text FROM {_P}")
+def text_on_grid(spark, d):
+    n = F.col("page_no").cast("string")
+    one = F.length(n)
+    rows = _doc(spark, d)
+    runs = _runs(rows, (F.lit("name"), 60, 700, 20, 10), (F.lit("price"), 160, 700, 25, 10), (F.concat(F.lit("page"), n), 70, 680, 0, 10), (F.lit("12"), 160, 680, 10, 10), (F.lit("end"), 60, 600, 15, 10))
+    return pdf.grid_text(runs.withColumn("w", F.when(F.col("w") == 0, 5.0 * (4 + one)).otherwise(F.col("w"))))
+
+
+@query(f"SELECT doc, page_no, 'body ' || page_no AS text FROM (SELECT CAST(doc AS VARCHAR) AS doc, page_no FROM {_P})")
+def compare_text_without(spark, d):
+    """Page texts without what stands in the margins."""
+    rows = _doc(spark, d)
+    runs = _runs(rows, (F.lit("header"), 60, 780, 60, 10), (F.concat(F.lit("body "), F.col("page_no").cast("string")), 60, 500, 60, 10), (F.lit("footer"), 60, 20, 60, 10))
+    margins = _boxes(rows, (0, 770, 612, 792), (0, 0, 612, 50)).withColumnRenamed("doc_id", "doc")
+    return compare.text_without(runs, margins.select(*[F.col(c).alias(c) for c in margins.columns]))
+
+
 # --- texts, fields, pages ---------------------------------------------------------------------------
 
 

@@ -807,6 +807,25 @@ def page_text(rows: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda r: r["t"]), "\r\n").alias("text"))
 
 
+def grid_text(rows: DataFrame) -> DataFrame:
+    """(doc_id, page_no, text): runs on a grid of characters, as they stand on the page.
+
+    A column is as wide as a page's characters are in the mean; a run begins in the column of its left edge, counted
+    from the leftmost, but not within the run before it.  Lines are those of ``page_text``, without empty ones between.
+    """
+    from pyspark.sql import Window as W
+
+    whole, page = W.partitionBy("doc_id", "page_no"), W.partitionBy("doc_id", "page_no").orderBy(F.desc("y"), "x", "seq")
+    shown = rows.where("length(text) > 0")
+    sized = shown.withColumn("_wide", F.greatest(F.sum("w").over(whole) / F.sum(F.length("text")).over(whole), F.lit(0.1))).withColumn("_left", F.min("x").over(whole))
+    limit = F.least(F.greatest(F.lit(2.0), F.abs("y") * 0.01), F.col("size") / 2)
+    line = F.sum(F.when(F.lag("y").over(page) - F.col("y") > limit, 1).otherwise(0)).over(page.rowsBetween(W.unboundedPreceding, 0))
+    at = F.round((F.col("x") - F.col("_left")) / F.col("_wide")).cast("int")
+    lines = sized.withColumn("line", line).groupBy("doc_id", "page_no", "line").agg(F.array_sort(F.collect_list(F.struct("x", "seq", at.alias("at"), "text"))).alias("r"))
+    grown = F.aggregate("r", F.lit(""), lambda t, r: F.concat(t, F.repeat(F.lit(" "), F.greatest(r["at"] - F.length(t), F.when(F.length(t) > 0, 1).otherwise(0))), r["text"]))
+    return lines.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", grown.alias("t")))), lambda r: r["t"]), "\r\n").alias("text"))
+
+
 # --- writing ----------------------------------------------------------------------------------------
 
 

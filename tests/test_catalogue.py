@@ -9,9 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from paperloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-Q, SQL = entry.queries(), entry.oracle_sql()
+Q, SQL = catalogue.QUERIES, catalogue.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +47,7 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_every_query_has_sql():
+    assert set(Q) == set(SQL) <= set(entry.queries())
