@@ -10,7 +10,7 @@ that toxic texts have eight times as often.  The result is the expected grade (s
 Null and empty texts have no features.  Rows without a label, with a null label or without a text are
 not learned from; an id with contradicting labels is toxic; without both kinds of labels, as with empty
 tables, the severity of all is 0 and nothing is rejected.  Repeated rows repeat.  Of several texts under
-one id each is learned from and graded.  Columns with the names of the added ones are replaced; other
+one id that of least hash is learned from, and each is graded.  Columns with the names of the added ones are replaced; other
 columns stay, whatever their names.
 """
 
@@ -29,6 +29,7 @@ from .counts import U
 from .frames import slices
 from .tokens import LETTERS, word_hashes
 
+#: FEATURES must be below 2**16.
 SAMPLE, FEATURES, LEAST_DF, GRADES = 20_000, 5_000, 5, 4
 _PREFIXES = (4, 5)
 _PIECE = 2 << 20
@@ -102,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "text", key: str = "do
     marked = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("toxic")).where("k IS NOT NULL AND toxic IS NOT NULL")
     chosen = marked.groupBy("k").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
     # SAMPLE rows of two numbers at most: every worker can hold them, and no text is moved to find its label
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{column}`").alias("t")).where("t IS NOT NULL").join(F.broadcast(chosen), "k").select("k", "toxic", "t")
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{column}`").alias("t")).where("t IS NOT NULL").join(F.broadcast(chosen), "k").groupBy("k").agg(F.first("toxic").alias("toxic"), F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
     rows = shared.write_table(rows, shared.run_folder(docs.sparkSession, "toxicity"), "sample")
 
     def tally(batches):
@@ -143,13 +144,14 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "text", key: str = "do
         for whole in batches:
             for b in slices(whole, "t", _PIECE):
                 row, col = _match(b.column("t"), known)
-                own = [x.astype(np.int32).tolist() for x in np.split(col, np.searchsorted(row, np.arange(1, len(b))))]
-                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("toxic"), pa.array(own, pa.list_(pa.int32()))], names=["k", "toxic", "cols"])
-
-    sample = sorted(rows.mapInArrow(shared.tidy(rows_of), "k long, toxic int, cols array<int>").collect(), key=lambda r: (r.k, r.cols))  # SAMPLE rows, FEATURES numbers each at most
-    size = np.array([len(r.cols) for r in sample])
-    row, col = np.repeat(np.arange(len(sample)), size), np.array([c for r in sample for c in r.cols], np.int64)
-    toxic = np.array([r.toxic > 0 for r in sample])
+                own = [x.astype("<u2").tobytes() for x in np.split(col, np.searchsorted(row, np.arange(1, len(b))))]
+                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("toxic"), pa.array(own, pa.binary())], names=["k", "toxic", "cols"])
+
+    got = rows.mapInArrow(shared.tidy(rows_of), "k long, toxic int, cols binary").toArrow()  # SAMPLE rows, FEATURES numbers of two bytes each at most
+    sample = sorted(zip(*(got.column(c).to_pylist() for c in ("k", "cols", "toxic"))))
+    size = np.array([len(cols) // 2 for _, cols, _ in sample])
+    row, col = np.repeat(np.arange(len(sample)), size), np.frombuffer(b"".join(cols for _, cols, _ in sample), "<u2").astype(np.int64)
+    toxic = np.array([t > 0 for _, _, t in sample])
     marks = np.bincount(row, weights=marker[col], minlength=len(sample)) if len(col) else np.zeros(len(sample))
     third = np.quantile(marks[toxic], [1 / 3, 2 / 3]) if toxic.any() else np.zeros(2)
     grade = np.where(toxic, 1 + (marks > third[0]).astype(int) + (marks > third[1]), 0)
