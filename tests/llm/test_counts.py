@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import counts, graph, ngram
+from paperloom.llm import counts, graph, ngram, shared
 
 WORDS = "the stone river of light and a small bird over old hills".split()
 
@@ -129,3 +129,32 @@ def test_bigram_keys_of_many_words():
         assert (int(own[0]), int(back[0]), bool(hot[0])) == (c, w, c in (0, 17, 1 << 35))
     with pytest.raises(ValueError):
         ngram.Codes(1 << 40, 8, [])
+
+
+def test_views_are_bounded(monkeypatch):
+    monkeypatch.setattr(shared, "_local", lambda uri: None)
+    monkeypatch.setattr(shared, "mapped", lambda uri: memoryview(bytes(100)))
+    views = shared.Views(most=1000, files=8)
+    for i in range(200):
+        assert len(views(f"s3://x/{i % 40}")) == 100
+        assert views.size <= 1000 and len(views.held) <= 8
+    views = shared.Views(most=50)
+    assert len(views("a")) == 100 == len(views("b")) and views.size == 100
+
+
+def test_a_cluster_must_name_its_folder():
+    class Nothing:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Nothing()
+
+    class Session:
+        conf, sparkContext = Nothing(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_root(Session())

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -103,3 +104,25 @@ def test_word_hashes():
     assert len(set(names.values())) == len(names)
     g, gat = shingles(h, at, 2)
     assert np.diff(gat).tolist() == [0, 1, 0, 1, 1, 2, 1, 0, 1]
+
+
+def test_documents_of_one_id_are_spread(spark, folder):
+    rows = [(7, f"text number {i} of one id") for i in range(400)] + [(3, "before"), (9, "after"), (7, None)]
+    files = packed_ids.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), folder, VOCABULARY, end_id=2)
+    assert files.count() > 1
+    got = sorted(packed_ids.read_ids(files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(i for i, _ in rows)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    t = library()
+    want = sorted((i, tuple([*t.encode(x or "", add_special_tokens=False).ids, 2])) for i, x in rows)
+    assert sorted((r.doc_id, tuple(np.frombuffer(bytes(r.token_ids), "<u4").tolist())) for r in got) == want
+
+
+def test_other_vocabulary_settings_are_refused(tmp_path):
+    spec = json.load(open(VOCABULARY, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}):
+        path = tmp_path / "v.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="byte-level"):
+            bpe.settings(str(path))
+    bpe.settings(VOCABULARY)
