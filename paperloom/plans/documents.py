@@ -276,7 +276,9 @@ def pdf_images_deleted(spark, d):
 
 def _wide_text(doc: int, text: str) -> bytes:
     """One page of text in two-byte codes that a ToUnicode map turns into characters: each code is one more than its character."""
-    cmap = b"/CIDInit /ProcSet findresource begin begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0001> <FFFE> <0000> endbfrange endcmap"
+    more = sorted({ord(c) for c in text if not 32 <= ord(c) < 127})
+    each = b" ".join(b"<%04X> <%04X>" % (c + 1, c) for c in more)
+    cmap = b"begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0021> <007F> <0020> endbfrange %d beginbfchar %s endbfchar endcmap" % (len(more), each)
     shown = b"".join((ord(c) + 1).to_bytes(2, "big") for c in text)
     font = {"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("Wide"), "Encoding": Name("Identity-H"), "ToUnicode": Ref(5, 0)}
     page = {"Type": Name("Page"), "Parent": Ref(2, 0), "MediaBox": [0, 0, 612, 792], "Resources": {"Font": {"F1": Ref(4, 0)}}, "Contents": Ref(6, 0)}
