@@ -183,12 +183,13 @@ def bits_for(spark) -> int:
     return (shared.partitions(spark) - 1).bit_length()
 
 
-def map_blobs(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int, most: int = 4 << 20, column: str = "t") -> DataFrame:
-    """Blobs of the keys that the function finds in pieces of the rows."""
+def map_blobs(df: DataFrame, keys: Callable, bits: int, most: int = 4 << 20, column: str = "t", made: bool = False) -> DataFrame:
+    """Blobs of the keys that the function finds in pieces of the rows; with ``made`` each task makes the function by calling ``keys``."""
     from .frames import slices
 
     def run(batches):
-        yield from gathered((keys(b) for whole in batches for b in slices(whole, column, most)), bits)
+        find = keys() if made else keys
+        yield from gathered((find(b) for whole in batches for b in slices(whole, column, most)), bits)
 
     return df.mapInArrow(shared.tidy(run), BLOBS)
 

@@ -40,10 +40,9 @@ def _digests(keys: pa.Array, hashes: list[bytes]) -> tuple[np.ndarray, np.ndarra
         return mix(h[:, 0] ^ own), mix(h[:, 1] + own * U(0x9E3779B97F4A7C15)) >> U(3)
 
 
-def without(docs: DataFrame, listed: DataFrame, folder: str, column: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the rows in ``listed`` (k long, text_hash binary, kind int: ALL or ONE), each id and text once; all columns stay."""
-    shared.fewer_rows_per_batch(docs.sparkSession)
-    bits = counts.bits_for(docs.sparkSession)
+def stored(listed: DataFrame, folder: str) -> tuple[list[dict], int]:
+    """The store of ``listed`` (k long, text_hash binary, kind int from 1 to 3), each id and text once, and its bits."""
+    bits = counts.bits_for(listed.sparkSession)
 
     def send(batches):
         for b in batches:
@@ -53,17 +52,28 @@ def without(docs: DataFrame, listed: DataFrame, folder: str, column: str = "text
                 kind = np.array(b.column("kind"), np.int64).astype(U)
                 yield counts.blobs(a[order], (rest << U(2) | kind)[order].astype(np.int64), counts.bucket_of(a[order], bits))
 
-    files = counts.count(listed.select("k", "text_hash", "kind").mapInArrow(shared.tidy(send), counts.BLOBS), folder, bits)
+    return counts.count(listed.select("k", "text_hash", "kind").mapInArrow(shared.tidy(send), counts.BLOBS), folder, bits), bits
+
+
+def kinds(store: counts.Store, ids: pa.Array, texts: pa.Array) -> np.ndarray:
+    """The kind of each row of an id and a text, 0 where it is not listed."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    a, rest = _digests(ids, [text_hash(t or "") for t in texts.to_pylist()])
+    found = store.lookup(a)[0].astype(U)
+    return np.where((found >> U(2) == rest) & (found > 0) & ~np.array(ids.is_null()), found & U(3), U(0)).astype(np.int64)
+
+
+def without(docs: DataFrame, listed: DataFrame, folder: str, column: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs without the rows in ``listed`` (k long, text_hash binary, kind int: ALL or ONE), each id and text once; all columns stay."""
+    shared.fewer_rows_per_batch(docs.sparkSession)
+    files, bits = stored(listed, folder)
 
     def rows(kind: int):
         def keep(batches):
             store = counts.Store(files, bits)
             for b in batches:
-                ids = b.column(key)
-                a, rest = _digests(ids, [text_hash(t or "") for t in b.column(column).to_pylist()]) if len(b) else (np.empty(0, U),) * 2
-                found = store.lookup(a)[0].astype(U)
-                what = np.where((found >> U(2) == rest) & (found > 0) & ~np.array(ids.is_null()), found & U(3), U(0))
-                yield b.filter(pa.array(what == kind))
+                yield b.filter(pa.array(kinds(store, b.column(key), b.column(column)) == kind))
 
         return docs.mapInArrow(shared.tidy(keep), docs.schema)
 

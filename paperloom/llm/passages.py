@@ -6,18 +6,19 @@ node c of the Cartesian tree of the hashes with its subtree l..r.  Nodes with so
 places that are least in some stretch of that length; their ends come from tables of minima over powers
 of two, so no step of Python is spent on a token.
 
-1. Document frequencies of shingles are counted over the corpus; a node whose shingle no other
-   document has is dropped, and so is a window with too few shared shingles for any partner.
+1. Equal texts are searched once.  Frequencies of shingles are counted over the distinct texts; a node whose
+   shingle no other text has is dropped, and so is a window with too few shared shingles for any partner.
 2. Windows with one signature (hash function and least shingle) meet at its first and its last
    text, which links most texts of a group without listing its pairs.
 3. Windows of a pair of texts that overlap on a common diagonal under at least ``HASHES_MEET``
    functions are joined to one region of each.
 4. The region is verified: its longest stretch of a Jaccard similarity of 0.8 must reach ``LEAST``
    tokens on both sides, then the rest is searched.  Passages of a text that overlap are one.
-5. A group is settled if the passages that hold its windows are of one class.  In the others, windows of
-   equal contents meet one of them; the contents that are not of the group's most frequent class then meet
-   all contents, in blocks, and pairs that hold enough common shingles, and that no link has connected
-   yet, are verified.
+5. A group of the first ``REST_HASHES`` functions is settled if the passages that hold its windows are of one
+   class.  In the others, windows of equal contents meet one of them; the contents that are not of the
+   group's most frequent class then meet all contents, in blocks, and pairs that hold enough common
+   shingles, and that no link has connected yet, are verified.
+6. The whole text of a document with equal copies is a passage.
 
 The class of a passage is the connected component of the links.  Null and short texts have no passages;
 rows with a null id are left out; several texts under one id are searched apart, and what only the texts
@@ -36,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import counts, shared
+from . import counts, drops, shared
 from .counts import U
 from .frames import slices
 from .graph import Forest, components, join_sized
-from .near import WORDS, cut, frequencies, kept_bits
+from .near import WORDS, cut, kept_bits, weighted
 from .tokens import mix, shingles, word_hashes
 
-PASSAGE_WORDS, HASHES, HASHES_MEET, THRESHOLD = 50, 8, 3, 0.8
+PASSAGE_WORDS, HASHES, HASHES_MEET, REST_HASHES, THRESHOLD = 50, 8, 3, 2, 0.8
 LEAST = PASSAGE_WORDS - WORDS + 1
 #: Words by which a diagonal may shift within a passage.
 SHIFT = 32
@@ -128,13 +129,13 @@ def joined(sig: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray) -> tupl
     return l[new], c[new], np.maximum.reduceat(r, new) if len(new) else r
 
 
-_WINDOWS = "sig long, fn int, node long, l int, c int, r int, content long, k long, file string, at long, n int"
+_WINDOWS = "sig long, fn int, node long, l int, c int, r int, content long, k long, text_hash binary, words int, file string, at long, n int"
 _REGION = "n1 long, l1 int, r1 int, n2 long, l2 int, r2 int"
 _LINK = "n1 long, s1 int, e1 int, n2 long, s2 int, e2 int"
 #: The least number of shingles that two similar stretches of LEAST have in common.
 COMMON = int(np.ceil(2 * LEAST * THRESHOLD / (1 + THRESHOLD) - 1e-9))
-#: Contents of a block of a group.
-BLOCK = 256
+#: Contents of a block of a group, and words about which the groups of one text are worked on together.
+BLOCK, PLACES = 128, 128
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -148,22 +149,38 @@ def _powers(n: int, base: int) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C55
 
 
-def windows(rows: DataFrame, folder: str, files: list[dict], bits: int, documents: int) -> DataFrame:
+#: What the list of repeated texts says of a row: it is a copy, or the first of its copies.
+COPY, FIRST = 1, 2
+
+
+def _originals(copies: tuple[list[dict], int]):
+    """A function of batches (k, t): those rows that are no copies, with an id, and whether each has copies."""
+    store = counts.Store(*copies)
+
+    def work(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+        kind = drops.kinds(store, b.column("k"), b.column("t"))
+        keep = (kind != COPY) & ~np.array(b.column("k").is_null())
+        return b.filter(pa.array(keep)), kind[keep] == FIRST
+
+    return work
+
+
+def windows(rows: DataFrame, folder: str, files: list[dict], bits: int, documents: int, copies: tuple[list[dict], int]) -> DataFrame:
     """Compact windows around shared shingles, with a hash of the shared shingles and their places about the window's own.
 
-    A text with windows also gives a row with a null sig, which says whose it is and where, below folder, its
-    shared shingles are.  Its node is a number of the task and the row.
+    A text with windows or copies also gives a row with a null sig, which says whose it is and where, below
+    folder, its shared shingles are.  Its node is a number of the task and the row.
     """
     need = int(THRESHOLD * LEAST * 0.95)
 
     def run(batches):
         from pyspark import TaskContext
 
-        store, kept, name = counts.Store(files, bits), kept_bits(documents), shared.attempt_name()
+        store, kept, name, originals = counts.Store(files, bits), kept_bits(documents), shared.attempt_name(), _originals(copies)
         out: list[pa.RecordBatch] = []
         number = TaskContext.get().partitionId() << 40
         as_int = lambda x: pa.array(x.astype(np.int32))
-        schema = pa.schema([("sig", pa.int64()), ("fn", pa.int32()), ("node", pa.int64()), ("l", pa.int32()), ("c", pa.int32()), ("r", pa.int32()), ("content", pa.int64()), ("k", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("n", pa.int32())])
+        schema = pa.schema([("sig", pa.int64()), ("fn", pa.int32()), ("node", pa.int64()), ("l", pa.int32()), ("c", pa.int32()), ("r", pa.int32()), ("content", pa.int64()), ("k", pa.int64()), ("text_hash", pa.binary()), ("words", pa.int32()), ("file", pa.string()), ("at", pa.int64()), ("n", pa.int32())])
 
         def table(**columns):
             size = len(columns["node"])
@@ -173,8 +190,10 @@ def windows(rows: DataFrame, folder: str, files: list[dict], bits: int, document
             nonlocal number
             at = 0
             for whole in batches:
-                for b in slices(whole.filter(pa.compute.is_valid(whole.column("k"))), "t", _PIECE):
+                for b in slices(whole, "t", _PIECE):
+                    b, repeated_text = originals(b)
                     h, _, _, ptr = word_hashes(b.column("t"))
+                    words = np.diff(ptr)
                     g, ptr = shingles(h, ptr, WORDS)
                     df, _ = store.lookup(cut(g, kept))
                     common = df > 1
@@ -195,10 +214,10 @@ def windows(rows: DataFrame, folder: str, files: list[dict], bits: int, document
                         cols.append((v[np.searchsorted(place, c)], np.full(len(c), i), l, c, r))
                     sig, fn, l, c, r = (np.concatenate(x) for x in zip(*cols))  # noqa: E741
                     first, number = number, number + len(b)
-                    if not len(sig):
-                        continue
                     doc = row[c]
-                    used = np.unique(doc)
+                    used = np.union1d(doc, np.flatnonzero(repeated_text & (words >= PASSAGE_WORDS)))
+                    if not len(used):
+                        continue
                     start, size = np.zeros(len(ptr) - 1, np.int64), total[ptr[1:]] - total[ptr[:-1]]
                     for d in used.tolist():
                         start[d] = at
@@ -209,7 +228,8 @@ def windows(rows: DataFrame, folder: str, files: list[dict], bits: int, document
                     with np.errstate(over="ignore"):
                         about = (content[r + 1] - content[l]) * _powers(len(g), pow(_BASE, -1, 1 << 64))[c]
                     table(sig=pa.array(sig.view(np.int64)), fn=as_int(fn), node=pa.array(first + doc), l=as_int(l - base), c=as_int(c - base), r=as_int(r - base), content=pa.array(about.view(np.int64)))
-                    table(node=pa.array(first + used), k=b.column("k").take(pa.array(used)), file=pa.array([name] * len(used)), at=pa.array(start[used]), n=as_int(size[used]))
+                    texts = b.column("t").take(pa.array(used)).to_pylist()
+                    table(node=pa.array(first + used), k=b.column("k").take(pa.array(used)), text_hash=pa.array([drops.text_hash(t) for t in texts], pa.binary()), words=as_int(words[used]), file=pa.array([name] * len(used)), at=pa.array(start[used]), n=as_int(size[used]))
 
         shared.put(f"{folder}/{name}", body())
         yield from out
@@ -232,6 +252,23 @@ def _tokens(folder: str, side: tuple, lo: int, hi: int) -> tuple[np.ndarray, np.
     return shared.array_at(view, "<u4", at, n)[a:b], places[a:b].astype(np.int64)
 
 
+def _distinct(t: np.ndarray) -> np.ndarray:
+    """Sorted, each once; for short arrays faster than numpy's own."""
+    t = np.sort(t)
+    keep = np.ones(len(t), bool)
+    np.not_equal(t[1:], t[:-1], out=keep[1:])
+    return t[keep]
+
+
+def _within(t: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each of t is in the sorted array."""
+    if not len(known):
+        return np.zeros(len(t), bool)
+    at = np.searchsorted(known, t)
+    at[at == len(known)] = 0
+    return known[at] == t
+
+
 def _cut(x: tuple[np.ndarray, np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     s, e = np.searchsorted(x[1], [lo, hi + 1])
     return x[0][s:e], x[1][s:e]
@@ -301,7 +338,7 @@ def _dense(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], t
     side, ends = [a, b], [(0, 0), (0, 0)]
     other = int(np.ceil((1 + threshold) / (1 - threshold) - 1e-9)) - 1  # a stretch of positive balance keeps the threshold
     for i in (0, 1, 0):  # the best of one side, of the other within it, and of the first within that
-        hit = side[i][1][np.isin(side[i][0], side[1 - i][0])]
+        hit = side[i][1][_within(side[i][0], np.sort(side[1 - i][0]))]
         if not len(hit):
             return None
         ends[i] = _best(hit, other)
@@ -311,8 +348,28 @@ def _dense(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], t
 
 def _again(t: np.ndarray) -> np.ndarray:
     """Whether each token stands before in t."""
-    out = np.ones(len(t), bool)
-    out[np.unique(t, return_index=True)[1]] = False
+    order = np.argsort(t, kind="stable")
+    out = np.zeros(len(t), bool)
+    out[order[1:]] = t[order[1:]] == t[order[:-1]]
+    return out
+
+
+def _may_hold(side: tuple[np.ndarray, np.ndarray], hit: np.ndarray, least: int, *parts: float) -> list[bool]:
+    """For each part whether some stretch of ``least`` tokens of a side has so many common tokens, repeats of the whole side left out.
+
+    hit marks the common ones among the side's shared tokens.
+    """
+    p = side[1][hit]
+    if len(p) < parts[0] * least or p[-1] - p[0] + 1 < least:
+        return [False] * len(parts)
+    own = p - np.cumsum(_again(side[0]))[hit]
+    first = np.searchsorted(p, p - (least - 1), "right") - 1
+    ok = first >= 0
+    out = []
+    for part in parts:
+        # a stretch from i to j has j - i + 1 common tokens; with f as here they are enough if f[i] <= f[j] + 1 - part
+        f = np.arange(len(p)) - part * own
+        out.append(bool((np.minimum.accumulate(f)[first[ok]] <= f[ok] + 1 - part + 1e-9).any()))
     return out
 
 
@@ -335,9 +392,9 @@ def _similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     if min(n1, n2) < least:
         return False
     x, y = _cut(a, l1, r1)[0], _cut(b, l2, r2)[0]
-    u, v = np.unique(x), np.unique(y)
+    u, v = _distinct(x), _distinct(y)
     n1, n2 = n1 - len(x) + len(u), n2 - len(y) + len(v)
-    both = len(np.intersect1d(u, v, assume_unique=True))
+    both = int(_within(u, v).sum())
     return both >= threshold * (n1 + n2 - both) - 1e-9
 
 
@@ -352,9 +409,13 @@ def verify(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], l
         a, b = todo.pop()
         if min(len(a[0]), len(b[0])) == 0:
             continue
-        hits = [x[1][np.isin(x[0], y[0])] for x, y in ((a, b), (b, a))]
-        if not len(hits[0]) or min(h[-1] - h[0] + 1 for h in hits) < least:
+        common = [np.flatnonzero(_within(x[0], np.sort(y[0]))) for x, y in ((a, b), (b, a))]
+        # of two similar stretches each has the threshold's part in common, and the shorter one more
+        one = _may_hold(a, common[0], least, threshold, 2 * threshold / (1 + threshold))
+        two = _may_hold(b, common[1], least, threshold, 2 * threshold / (1 + threshold)) if one[0] else [False]
+        if not (one[0] and two[0] and (one[1] or two[1])):
             continue
+        hits = [x[1][hit] for x, hit in zip((a, b), common)]
         ends = int(hits[0][0]), int(hits[0][-1]), int(hits[1][0]), int(hits[1][-1])
         if _similar(a, b, ends, least, threshold):
             found.append(ends)
@@ -466,56 +527,61 @@ def _classes(links: DataFrame, folder: str) -> DataFrame:
     one = links.join(ids.select(F.col("node").alias("n1"), F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("id").alias("u")), ["n1", "s1", "e1"])
     edges = one.join(ids.select(F.col("node").alias("n2"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("id").alias("v")), ["n2", "s2", "e2"]).select("u", "v")
     label = components(edges, f"{folder}/components").select(F.col("node").alias("id"), "label")
-    return shared.write_table(ids.select("node", "from", "to", "id").distinct().join(label, "id"), folder, "labelled")
+    return shared.write_table(ids.select("node", "from", "to", "id").distinct().join(label, "id", "left").withColumn("label", F.coalesce("label", "id")), folder, "labelled")
 
 
 def _unsettled(found: DataFrame, passages: DataFrame, folder: str) -> DataFrame:
     """(sig, node, l, c, r, content, label, most, many, apart): the windows of groups that are not of one class; ``most`` is the group's most frequent label."""
     within = passages.select("node", "from", "to", "label")
     inside = lambda w: w.join(within, (w["node"] == within["node"]) & (within["from"] <= w["c"]) & (w["c"] + WORDS <= within["to"]), "left").drop(within["node"]).withColumn("label", F.coalesce("label", -1 - F.col("node")))
+    found = found.where(F.col("fn") < REST_HASHES)
     state = inside(found.select("sig", "node", "c")).groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     unsettled = shared.write_table(state.where("lo <> hi").select("sig"), folder, "unsettled")
     return shared.write_table(inside(found.join(unsettled, "sig").select("sig", "node", "l", "c", "r", "content")).select("sig", "node", "l", "c", "r", "content", "label"), folder, "rest")
 
 
-def _rest_pairs(rest: DataFrame, places: DataFrame, store: str, folder: str, block: int = BLOCK) -> DataFrame:
-    """Regions of pairs of texts that may be similar and that no link connects, from the windows of unsettled groups.
+def _rest_links(rest: DataFrame, places: DataFrame, store: str, folder: str, block: int = BLOCK) -> DataFrame:
+    """Links of pairs of texts that no link connects, from the windows of unsettled groups.
 
     Windows of equal contents are similar to the same others, so one of them stands for all; they meet it.
     """
-    one = F.min(F.struct("node", "l", "r", "label"))
+    one = F.min(F.struct("node", "c", "l", "r", "label"))
     same = shared.write_table(rest.groupBy("sig", "content").agg(one.alias("one"), F.count("*").alias("many")), folder, "contents")
     total = rest.count()
     met = join_sized(rest.withColumn("key", F.xxhash64("sig", "content")), same.where("many > 1").select(F.xxhash64("sig", "content").alias("key"), "one", "many"), "key", "many", total)
-    equal = met.where("node <> one.node AND label <> one.label").select(F.least("node", "one.node").alias("n1"), *_sides(1, F.col("node") < F.col("one.node")), F.greatest("node", "one.node").alias("n2"), *_sides(2, F.col("node") < F.col("one.node")))
-    votes = same.select("sig", "one.label").groupBy("sig", "label").agg(F.count("*").alias("votes"))
-    most = votes.groupBy("sig").agg(F.sum("votes").alias("many"), F.max(F.struct("votes", "label")).alias("top"))
-    most = shared.write_table(most.where("many > top.votes").select("sig", F.col("top.label").alias("most"), "many", (F.col("many") - F.col("top.votes")).alias("apart")), folder, "groups")
+    low = F.col("node") < F.col("one.node")
+    equal = met.where("node <> one.node AND label <> one.label").select(F.least("node", "one.node").alias("n1"), *_sides(1, low), F.greatest("node", "one.node").alias("n2"), *_sides(2, low)).distinct()
+    votes = same.groupBy("sig", "one.label").agg(F.count("*").alias("votes"), F.min(F.struct("one.node", "one.c")).alias("lead"))
+    most = votes.groupBy("sig").agg(F.sum("votes").alias("many"), F.max(F.struct("votes", "label")).alias("top"), F.min("lead").alias("lead"))
+    most = shared.write_table(most.where("many > top.votes").select("sig", F.col("top.label").alias("most"), "many", (F.col("many") - F.col("top.votes")).alias("apart"), F.col("lead.node").alias("lead"), F.floor(F.col("lead.c") / PLACES).alias("place")), folder, "groups")
     members = join_sized(same.select("sig", "one.*"), most, "sig", "many", total).join(places.select("node", "file", "at", "n"), "node")
     members = shared.write_table(members, folder, "members")
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node", "l"), n).cast("int")
     to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    kept = ["node", "l", "r", "label", "file", "at", "n"]
-    left = members.where("label <> most").select("sig", own(blocks("apart")).alias("i"), to(blocks("many")).alias("j"), F.lit(True).alias("left"), *kept)
-    right = members.select("sig", to(blocks("apart")).alias("i"), own(blocks("many")).alias("j"), F.lit(False).alias("left"), *kept)
-    work = left.unionByName(right).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    kept = ["node", "c", "l", "r", "label", "file", "at", "n"]
+    left = members.where("label <> most").select("lead", "place", "sig", own(blocks("apart")).alias("i"), to(blocks("many")).alias("j"), F.lit(True).alias("left"), *kept)
+    right = members.select("lead", "place", "sig", to(blocks("apart")).alias("i"), own(blocks("many")).alias("j"), F.lit(False).alias("left"), *kept)
+    # groups about one place of one text hold the same texts: a task that has them all verifies a pair once
+    work = left.unionByName(right).repartition(4 * shared.partitions(rest.sparkSession), "lead", "place", "i", "j").sortWithinPartitions("lead", "place", "i", "j", "sig")
 
     def pairs(batches):
-        at, held = None, []
+        at, held, known, where = None, [], {}, None
         for b in batches:
             out = []
-            for sig, i, j, *rest in zip(*(c.to_pylist() for c in b.columns)):
-                if (sig, i, j) != at:
-                    out += _similar_pairs(held, store)
-                    at, held = (sig, i, j), []
-                held.append(rest)
+            for lead, place, sig, i, j, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (lead, place, i, j, sig) != at:
+                    out += _similar_pairs(held, store, known)
+                    at, held = (lead, place, i, j, sig), []
+                    if where != at[:4]:
+                        known, where = {}, at[:4]
+                held.append(row)
             if out:
-                yield _packed(_REGION, out)
-        if out := _similar_pairs(held, store):
-            yield _packed(_REGION, out)
+                yield _packed(_LINK, out)
+        if out := _similar_pairs(held, store, known):
+            yield _packed(_LINK, out)
 
-    return equal.unionByName(work.mapInArrow(shared.tidy(pairs), _REGION)).distinct()
+    return _verified(equal, places, store).unionByName(work.mapInArrow(shared.tidy(pairs), _LINK)).distinct()
 
 
 def _sides(i: int, low) -> list:
@@ -524,19 +590,22 @@ def _sides(i: int, low) -> list:
     return [F.when(own, F.col(c)).otherwise(F.col(f"one.{c}")).alias(f"{c}{i}") for c in "lr"]
 
 
-def _similar_pairs(rows: list[list], store: str) -> list[tuple]:
-    """Regions (n1, l1, r1, n2, l2, r2) of left and right rows of a block, of different labels, that share COMMON shingles and are similar.
+def _similar_pairs(rows: list[list], store: str, known: dict[tuple, list[tuple]]) -> list[tuple]:
+    """Links of left and right rows of a block, of different labels, that share COMMON shingles and are similar.
 
-    A pair whose texts a similar pair of the block has connected is skipped.
+    A pair whose texts a link of the block has connected is skipped.  ``known`` has the pairs of texts that have
+    been verified before, with their similar stretches and the regions that hold none.
     """
     if not rows:
         return []
-    forest, names = Forest(2 * len(rows)), {}
-    for x, r in enumerate(rows):  # texts, and the labels that connect them
-        forest.join(x, names.setdefault(r[4], x))
-    tokens = [_tokens(store, tuple(r[5:8]), r[2], r[3]) for r in rows]
+    forest, names = Forest(len(rows)), {}
+    for x, r in enumerate(rows):  # rows of one label are connected
+        forest.join(x, names.setdefault(r[5], x))
     sides = [[x for x, r in enumerate(rows) if r[0] == side] for side in (True, False)]
-    kinds = [np.unique(tokens[x][0]) for x in range(len(rows))]
+    if len({forest.root(x) for x in range(len(rows))}) == 1:
+        return []
+    tokens = [_tokens(store, tuple(r[6:9]), r[3], r[4]) for r in rows]
+    kinds = [_distinct(t) for t, _ in tokens]
     right = np.concatenate([kinds[x] for x in sides[1]]) if sides[1] else np.empty(0, np.uint32)
     owner = np.repeat(np.arange(len(sides[1])), [len(kinds[x]) for x in sides[1]])
     order = np.argsort(right, kind="stable")
@@ -549,12 +618,21 @@ def _similar_pairs(rows: list[list], store: str) -> list[tuple]:
         both = np.bincount(owner[at], minlength=len(sides[1]))
         for i in np.flatnonzero(both >= COMMON).tolist():
             y = sides[1][i]
+            if rows[x][1] == rows[y][1] or forest.root(x) == forest.root(y):
+                continue
             a, b = (x, y) if rows[x][1] < rows[y][1] else (y, x)
-            if rows[a][1] == rows[b][1] or forest.root(a) == forest.root(b):
+            (n1, c1, l1, r1), (n2, c2, l2, r2) = rows[a][1:5], rows[b][1:5]
+            before = known.setdefault((n1, n2), [])
+            if any(good and s1 <= c1 <= e1 and s2 <= c2 <= e2 for good, s1, e1, s2, e2 in before):
+                forest.join(a, b)
+                continue
+            if any(not good and s1 <= l1 and r1 <= e1 and s2 <= l2 and r2 <= e2 for good, s1, e1, s2, e2 in before):
                 continue
-            if verify(tokens[a], tokens[b]):
+            found = verify(tokens[a], tokens[b])
+            before += [*((True, *got) for got in found), (False, l1, r1, l2, r2)]
+            if found:
                 forest.join(a, b)
-                out.append((rows[a][1], rows[a][2], rows[a][3], rows[b][1], rows[b][2], rows[b][3]))
+                out += [(n1, s1, e1 + WORDS, n2, s2, e2 + WORDS) for s1, e1, s2, e2 in found]
     return out
 
 
@@ -564,21 +642,36 @@ def repeated(docs: DataFrame, folder: str, column: str = "text", key: str = "doc
     class_id is the least doc_id of the passage's class and class_docs the number of its documents.
     """
     rows = counts.text_rows(docs, column, key)
-    documents = docs.count()
-    files, bits = frequencies(rows, f"{folder}/frequencies", documents)
+    hashed = rows.where("k IS NOT NULL").select("k", F.unhex(F.substring(F.sha2("t", 256), 1, 32)).alias("text_hash"))
+    hashed = shared.write_table(hashed, folder, "rows")
+    documents = hashed.count()
+    texts = shared.write_table(hashed.groupBy("text_hash").agg(F.min("k").alias("first"), F.count("*").alias("copies")), folder, "texts")
+    listed = join_sized(hashed, texts.where("copies > 1"), "text_hash", "copies", documents)
+    copies = drops.stored(drops.once(listed, F.when(F.first(F.col("k") == F.col("first")), FIRST).otherwise(COPY)), f"{folder}/copies")
+
+    def shingles_of():
+        originals = _originals(copies)
+        return lambda b: cut(weighted(originals(b)[0].column("t"), WORDS)[0], kept_bits(documents))
+
+    bits = counts.bits_for(docs.sparkSession)
+    files = counts.count(counts.map_blobs(rows, shingles_of, bits, _PIECE, made=True), f"{folder}/frequencies", bits, least=2)
     store = f"{folder}/tokens"
-    made = shared.write_table(windows(rows, store, files, bits, documents), folder, "windows")
+    made = shared.write_table(windows(rows, store, files, bits, documents, copies), folder, "windows")
     found = made.where("sig IS NOT NULL").select("sig", "fn", "node", "l", "c", "r", "content")
-    places = made.where("sig IS NULL").select("node", "k", "file", "at", "n")
+    places = made.where("sig IS NULL").select("node", "k", "text_hash", "words", "file", "at", "n")
     regions_of = shared.write_table(_meet_at_ends(found), folder, "regions")
     links = shared.write_table(_verified(regions_of, places, store), folder, "links")
     rest = _unsettled(found, _classes(links, f"{folder}/first"), folder)
-    more = shared.write_table(_verified(_rest_pairs(rest, places, store, f"{folder}/rest_of"), places, store), folder, "more_links")
-    placed = _classes(links.unionByName(more), f"{folder}/all").join(places.select("node", "k"), "node")
-    placed = shared.write_table(placed.select("label", "k", "from", "to").distinct(), folder, "placed")
-    sizes = placed.groupBy("label", "k").agg(F.count("*").alias("rows")).groupBy("label").agg(F.min("k").alias("class_id"), F.count("*").alias("class_docs"), F.sum("rows").alias("rows"))
-    sizes = shared.write_table(sizes.where("class_docs > 1"), folder, "sizes")
-    return join_sized(placed, sizes, "label", "rows", placed.count()).select(F.col("k").alias(key), F.col("from").alias("start_word"), F.col("to").alias("end_word"), "class_id", "class_docs")
+    more = shared.write_table(_rest_links(rest, places, store, f"{folder}/rest_of"), folder, "more_links")
+    named = places.join(texts, "text_hash")
+    whole = named.where((F.col("copies") > 1) & (F.col("words") >= PASSAGE_WORDS)).select(F.col("node").alias("n1"), F.lit(0).alias("s1"), F.col("words").alias("e1"), F.col("node").alias("n2"), F.lit(0).alias("s2"), F.col("words").alias("e2"))
+    placed = _classes(links.unionByName(more).unionByName(whole), f"{folder}/all").join(named.select("node", "text_hash", "copies"), "node")
+    placed = shared.write_table(placed.groupBy("text_hash", "from", "to", "label").agg(F.first("copies").alias("copies")), folder, "placed")
+    # a text may have several passages: each goes to all documents with the text
+    spread = shared.write_table(join_sized(hashed, placed.groupBy("text_hash").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("label", "from", "to")).alias("p")), "text_hash", "copies", documents).select("k", F.explode("p").alias("p")).select("k", "p.*").distinct(), folder, "spread")
+    each = spread.groupBy("label", "k").agg(F.count("*").alias("rows")).groupBy("label").agg(F.min("k").alias("class_id"), F.count("*").alias("class_docs"), F.sum("rows").alias("rows"))
+    each = shared.write_table(each.where("class_docs > 1"), folder, "sizes")
+    return join_sized(spread, each, "label", "rows", spread.count()).select(F.col("k").alias(key), F.col("from").alias("start_word"), F.col("to").alias("end_word"), "class_id", "class_docs")
 
 
 def _islands(ends: DataFrame) -> DataFrame:

@@ -277,8 +277,8 @@ def test_rest_pairs_in_blocks(spark, folder, monkeypatch):
     p = word(90)
     cut = lambda a, n: word(15) + p[a : a + n] + word(15)
     rows = [cut(0, 42)] * 2 + [cut(40, 50), cut(38, 52), cut(0, 46), cut(25, 46)] + [cut(41, 44) for _ in range(12)] + [cut(46, 44)]
-    rest = passages._rest_pairs
-    monkeypatch.setattr(passages, "_rest_pairs", lambda *a: rest(*a, 3))
+    rest = passages._rest_links
+    monkeypatch.setattr(passages, "_rest_links", lambda *a: rest(*a, 3))
     df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in passages.repeated(df, folder).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 2}
