@@ -75,17 +75,22 @@ def compact_windows(v: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarr
     low = np.minimum(tables[k][starts], tables[k][starts + least - (1 << k)])
     owner = np.zeros(n, bool)
     change = np.concatenate([[True], (low[1:] != low[:-1]) | (starts[1:] != starts[:-1] + 1)])
-    run = np.cumsum(change) - 1  # stretches of one least value in a row
-    left, right = np.flatnonzero(change), np.concatenate([np.flatnonzero(change)[1:], [len(starts)]])
-    some = left
-    while len(some):
+    left = np.flatnonzero(change)  # runs of stretches of one least value
+    right = np.concatenate([left[1:], [len(starts)]])
+
+    def leftmost(some):
+        """The leftmost place of the least value of each stretch."""
         c, value = starts[some].copy(), low[some]
-        for j in range(k, -1, -1):  # the leftmost place of the value from the start on
+        for j in range(k, -1, -1):
             ok = (c + (1 << j) <= n) & (tables[j][np.minimum(c, n - 1)] > value)
             c = np.where(ok, c + (1 << j), c)
-        owner[c] = True
-        after = some + (c - starts[some]) + 1  # an equal value may follow in the same run
-        some = after[after < right[run[some]]]
+        return c
+
+    c = leftmost(left)
+    owner[c] = True
+    after = left + (c - starts[left]) + 1  # equal values may follow in the same run: all its later stretches at once
+    size = np.maximum(right - after, 0)
+    owner[leftmost(np.repeat(after - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))] = True
     c = np.flatnonzero(owner)
     x, lo, hi = v[c], np.repeat(at[:-1], sizes)[c], row_end[c]
     right, left, step = c + 1, c.copy(), 1 << levels
@@ -264,33 +269,35 @@ def _within(t: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Whether each of t is in the sorted array."""
     if not len(known):
         return np.zeros(len(t), bool)
-    at = np.searchsorted(known, t)
+    at = known.searchsorted(t)
     at[at == len(known)] = 0
     return known[at] == t
 
 
 def _cut(x: tuple[np.ndarray, np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    s, e = np.searchsorted(x[1], [lo, hi + 1])
+    s, e = x[1].searchsorted((lo, hi + 1))
     return x[0][s:e], x[1][s:e]
 
 
 def _chain(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Places of both sides at which they hold the same tokens, rising on both: a repeated token meets the one nearest to the common diagonal."""
-    order = np.argsort(b[0], kind="stable")
+    order = b[0].argsort(kind="stable")
     t, q = b[0][order], b[1][order]
-    first, after = np.searchsorted(t, a[0]), np.searchsorted(t, a[0], "right")
-    hit = np.flatnonzero(after > first)
+    first, after = t.searchsorted(a[0]), t.searchsorted(a[0], "right")
+    hit = (after > first).nonzero()[0]
     p, first, after = a[1][hit], first[hit], after[hit]
     if not len(hit):
         return p, p
     sole = after - first == 1
     shift = int(np.median((q[first] - p)[sole])) if sole.any() else int(q.min() - p.min())
-    to = q[first].copy()
-    for i in np.flatnonzero(~sole).tolist():
-        some = q[first[i] : after[i]]  # rising, since the sort is stable
-        k = int(np.searchsorted(some, p[i] + shift))
-        near = some[max(k - 1, 0) : k + 1]
-        to[i] = near[np.abs(near - p[i] - shift).argmin()]
+    to = q[first]
+    if not sole.all():  # the places of a token rise, since the sort is stable: one search in all tokens' places
+        many = np.flatnonzero(~sole)
+        lo, hi, want = first[many], after[many], p[many] + shift
+        token = np.concatenate([[0], np.cumsum(t[1:] != t[:-1])]) << 40
+        k = (token + q).searchsorted(token[lo] + np.maximum(want, 0))
+        before, at = q[np.maximum(k - 1, lo)], q[np.minimum(k, hi - 1)]
+        to[many] = np.where(np.abs(before - want) <= np.abs(at - want), before, at)
     if (np.diff(to) > 0).all():
         return p, to
     tails, ends, back = [], [], np.full(len(to), -1)
@@ -348,7 +355,7 @@ def _dense(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], t
 
 def _again(t: np.ndarray) -> np.ndarray:
     """Whether each token stands before in t."""
-    order = np.argsort(t, kind="stable")
+    order = t.argsort(kind="stable")
     out = np.zeros(len(t), bool)
     out[order[1:]] = t[order[1:]] == t[order[:-1]]
     return out
@@ -362,8 +369,8 @@ def _may_hold(side: tuple[np.ndarray, np.ndarray], hit: np.ndarray, least: int,
     p = side[1][hit]
     if len(p) < parts[0] * least or p[-1] - p[0] + 1 < least:
         return [False] * len(parts)
-    own = p - np.cumsum(_again(side[0]))[hit]
-    first = np.searchsorted(p, p - (least - 1), "right") - 1
+    own = p - _again(side[0]).cumsum()[hit]
+    first = p.searchsorted(p - (least - 1), "right") - 1
     ok = first >= 0
     out = []
     for part in parts:
@@ -409,17 +416,19 @@ def verify(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], l
         a, b = todo.pop()
         if min(len(a[0]), len(b[0])) == 0:
             continue
-        common = [np.flatnonzero(_within(x[0], np.sort(y[0]))) for x, y in ((a, b), (b, a))]
-        # of two similar stretches each has the threshold's part in common, and the shorter one more
-        one = _may_hold(a, common[0], least, threshold, 2 * threshold / (1 + threshold))
-        two = _may_hold(b, common[1], least, threshold, 2 * threshold / (1 + threshold)) if one[0] else [False]
-        if not (one[0] and two[0] and (one[1] or two[1])):
+        common = [_within(x[0], np.sort(y[0])).nonzero()[0] for x, y in ((a, b), (b, a))]
+        if not len(common[0]):
             continue
         hits = [x[1][hit] for x, hit in zip((a, b), common)]
         ends = int(hits[0][0]), int(hits[0][-1]), int(hits[1][0]), int(hits[1][-1])
         if _similar(a, b, ends, least, threshold):
             found.append(ends)
             continue
+        # of two similar stretches each has the threshold's part in common, and the shorter one more
+        one = _may_hold(a, common[0], least, threshold, 2 * threshold / (1 + threshold))
+        two = _may_hold(b, common[1], least, threshold, 2 * threshold / (1 + threshold)) if one[0] else [False]
+        if not (one[0] and two[0] and (one[1] or two[1])):
+            continue
         p, q = _chain(a, b)
         long = False
         for ends in _candidates(a, b, p, q, threshold):

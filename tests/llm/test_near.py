@@ -1,4 +1,5 @@
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -180,6 +181,48 @@ def test_compact_windows():
         assert sorted(zip(*(x.tolist() for x in passages.compact_windows(v, at, least)))) == sorted(want)
 
 
+def test_repeats_of_a_value_cost_no_steps():
+    """Lines that are run grow with neither the repeats of a least value nor their number of windows."""
+    v = np.tile(np.random.default_rng(1).permutation(30).astype(np.uint32), 700)
+    lines = 0
+
+    def count(frame, event, _):
+        nonlocal lines
+        if frame.f_code.co_filename != passages.__file__:
+            return None
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        left, c, right = passages.compact_windows(v, np.array([0, len(v)]), 46)
+    finally:
+        sys.settrace(before)
+    assert lines < 3000
+    zero = np.flatnonzero(v == 0)
+    want = [(lo, z, len(v) - 1) for lo, z in zip([0, *(zero[:-1] + 1).tolist()], zero.tolist()) if len(v) - lo >= 46]
+    assert list(zip(left.tolist(), c.tolist(), right.tolist())) == want
+
+
+def test_repeated_tokens_meet_the_nearest():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = (np.sort(rng.choice(200, rng.integers(1, 60), replace=False)) for _ in "ab")
+        a, b = ((rng.integers(0, 40, len(x)).astype(np.uint32), x) for x in (a, b))
+        shared = [(int(t), int(p)) for t, p in zip(*a) if t in b[0]]
+        if not shared:
+            assert not len(passages._chain(a, b)[0])
+            continue
+        of = {t: b[1][b[0] == t].tolist() for t, _ in shared}
+        sole = [of[t][0] - p for t, p in shared if len(of[t]) == 1]
+        shift = int(np.median(sole)) if sole else min(of[t][0] for t, _ in shared) - min(p for _, p in shared)
+        near = {p: min(of[t], key=lambda q: (abs(q - p - shift), q)) for t, p in shared}
+        p, q = passages._chain(a, b)
+        assert all(near[x] == y for x, y in zip(p.tolist(), q.tolist()))
+        assert (np.diff(p) > 0).all() and (np.diff(q) > 0).all()
+
+
 def test_repeated_passages(spark, folder):
     p, q = text(60), text(80)
     rows = [text(100) + p + text(30), text(5) + p + text(200), p, text(40) + edited(q, 1) + text(3), q + text(90), text(300), text(30) + p[:30] + text(30)]
