@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,14 +21,20 @@ def canonical(df: DataFrame, key: str, *content: Column) -> DataFrame:
     return hashed.join(first, "_h", "left").select(key, F.coalesce("_first", F.col(key)).alias("canonical"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the checkpoint folder; where none is set (tests), a folder of this machine."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints; where none is set (tests), one of this machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder and not (context.master or "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="paperloom-"))
+    return context.getCheckpointDir()
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

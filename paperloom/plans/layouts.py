@@ -306,12 +306,8 @@ def unbalanced_operators(spark, d):
 @query("SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS events, sum(value) AS value FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
 def event_sessions_stream(spark, d):
     """The table of events as a stream of files, read to its end."""
-    import uuid
-
-    name = f"paperloom_sessions_{uuid.uuid4().hex[:8]}"
     source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
-    streams.sessions(source).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    out = spark.table(name)
+    out = streams.whole(streams.sessions(source))
     return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "events", "value")
 
 
