@@ -231,6 +231,12 @@ def html(ops: Column) -> Column:
     return F.array_join(F.transform(ops, mark), "")
 
 
+def sample(x: Column) -> Column:
+    """A number of 0..1 in single precision on the scale of 255, rounded down; the product is rounded to single precision as well."""
+    v = x.cast("float") * F.lit(255).cast("float")
+    return F.when(F.abs(v) < 1 << 24, F.floor(v).cast("double")).otherwise(v.cast("double"))  # larger ones are whole, or no numbers
+
+
 def pixel_diff(a: Column, b: Column, threshold: float) -> Column:
     """For each sample of a (0..255): 0 the same, 1 different.  The difference must exceed threshold % of 255; samples beyond the other's end are the same."""
     limit = int(threshold / 100 * 255 + 0.5)
