@@ -6,8 +6,10 @@ parse matches nothing.  Null text has no matches.  Positions are code points, en
 
 from __future__ import annotations
 
+import math
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -146,8 +148,35 @@ def on_page(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.join(box, ["doc_id", "page_no"]).where(inside).drop("_a", "_b", "_c", "_d")
 
 
+def _first_of_place(u: pd.Series, v: pd.Series, seq: pd.Series) -> pd.Series:
+    """For lists of places in steps, whether no place that is kept before one lies within a step of it.
+
+    Places that are kept are known by their cell of one step, so each is compared with those of nine cells.
+    """
+
+    def one(xs, ys, order):
+        cells, kept = {}, [True] * len(xs)
+        for i in sorted(range(len(xs)), key=lambda i: (order[i] is None, order[i])):
+            x, y = xs[i], ys[i]
+            if x is None or y is None or not (math.isfinite(x) and math.isfinite(y)):
+                continue
+            a, b = math.floor(x), math.floor(y)
+            if any(abs(x - p) <= 1 and abs(y - q) <= 1 for j in (a, a - 1, a + 1) for k in (b, b - 1, b + 1) for p, q in cells.get((j, k), ())):
+                kept[i] = False
+            else:
+                cells.setdefault((a, b), []).append((x, y))
+        return kept
+
+    return pd.Series([one(x.tolist(), y.tolist(), s.tolist()) for x, y, s in zip(u, v, seq)])
+
+
 def without_shadows(runs: DataFrame, offset: float = 0.2) -> DataFrame:
-    """Text runs but for those that repeat the text before them at nearly its place (within ``offset`` sizes): shadows and bold by double printing."""
-    before = W.partitionBy("doc_id", "page_no", "text", "size").orderBy("seq")
-    near = (F.abs(F.col("x") - F.lag("x").over(before)) <= offset * F.col("size")) & (F.abs(F.col("y") - F.lag("y").over(before)) <= offset * F.col("size"))
-    return runs.withColumn("_shadow", F.coalesce(near, F.lit(False))).where("NOT _shadow").drop("_shadow")
+    """Text runs but for those that repeat a text of their page at nearly its place (within ``offset`` sizes): shadows and bold by double printing.
+
+    Of equal runs the one that is drawn first stays, whatever is drawn between them.
+    """
+    rows = runs.groupBy("doc_id", "page_no", "text", "size").agg(F.collect_list(F.struct(*runs.columns)).alias("_r"))
+    step = F.when(F.col("size").isNotNull(), F.greatest(F.abs("size") * offset, F.lit(1e-9)))
+    kept = F.pandas_udf(_first_of_place, "array<boolean>")(F.transform("_r", lambda r: r["x"] / step), F.transform("_r", lambda r: r["y"] / step), F.transform("_r", lambda r: r["seq"]))
+    marked = rows.withColumn("_k", kept).select(F.filter(F.arrays_zip("_r", "_k"), lambda z: z["_k"]).alias("_z"))
+    return marked.select(F.inline(F.transform("_z", lambda z: z["_r"])))
