@@ -8,16 +8,38 @@ gaps, indents and short lines; blocks are read in the order of recursive cuts.
 from __future__ import annotations
 
 import bisect
+import statistics
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paperloom.functions import batches
+
 #: Tolerances in points (fixed values): distance and gap of collinear rules, positions of one boundary, thickness of a rule, lower edges of one level.
 ALIGN, GAP, EDGE, THIN, LEVEL = 0.6, 1.5, 6.0, 3.0, 2.0
 
 
+class Run(NamedTuple):
+    text: str
+    x: float
+    y: float
+    w: float
+    size: float
+
+
+def _placed(runs: DataFrame) -> tuple[DataFrame, list]:
+    """Text runs with the columns of a Run; those without a text or a place are on no page."""
+    whole = runs.where(F.expr("text IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL"))
+    return whole, [F.col("text").cast("string").alias("text"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in Run._fields[1:]]]
+
+
+def _down(runs: list[tuple]) -> list[Run]:
+    """Runs from the top, then from the left."""
+    return sorted((Run(*r) for r in runs), key=lambda r: (-r.y, r.x))
+
+
 def _merged(rules: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
     """(position, from, to) with collinear neighbours as one."""
     out: list[list[float]] = []
@@ -77,32 +99,32 @@ def lattices(boxes: list[tuple[float, float, float, float]], width: float, heigh
     return sorted(out, key=lambda t: (-t[1][0], t[0][0]))
 
 
-def _cells(runs: pd.DataFrame, boxes: pd.DataFrame) -> list[tuple]:
+def _cells(runs: list[tuple], boxes: list[tuple]) -> list[tuple]:
     rows = []
-    wide, high = (float(boxes[c].max()) if len(boxes) and c in boxes else d for c, d in (("page_width", 612.0), ("page_height", 792.0)))
-    found = lattices(list(boxes[["llx", "lly", "urx", "ury"]].itertuples(index=False, name=None)), wide, high)
-    runs = runs.sort_values(["y", "x"], ascending=[False, True])
-    for t, (xs, ys) in enumerate(found, 1):
+    wide, high = (max((b[k] for b in boxes if b[k] is not None), default=d) for k, d in ((4, 612.0), (5, 792.0)))
+    centres = [(r.x + r.w / 2, r.y + r.size / 2, r.text) for r in _down(runs)]
+    for t, (xs, ys) in enumerate(lattices([b[:4] for b in boxes], wide, high), 1):
+        texts: dict[tuple[int, int], list[str]] = {}
+        down = [-y for y in ys]
+        for cx, cy, text in centres:
+            texts.setdefault((bisect.bisect_right(down, -cy) - 1, bisect.bisect_right(xs, cx) - 1), []).append(text)
         for i in range(len(ys) - 1):
             for j in range(len(xs) - 1):
-                cx, cy = runs.x + runs.w / 2, runs.y + runs["size"] / 2
-                inside = runs[(cx >= xs[j]) & (cx < xs[j + 1]) & (cy <= ys[i]) & (cy > ys[i + 1])]
-                rows.append((t, i + 1, j + 1, " ".join(inside.text), xs[j], ys[i + 1], xs[j + 1], ys[i]))
+                rows.append((t, i + 1, j + 1, " ".join(texts.get((i, j), ())), xs[j], ys[i + 1], xs[j + 1], ys[i]))
     return rows
 
 
+_TABLE = "table_no int, row_no int, col_no int, text string, llx double, lly double, urx double, ury double"
+
+
 def table_cells(runs: DataFrame, paths: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_no, table_no, row_no, col_no, text, box) of ruled tables, from text runs, path boxes and the pages' boxes (without them: 612 x 792)."""
+    size = [F.lit(None).cast("double").alias(c) for c in ("page_width", "page_height")]
     if pages is not None:
         paths = paths.join(pages.select("doc_id", "page_no", (F.col("urx") - F.col("llx")).alias("page_width"), (F.col("ury") - F.col("lly")).alias("page_height")), ["doc_id", "page_no"])
-    paths = paths.select(*[F.col(c).alias(c) for c in paths.columns])  # both may come from one relation
-    schema = "doc_id string, page_no int, table_no int, row_no int, col_no int, text string, llx double, lly double, urx double, ury double"
-
-    def page(key, r: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in schema.split(", ")]
-        return pd.DataFrame([(*key, *c) for c in _cells(r, b)], columns=names)
-
-    return runs.groupBy("doc_id", "page_no").cogroup(paths.groupBy("doc_id", "page_no")).applyInPandas(page, schema)
+        size = ["page_width", "page_height"]
+    boxes = [F.col(c).cast("double").alias(c) for c in ("llx", "lly", "urx", "ury")]
+    return batches.per_page([_placed(runs), (paths, [*boxes, *size])], _TABLE, _cells)
 
 
 def _cuts(blocks: list[tuple], across: bool) -> list[list[tuple]]:
@@ -164,30 +186,29 @@ def paragraphs(lines: list[tuple[float, float, float, float, str]], size: float)
 def page_paragraphs(runs: DataFrame) -> DataFrame:
     """(doc_id, page_no, para_no, text) of text runs."""
 
-    def page(key, r: pd.DataFrame) -> pd.DataFrame:
+    def page(rows: list[tuple]) -> list[tuple]:
         lines: list[list] = []
-        for x in r.sort_values(["y", "x"], ascending=[False, True]).itertuples():
+        for x in _down(rows):
             if lines and abs(lines[-1][1] - x.y) <= min(max(2.0, 0.01 * abs(x.y)), x.size / 2) and x.x - lines[-1][2] <= 3 * x.size:
                 gap = " " if x.x - lines[-1][2] > 0.2 * x.size else ""
                 lines[-1][2], lines[-1][4] = x.x + x.w, lines[-1][4] + gap + x.text
             else:
                 lines.append([x.x, x.y, x.x + x.w, x.size, x.text])
-        size = float(pd.Series([x[3] for x in lines]).median()) if lines else 12.0
+        size = statistics.median(x[3] for x in lines) if lines else 12.0
         blocks = [(x[0], x[1] - 0.6 * size, x[2], x[1] + size, x) for x in lines]
-        out = [t for c in _cuts(blocks, False) for t in paragraphs([b[4] for b in reading_order(c)], size)]
-        return pd.DataFrame([(*key, i, t) for i, t in enumerate(out, 1)], columns=["doc_id", "page_no", "para_no", "text"])
+        return list(enumerate((t for c in _cuts(blocks, False) for t in paragraphs([b[4] for b in reading_order(c)], size)), 1))
 
-    return runs.groupBy("doc_id", "page_no").applyInPandas(page, "doc_id string, page_no int, para_no int, text string")
+    return batches.per_page([_placed(runs)], "para_no int, text string", page)
 
 
 #: A text line's tolerance in points and the gap between cells in sizes (fixed values) of tables without rules, and their least rows.
 LINE, CELL, ROWS = 2.0, 0.5, 2
 
 
-def _flow_lines(runs: pd.DataFrame) -> list[list[list]]:
+def _flow_lines(runs: list[tuple]) -> list[list[list]]:
     """Lines of cells [x1, x2, y, top, texts] from the top: runs parted by more than half a size."""
     lines: list[list] = []
-    for r in runs[runs.text.str.strip() != ""].sort_values(["y", "x"], ascending=[False, True]).itertuples():
+    for r in _down([r for r in runs if r[0].strip()]):
         if not lines or abs(lines[-1][0].y - r.y) > LINE:
             lines.append([])
         lines[-1].append(r)
@@ -216,7 +237,7 @@ def _bridged(columns: list[tuple[float, float]], cells: list[list]) -> list[tupl
     return [tuple(x) for x in out]
 
 
-def flow_tables(runs: pd.DataFrame) -> list[tuple[list[tuple[float, float]], list[list[list]]]]:
+def flow_tables(runs: list[tuple]) -> list[tuple[list[tuple[float, float]], list[list[list]]]]:
     """(columns, rows of cells) of tables that alignment alone shows: lines of two cells or more, at least half of them in known columns.
 
     A line with fewer than half as many cells as there are columns continues the row above it.
@@ -245,20 +266,19 @@ def flow_tables(runs: pd.DataFrame) -> list[tuple[list[tuple[float, float]], lis
 
 def borderless_cells(runs: DataFrame) -> DataFrame:
     """(doc_id, page_no, table_no, row_no, col_no, text, llx, lly, urx, ury) of tables without rules, from text runs."""
-    schema = "doc_id string, page_no int, table_no int, row_no int, col_no int, text string, llx double, lly double, urx double, ury double"
 
-    def page(key, r: pd.DataFrame) -> pd.DataFrame:
+    def page(rows_: list[tuple]) -> list[tuple]:
         out = []
-        for t, (columns, rows) in enumerate(flow_tables(r), 1):
+        for t, (columns, rows) in enumerate(flow_tables(rows_), 1):
             for i, row in enumerate(rows, 1):
                 bottom, top = min(c[2] for c in row), max(c[3] for c in row)
                 for j, (a, b) in enumerate(columns, 1):
                     inside = sorted((c for c in row if c[1] > a and c[0] < b), key=lambda c: (-c[3], c[0]))
                     if inside:
-                        out.append((*key, t, i, j, " ".join(x for c in inside for x in c[4]).strip(), min(c[0] for c in inside), bottom, max(c[1] for c in inside), top))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+                        out.append((t, i, j, " ".join(x for c in inside for x in c[4]).strip(), min(c[0] for c in inside), bottom, max(c[1] for c in inside), top))
+        return out
 
-    return runs.groupBy("doc_id", "page_no").applyInPandas(page, schema)
+    return batches.per_page([_placed(runs)], _TABLE, page)
 
 
 def outside_tables(rows: DataFrame, cells: DataFrame, tables: list[int] | None = None) -> DataFrame:
