@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions import batches
+
 DIFF = "array<struct<op:string,text:string>>"
 EQUAL, DELETE, INSERT = "equal", "delete", "insert"
 
@@ -164,6 +166,7 @@ def _diffs(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def diff(a: str | Column, b: str | Column) -> Column:
     """The normalised diff of two text columns, in Arrow batches."""
+    batches.bounded()
     return F.pandas_udf(_diffs, DIFF)(a, b)
 
 
@@ -251,6 +254,7 @@ def _tokens(text: str | None, spaces: str) -> list[str]:
 
 def side_by_side(a: str | Column, b: str | Column, spaces: str = "normal") -> Column:
     """A diff of words: white space counts as it stands, is left out (ignore), or counts mark by mark (parse)."""
+    batches.bounded()
 
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
